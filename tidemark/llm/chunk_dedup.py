@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import materialize
+
 #: Gear table: one pseudo-random word for each byte, from a seed; 0 for the NUL that separates texts here.
 GEAR = np.random.default_rng(0x6EA2).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 GEAR[0] = 0
@@ -114,7 +116,9 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return rows.mapInArrow(run, f"doc_id {kind}, content bigint, start int, end int, words int, digest bigint")
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 30, min_chars: int = 400) -> DataFrame:
+def repeated_passages(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 30, min_chars: int = 400, most_frequent: int = 100_000
+) -> DataFrame:
     """Passages that an earlier document holds too: ``(doc_id, content, start, end, words, kept_in)``, one row per passage.
 
     A chunk belongs to the smallest doc_id that has it; the other documents' runs of such chunks, of ``min_words``
@@ -124,8 +128,16 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     a null doc_id neither own nor lose a passage.
     """
     made = chunks(docs, doc_id, text).where("doc_id is not null")
-    owners = made.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last")
-    copies = made.join(owners.select("digest", "owner"), "digest").where("owner <> doc_id").drop("digest").distinct()
+    counted = made.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    owners = materialize(counted.where("owner <> last").select("digest", "owner", "n"), "chunk-owners")
+    often = max(1_000, (owners.agg(F.sum("n")).first()[0] or 0) // most_frequent)
+    # At most `most_frequent` digests are that frequent, so their table is small; their chunks then get keys of their own.
+    frequent = F.broadcast(owners.where(F.col("n") > often).select("digest", F.col("owner").alias("known")))
+    spread = F.when(F.col("known").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "content", "start"))
+    keyed = made.join(frequent, "digest", "left").withColumn("key", spread)
+    rare = owners.where(F.col("n") <= often).select(F.col("digest").alias("key"), "owner")
+    owned = keyed.join(rare, "key", "left").withColumn("owner", F.coalesce("known", "owner"))
+    copies = owned.where("owner <> doc_id").select("doc_id", "content", "start", "end", "words", "owner").distinct()
     by_doc = Window.partitionBy("doc_id", "content").orderBy("start")
     opens = F.when(F.lag("end").over(by_doc) == F.col("start"), 0).otherwise(1)
     runs = copies.withColumn("opens", opens).withColumn("run", F.sum("opens").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
