@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
 from tidemark.llm.chunk_dedup import slices
+from tidemark.llm.storage import materialize
 
 SCHEMA = "digest binary, n_tokens bigint, tokenizer string"
 
@@ -55,19 +56,31 @@ def _counts(cache: DataFrame, version_digest: str) -> DataFrame:
 
 
 def count_tokens(
-    docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50k.json", doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    cache_path: str,
+    tokenizer: str = "byte_bpe_50k.json",
+    doc_id: str = "doc_id",
+    text: str = "text",
+    most_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens)`` for each row, after the cache at ``cache_path`` has gained what it lacked.
 
     Normalised content is the text with null as empty and nothing else changed, as any other change could change the count.  The append is one
-    Spark job and thus whole or absent when executors are lost.  Repeated rows and copies are encoded once.
+    Spark job and thus whole or absent when executors are lost.  Repeated rows and copies are encoded once.  Up to
+    ``most_broadcast`` missing digests (32 bytes each) pick their texts where these are read; more of them meet the distinct texts in a join.
     """
     spark = docs.sparkSession
     now = tokenizer_digest(tokenizer)
     content = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(content, 256)).alias("digest")
+    missing = materialize(docs.select(digest).distinct().join(_counts(read_cache(spark, cache_path), now), "digest", "left_anti"), "missing")
+    n_missing = missing.count()
     keyed = docs.select(digest, content.alias("text"))
-    misses = keyed.join(_counts(read_cache(spark, cache_path), now), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    if n_missing <= most_broadcast:
+        keyed = keyed.join(F.broadcast(missing), "digest", "left_semi")
+    misses = keyed.groupBy("digest").agg(F.first("text").alias("text"))
+    if n_missing > most_broadcast:
+        misses = misses.join(missing, "digest", "left_semi")
 
     def run(batches):
         count = counter(tokenizer)
@@ -76,8 +89,10 @@ def count_tokens(
             for lo, hi in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count(texts[lo:hi]), pa.int64())], names=["digest", "n_tokens"])
 
-    fresh = misses.mapInArrow(run, "digest binary, n_tokens bigint")
-    fresh.withColumn("tokenizer", F.lit(now)).write.partitionBy("tokenizer").mode("append").parquet(cache_path)
-    known = _counts(read_cache(spark, cache_path), now)
+    if n_missing:
+        fresh = misses.mapInArrow(run, "digest binary, n_tokens bigint")
+        fresh.withColumn("tokenizer", F.lit(now)).write.partitionBy("tokenizer").mode("append").parquet(cache_path)
+    # Written out, so that the join below has a plain table on either side and a digest of many copies can be split.
+    known = materialize(_counts(read_cache(spark, cache_path), now), "counts")
     asked = docs.select(F.col(doc_id).alias("doc_id"), digest, F.octet_length(content).cast("long").alias("n_bytes"))
     return asked.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
