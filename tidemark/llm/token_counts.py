@@ -61,7 +61,7 @@ def count_tokens(
     tokenizer: str = "byte_bpe_50k.json",
     doc_id: str = "doc_id",
     text: str = "text",
-    most_broadcast: int = 1_000_000,
+    most_broadcast: int = 100_000,
 ) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens)`` for each row, after the cache at ``cache_path`` has gained what it lacked.
 
