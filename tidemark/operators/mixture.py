@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import bucket, uniform
+from tidemark.functions.hashing import uniform
 
 
 def quota_sample(rows: DataFrame, weights: DataFrame, dataset: str, key: str, total: int, salt: str = "mix") -> DataFrame:
     """Of each dataset the ``round(weight share * total)`` rows of smallest hash, or all if it has fewer.
 
-    A dataset's cut is found on a histogram of 4096 hash buckets; only the rows of the bucket where the quota ends are ranked, so a
+    A dataset's cut is found on a histogram of 4096 equal ranges of the hash; rows are ranked within their range only, so a
     dataset with a third of all rows isn't sorted in one task.
     """
     share = weights.withColumn("__quota", F.bround(F.col("weight") / F.sum("weight").over(Window.partitionBy()) * total, 0).cast("bigint"))
-    marked = rows.join(share.select(dataset, "__quota"), dataset).withColumn("__b", bucket(salt, F.col(key), 1 << 12)).withColumn("__u", uniform(salt, F.col(key)))
+    marked = rows.join(share.select(dataset, "__quota"), dataset).withColumn("__u", uniform(salt, F.col(key))).withColumn("__b", F.floor(F.col("__u") * 4096).cast("int"))
     cumulative = Window.partitionBy(dataset).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     counts = marked.groupBy(dataset, "__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.sum("__n").over(cumulative) - F.col("__n"))
     placed = marked.join(counts, [dataset, "__b"]).where("__before < __quota")

@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("episode_id"), (F.row_number().over(w) - 1).alias("t"), "event_id", "ts", "value",
+        F.col("user_id").alias("episode_id"), (F.row_number().over(w) - 1).cast("bigint").alias("t"), "event_id", "ts", "value",
         (F.col("value") - F.floor("value")).alias("g"), "event_type", "props",
     )
 
@@ -47,7 +47,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("label").orderBy("vec_id")
     parts = [F.get("embedding", F.lit(k - 1)).cast("double").alias(f"e{k}") for k in range(1, 17)]
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("episode_id"), (F.row_number().over(w) - 1).alias("t"), "vec_id", *parts)
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("episode_id"), (F.row_number().over(w) - 1).cast("bigint").alias("t"), "vec_id", *parts)
 
 
 def rounded(value: Column, digits: int = 6) -> Column:
