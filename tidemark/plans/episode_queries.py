@@ -147,7 +147,11 @@ def w15(spark, sf):
     return found.select("episode_id", "t", rounded(F.col("cosine")).alias("cosine"))
 
 
-@query("op_w16_sharpest_changes")
+@query("op_w16_sharpest_changes", _MOTION.replace("with poses", "with recursive poses", 1) + """, o as (select episode_id, t, row_number() over (partition by episode_id order by cosine, t) as i from ch),
+  k as (select episode_id, 0::bigint as i, []::bigint[] as kept from (select distinct episode_id from ch) union all
+    select o.episode_id, o.i, case when len(list_filter(kept, lambda x: abs(x - o.t) < 8)) > 0 then kept else list_append(kept, o.t) end from k join o on o.episode_id = k.episode_id and o.i = k.i + 1),
+  l as (select episode_id, kept, row_number() over (partition by episode_id order by i desc) as r from k)
+  select episode_id, unnest(kept)::int as t from l where r = 1""")
 def w16(spark, sf):
     return keyframes.sharpest(keyframes.motion_changes(poses(spark, sf), EP, ("e1", "e2", "e3"), window=4), EP)
 
@@ -229,7 +233,11 @@ def w24(spark, sf):
     return rows.groupBy("episode_id").agg(F.count_if(F.col("good") & ~F.col("before")).alias("recoveries"), F.coalesce(F.min(F.when(~F.col("good"), F.col("t"))), F.lit(-1)).alias("first_bad"))
 
 
-@query("op_w25_lanes")
+@query("op_w25_lanes", f"""with recursive {FRAMES}, o as (select episode_id, event_id, t as s, t + 1 + event_id % 5 as e, row_number() over (partition by episode_id order by t, t + 1 + event_id % 5, event_id) as i from frames),
+  l as (select episode_id, 0::bigint as i, []::bigint[] as ends, -1::bigint as event_id, -1::bigint as lane from (select distinct episode_id from frames) union all
+    select o.episode_id, o.i, case when p > 0 then list_concat(list_append(ends[1:p - 1], o.e), ends[p + 1:]) else list_append(ends, o.e) end, o.event_id, case when p > 0 then p - 1 else len(ends) end
+    from l join o on o.episode_id = l.episode_id and o.i = l.i + 1, lateral (select coalesce(list_position(list_transform(l.ends, lambda x: x <= o.s), true), 0) as p) as q)
+  select event_id, lane::int as lane from l where i > 0""")
 def w25(spark, sf):
     rows = frames(spark, sf).select("episode_id", "event_id", F.col("t").alias("start"), (F.col("t") + 1 + F.col("event_id") % 5).cast("int").alias("end"))
     packed = rows.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "event_id"))).alias("i")).withColumn("lane", folds.lanes(F.col("i")))
@@ -257,7 +265,17 @@ def w28(spark, sf):
     return rows.select("event_id", F.when(F.length(F.trim("said")) > 0, F.col("said")).otherwise(fallback).alias("instruction"))
 
 
-@query("op_a8_ordered_product")
+def _a8_sql() -> str:
+    from tidemark.plans.geometry_queries import RPY, E, X, angles, fixed_axes, named, product, shown, stage
+
+    unit = [1.0 if k in (0, 4, 8) else 0.0 for k in range(9)]
+    later = ", ".join(f"coalesce(lead(r{k}, {j}) over (partition by episode_id order by t), {unit[k]}::double) as p{j}_{k}" for j in (1, 2, 3) for k in range(9))
+    step = lambda left, j: product(named(range(9), left), [X(f"p{j}_{k}") for k in range(9)])
+    stages = f"{stage('poses', 'm', r=fixed_axes(E[4], E[5], E[6]))}, n as (select *, {later} from m), {stage('n', 'x', a=step('r', 1))}, {stage('x', 'y', b=step('a', 2))}, {stage('y', 'z', c=step('b', 3))}"
+    return f"with {POSES}, {stages} select vec_id, {shown(angles(named(range(9), 'c')), RPY)} from z"
+
+
+@query("op_a8_ordered_product", _a8_sql())
 def a8(spark, sf):
     from tidemark.functions import rot
 

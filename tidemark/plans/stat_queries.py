@@ -381,10 +381,10 @@ def m28(spark, sf):
     return frames(spark, sf).select("event_id", (1 - F.col("g")).alias("g"))
 
 
-@query("op_m31_noise")
+@query("op_m31_noise", f"with u as (select vec_id, embedding[1]::double as x, {_h('na', 'vec_id')} / 4294967296.0::double as a, {_h('nb', 'vec_id')} / 4294967296.0::double as b from embeddings) select vec_id, round(x + 0.01::double * sqrt(-2 * ln(1 - a)) * cos(2 * pi() * b), 6) as x from u")
 def m31(spark, sf):
     noisy = F.transform("embedding", lambda x: x.cast("double"))
-    return read(spark, sf, "embeddings").select("vec_id", F.round(F.get(noisy, F.lit(0)) + 0.01 * hashing.normal("n", F.col("vec_id")), 9).alias("x"))
+    return read(spark, sf, "embeddings").select("vec_id", F.round(F.get(noisy, F.lit(0)) + 0.01 * hashing.normal("n", F.col("vec_id")), 6).alias("x"))
 
 
 @query("op_m33_state_bins", f"with {POSES} select vec_id, (case when e1 * 4 < -1 then -1 else least(floor((e1 * 4 + 1) / 2 * 256), 255) end)::int as bin from poses")
