@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that an action at a grasp or release must have, and phrases that contradict the gripper's state.
 GRASP = ["clamp", "close", "grasp", "grip", "pick", "pinch", "squeeze"]
@@ -117,7 +118,7 @@ def repair(reply: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repaired_json(replies: pd.Series) -> pd.Series:
     """``repair`` by column; the only audit step that leaves the JVM, as no built-in parses broken JSON."""
     return replies.map(repair)

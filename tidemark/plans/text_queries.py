@@ -18,8 +18,11 @@ def _moves(spark, sf):
     return poses(spark, sf).select("vec_id", "episode_id", "t", *[(F.col(c) * by).alias(name) for name, (c, by) in scale.items()], (F.col("e7") + 0.5).alias("grip"))
 
 
-M = motion_text.Move(F.col("dx"), F.col("dy"), F.col("dz"), F.col("grip"), F.col("roll"), F.col("pitch"), F.col("yaw"))
-M3 = motion_text.Move(F.col("dx"), F.col("dy"), F.col("dz"), F.col("grip"))
+def _move(turns: bool = True) -> motion_text.Move:
+    names = ["dx", "dy", "dz", "grip", *(["roll", "pitch", "yaw"] if turns else [])]
+    return motion_text.Move(*[F.col(c) for c in names])
+
+
 _GRIP = "case when grip >= 0.5 then 'open gripper' else 'close gripper' end"
 
 
@@ -42,7 +45,7 @@ _VERBOSE = f"concat_ws(', ', {_cm('dx', 'forward', 'back')}, {_cm('dz', 'up', 'd
 
 @query("op_x10_verbose_motion", f"with {_MOVES} select vec_id, {_VERBOSE} as said from mv")
 def x10(spark, sf):
-    return _moves(spark, sf).select("vec_id", motion_text.verbose(M).alias("said"))
+    return _moves(spark, sf).select("vec_id", motion_text.verbose(_move()).alias("said"))
 
 
 def _nn(v: str, a: str, b: str) -> str:
@@ -51,7 +54,7 @@ def _nn(v: str, a: str, b: str) -> str:
 
 @query("op_x10_no_number", f"with {_MOVES} select vec_id, concat_ws(', ', {_nn('dx', 'forward', 'back')}, {_nn('dy', 'left', 'right')}, {_nn('dz', 'up', 'down')}, {_GRIP}) as said from mv")
 def x10_words(spark, sf):
-    return _moves(spark, sf).select("vec_id", motion_text.without_numbers(M3).alias("said"))
+    return _moves(spark, sf).select("vec_id", motion_text.without_numbers(_move(False)).alias("said"))
 
 
 _C3 = "printf('%+03d', round_even(dx, 0)::int), printf('%+03d', round_even(dy, 0)::int), printf('%+03d', round_even(dz, 0)::int)"
@@ -59,7 +62,7 @@ _C3 = "printf('%+03d', round_even(dx, 0)::int), printf('%+03d', round_even(dy, 0
 
 @query("op_x11_compact_motion", f"with {_MOVES} select vec_id, '<' || concat_ws(' ', {_C3}, {', '.join(f'''printf('%+03d', (round_even({a} / 5, 0) * 5)::int)''' for a in ('roll', 'pitch', 'yaw'))}, (grip >= 0.5)::int::varchar) || '>' as said from mv")
 def x11(spark, sf):
-    return _moves(spark, sf).select("vec_id", motion_text.compact(M).alias("said"))
+    return _moves(spark, sf).select("vec_id", motion_text.compact(_move()).alias("said"))
 
 
 _CM = f"'<' || concat_ws(' ', {_C3}, (grip >= 0.5)::int::varchar) || '>'"
@@ -67,7 +70,7 @@ _CM = f"'<' || concat_ws(' ', {_C3}, (grip >= 0.5)::int::varchar) || '>'"
 
 @query("op_x12_bimanual", f"with {_MOVES}, c as (select episode_id, t, vec_id, {_CM} as c from mv), z as (select *, lead(c) over (partition by episode_id order by t) as r from c) select vec_id, '<L ' || c[2:-2] || ' R ' || r[2:-2] || '>' as said from z where r is not null")
 def x12(spark, sf):
-    rows = _moves(spark, sf).withColumn("c", motion_text.compact(M3)).withColumn("r", F.lead("c").over(Window.partitionBy("episode_id").orderBy("t")))
+    rows = _moves(spark, sf).withColumn("c", motion_text.compact(_move(False))).withColumn("r", F.lead("c").over(Window.partitionBy("episode_id").orderBy("t")))
     return rows.where("r is not null").select("vec_id", motion_text.bimanual(F.col("c"), F.col("r"), True).alias("said"))
 
 
@@ -79,7 +82,7 @@ def _word(v: str, a: float, b: float) -> str:
   n as (select *, nullif(regexp_extract(p, '([0-9]+) (cm|degrees)$', 1), '')::double as v from s)
   select vec_id, string_agg(case when v is null then p when p like 'move %' then regexp_replace(p, ' [0-9]+ cm$', '') || ' ' || {_word('v', 3, 8)} else regexp_replace(p, ' [0-9]+ degrees$', '') || ' ' || case when v < 10 then 'slightly' when v < 30 then 'moderately' else 'a lot' end end, ', ' order by i) as said from n group by 1""")
 def x13(spark, sf):
-    return _moves(spark, sf).select("vec_id", motion_text.scale_words(motion_text.verbose(M)).alias("said"))
+    return _moves(spark, sf).select("vec_id", motion_text.scale_words(motion_text.verbose(_move())).alias("said"))
 
 
 def _back(v: str) -> str:
@@ -88,13 +91,13 @@ def _back(v: str) -> str:
 
 @query("op_x14_parse_verbose", f"with {_MOVES} select vec_id, {_back('dx')} as dx, {_back('dy')} as dy, {_back('dz')} as dz, round(round_even(abs(roll) / 10, 0) * 10 * sign(roll) * pi() / 180, 6) + 0.0 as roll, round(round_even(abs(pitch) / 10, 0) * 10 * sign(pitch) * pi() / 180, 6) + 0.0 as pitch, round(round_even(abs(yaw) / 10, 0) * 10 * sign(yaw) * pi() / 180, 6) + 0.0 as yaw, (grip >= 0.5)::int::double as gripper from mv")
 def x14(spark, sf):
-    parsed = _moves(spark, sf).withColumn("p", motion_text.parse_verbose(motion_text.verbose(M)))
+    parsed = _moves(spark, sf).withColumn("p", motion_text.parse_verbose(motion_text.verbose(_move())))
     return parsed.select("vec_id", *[(F.round(F.col(f"p.{c}"), 6) + F.lit(0.0)).alias(c) for c in ("dx", "dy", "dz", "roll", "pitch", "yaw")], "p.gripper")
 
 
 @query("op_x14_parse_compact", f"with {_MOVES} select vec_id, round_even(dx, 0) / 100 + 0.0 as dx, round_even(dy, 0) / 100 + 0.0 as dy, round_even(dz, 0) / 100 + 0.0 as dz, (grip >= 0.5)::int::double as gripper from mv")
 def x14_compact(spark, sf):
-    parsed = _moves(spark, sf).withColumn("p", motion_text.parse_compact(motion_text.compact(M3)))
+    parsed = _moves(spark, sf).withColumn("p", motion_text.parse_compact(motion_text.compact(_move(False))))
     return parsed.select("vec_id", *[(F.col(f"p.{c}") + F.lit(0.0)).alias(c) for c in ("dx", "dy", "dz")], "p.gripper")
 
 
@@ -118,7 +121,7 @@ _U = [_q("roll", ("tilt left", "tilt right"), 5, 10, 30), _q("pitch", ("tilt bac
 
 @query("op_x16_qualitative", f"with {_MOVES}, p as (select vec_id, {_GRIP} as g, nullif(concat_ws(' and ', {', '.join(_T)}), '') as a, nullif(concat_ws(' and ', {', '.join(_U)}), '') as b from mv) select vec_id, concat_ws(', ', 'move ' || a, b, case when a is null and b is null then g else 'then ' || g end) as said from p")
 def x16_qualitative(spark, sf):
-    return _moves(spark, sf).select("vec_id", motion_text.qualitative(M).alias("said"))
+    return _moves(spark, sf).select("vec_id", motion_text.qualitative(_move()).alias("said"))
 
 
 _D1 = {a: f"(round_even({a}, 1) + 0.0)::varchar" for a in ("dx", "dy", "dz", "roll", "pitch", "yaw")}
@@ -126,12 +129,12 @@ _D1 = {a: f"(round_even({a}, 1) + 0.0)::varchar" for a in ("dx", "dy", "dz", "ro
 
 @query("op_x16_component", f"with {_MOVES} select vec_id, 'translation: (' || concat_ws(', ', {_D1['dx']}, {_D1['dy']}, {_D1['dz']}) || ') cm; gripper: ' || {_GRIP} as said from mv")
 def x16_component(spark, sf):
-    return _moves(spark, sf).select("vec_id", motion_text.component(M3).alias("said"))
+    return _moves(spark, sf).select("vec_id", motion_text.component(_move(False)).alias("said"))
 
 
 @query("op_x16_json", f"""with {_MOVES} select vec_id, '{{"dx_cm":' || {_D1['dx']} || ',"dy_cm":' || {_D1['dy']} || ',"dz_cm":' || {_D1['dz']} || ',"gripper":"' || {_GRIP} || '"}}' as said from mv""")
 def x16_json(spark, sf):
-    return _moves(spark, sf).select("vec_id", motion_text.as_json(M3).alias("said"))
+    return _moves(spark, sf).select("vec_id", motion_text.as_json(_move(False)).alias("said"))
 
 
 _NUM = "['" + "','".join(motion_text.NUMBERS) + "']"
@@ -146,7 +149,7 @@ def _by(v: str, a: str, b: str) -> str:
   select vec_id, case len(p) when 0 then 'The robot remained stationary' when 1 then 'The robot moved ' || p[1] when 2 then 'The robot moved ' || p[1] || ' and ' || p[2] else 'The robot moved ' || p[1] || ', ' || p[2] || ', and ' || p[3] end
   || case when grip >= 0.5 then ' while opening the gripper.' else ' while closing the gripper.' end as said from l""")
 def x16_sentence(spark, sf):
-    return _moves(spark, sf).select("vec_id", motion_text.sentence(M3).alias("said"))
+    return _moves(spark, sf).select("vec_id", motion_text.sentence(_move(False)).alias("said"))
 
 
 def _only(v: str, a: str, b: str) -> str:
@@ -158,13 +161,13 @@ _ONLY = f"concat_ws(', ', {_only('dx', 'forward', 'backward')}, {_only('dy', 'le
 
 @query("op_x16_direction_only", f"with {_MOVES} select vec_id, {_ONLY} as said from mv")
 def x16_direction(spark, sf):
-    return _moves(spark, sf).select("vec_id", motion_text.directions_only(M3).alias("said"))
+    return _moves(spark, sf).select("vec_id", motion_text.directions_only(_move(False)).alias("said"))
 
 
 @query("op_x17_format_dispatch", f"with {_MOVES} select vec_id, case vec_id % 3 when 0 then {_CM} when 1 then {_ONLY} end as said from mv")
 def x17(spark, sf):
     style = F.get(F.array(F.lit("compact"), F.lit("direction_only"), F.lit("other")), (F.col("vec_id") % 3).cast("int"))
-    return _moves(spark, sf).withColumn("style", style).select("vec_id", motion_text.formatted(F.col("style"), M3).alias("said"))
+    return _moves(spark, sf).withColumn("style", style).select("vec_id", motion_text.formatted(F.col("style"), _move(False)).alias("said"))
 
 
 @query("op_x18_summaries", f"""with {_MOVES}, x as (select *, lead(grip) over (partition by episode_id order by t) as g2 from mv)
@@ -173,12 +176,12 @@ def x17(spark, sf):
   case when sqrt(dx*dx + dy*dy + dz*dz) < 2 then 'small movement' when sqrt(dx*dx + dy*dy + dz*dz) < 6 then 'moderate movement' else 'large movement' end as magnitude from x""")
 def x18(spark, sf):
     rows = _moves(spark, sf).withColumn("g2", F.lead("grip").over(Window.partitionBy("episode_id").orderBy("t")))
-    return rows.select("vec_id", motion_text.dominant_directions(M3).alias("directions"), motion_text.gripper_change(F.col("grip"), F.col("g2")).alias("gripper"), motion_text.magnitude(M3).alias("magnitude"))
+    return rows.select("vec_id", motion_text.dominant_directions(_move(False)).alias("directions"), motion_text.gripper_change(F.col("grip"), F.col("g2")).alias("gripper"), motion_text.magnitude(_move(False)).alias("magnitude"))
 
 
 @query("op_f10_idle_moves", f"with {_MOVES} select vec_id, sqrt(dx*dx + dy*dy + dz*dz) < 4 and sqrt(roll*roll + pitch*pitch + yaw*yaw) < 15 as idle from mv")
 def f10(spark, sf):
-    return _moves(spark, sf).select("vec_id", motion_text.is_idle(M, 4.0, 15.0).alias("idle"))
+    return _moves(spark, sf).select("vec_id", motion_text.is_idle(_move(), 4.0, 15.0).alias("idle"))
 
 
 _BOX = f"{POSES}, bx as (select vec_id, episode_id, least(greatest(0.4 + e1, 0), 1) as x0, least(greatest(0.4 + e2, 0), 1) as y0, least(greatest(0.6 + e3, 0), 1) as x1, least(greatest(0.6 + e4, 0), 1) as y1 from poses)"
@@ -189,13 +192,13 @@ def _boxes(spark, sf):
     return poses(spark, sf).select("vec_id", "episode_id", held(0.4, "e1").alias("x0"), held(0.4, "e2").alias("y0"), held(0.6, "e3").alias("x1"), held(0.6, "e4").alias("y1"))
 
 
-B = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+_CORNERS = ("x0", "y0", "x1", "y1")
 _LOC = " || ".join(f"'<loc' || lpad(round_even({c} * 1023, 0)::int::varchar, 4, '0') || '>'" for c in ("y0", "x0", "y1", "x1"))
 
 
 @query("op_x3_loc_tokens", f"with {_BOX} select vec_id, {_LOC} as tokens from bx")
 def x3(spark, sf):
-    return _boxes(spark, sf).select("vec_id", boxes.box_tokens(*B).alias("tokens"))
+    return _boxes(spark, sf).select("vec_id", boxes.box_tokens(*map(F.col, _CORNERS)).alias("tokens"))
 
 
 _TURN = " || ".join(f"'<loc' || lpad((1023 - round_even({c} * 1023, 0)::int)::varchar, 4, '0') || '>'" for c in ("y1", "x1", "y0", "x0"))
@@ -203,7 +206,7 @@ _TURN = " || ".join(f"'<loc' || lpad((1023 - round_even({c} * 1023, 0)::int)::va
 
 @query("op_x4_rotate_tokens", f"with {_BOX} select vec_id, {_TURN} as tokens from bx")
 def x4(spark, sf):
-    return _boxes(spark, sf).select("vec_id", boxes.rotate_tokens(boxes.box_tokens(*B)).alias("tokens"))
+    return _boxes(spark, sf).select("vec_id", boxes.rotate_tokens(boxes.box_tokens(*map(F.col, _CORNERS))).alias("tokens"))
 
 
 _DIR = """case when y > 2 * abs(x) then 'forward' when y < -2 * abs(x) then 'back' when x > abs(y) / 2 then 'right' when x < -abs(y) / 2 then 'left'
@@ -213,17 +216,17 @@ _XY = "xy as (select *, (x0 + x1) / 2 - 0.5 as x, 0.5 - (y0 + y1) / 2 as y from
 
 @query("op_x5_box_direction", f"with {_BOX}, {_XY} select vec_id, 'move ' || {_DIR} as direction from xy")
 def x5(spark, sf):
-    return _boxes(spark, sf).select("vec_id", boxes.direction(*B, prefix="move ").alias("direction"))
+    return _boxes(spark, sf).select("vec_id", boxes.direction(*map(F.col, _CORNERS), prefix="move ").alias("direction"))
 
 
 @query("op_x6_rotate_direction", f"with {_BOX}, {_XY}, d as (select vec_id, {_DIR} as d from xy) select vec_id, array_to_string(list_transform(string_split(d, ' '), lambda w: case w when 'left' then 'right' when 'right' then 'left' when 'forward' then 'back' when 'back' then 'forward' else w end), ' ') as direction from d")
 def x6(spark, sf):
-    return _boxes(spark, sf).select("vec_id", boxes.rotate_direction(boxes.direction(*B)).alias("direction"))
+    return _boxes(spark, sf).select("vec_id", boxes.rotate_direction(boxes.direction(*map(F.col, _CORNERS))).alias("direction"))
 
 
 @query("op_x7_box_caption", f"with {_BOX} select episode_id, string_agg({_LOC} || ' obj' || (vec_id % 3), ' ; ' order by vec_id) as caption from bx group by 1")
 def x7(spark, sf):
-    one = F.struct("vec_id", F.concat(F.lit("obj"), (F.col("vec_id") % 3).cast("string")).alias("label"), boxes.box_tokens(*B).alias("loc"))
+    one = F.struct("vec_id", F.concat(F.lit("obj"), (F.col("vec_id") % 3).cast("string")).alias("label"), boxes.box_tokens(*map(F.col, _CORNERS)).alias("loc"))
     return _boxes(spark, sf).groupBy("episode_id").agg(boxes.caption(F.array_sort(F.collect_list(one))).alias("caption"))
 
 
@@ -263,7 +266,7 @@ def x19(spark, sf):
 
 @query("op_x20_robot_dispatch", f"with {_MOVES} select vec_id, case when episode_id % 2 = 0 then {_CM} else {_ONLY} end as said from mv")
 def x20(spark, sf):
-    return _moves(spark, sf).select("vec_id", F.when(F.col("episode_id") % 2 == 0, motion_text.compact(M3)).otherwise(motion_text.directions_only(M3)).alias("said"))
+    return _moves(spark, sf).select("vec_id", F.when(F.col("episode_id") % 2 == 0, motion_text.compact(_move(False))).otherwise(motion_text.directions_only(_move(False))).alias("said"))
 
 
 @query("op_x21_prompt_assembly", f"with {POSES} select vec_id, 'Task: label ' || episode_id || ', State: ' || concat_ws(' ', {', '.join(f'least(floor((e{k} + 1) * 128), 255)::int::varchar' for k in range(1, 5))}) || case when vec_id % 4 = 0 then '' else '; Action: ' end as prompt from poses")
@@ -277,7 +280,7 @@ def x21(spark, sf):
 
 @query("op_x22_token_classes", f"with {_MOVES}, w as (select vec_id, unnest(string_split({_VERBOSE}, ' ')) as w from mv) select vec_id, count_if(regexp_matches(w, '[0-9]'))::bigint as numbers, count_if(regexp_matches(lower(w), '^(left|right|forward|back|backward|up|down|clockwise|counterclockwise),?$'))::bigint as directions, count(*) as n from w group by 1")
 def x22(spark, sf):
-    words = _moves(spark, sf).select("vec_id", F.explode(F.split(motion_text.verbose(M), " ")).alias("w"))
+    words = _moves(spark, sf).select("vec_id", F.explode(F.split(motion_text.verbose(_move()), " ")).alias("w"))
     return words.groupBy("vec_id").agg(F.count_if(masks.is_number(F.col("w"))).alias("numbers"), F.count_if(masks.is_direction(F.col("w"))).alias("directions"), F.count(F.lit(1)).alias("n"))
 
 
@@ -326,7 +329,7 @@ def x30(spark, sf):
 
 @query("op_x31_cascade_text", f"with {_MOVES} select vec_id, case episode_id % 3 when 0 then '[plan] ' || {_ONLY} when 1 then '[stage] label ' || episode_id || ' [action] ' || {_CM} else {_CM} end as said from mv")
 def x31(spark, sf):
-    short, only, family = motion_text.compact(M3), motion_text.directions_only(M3), F.col("episode_id") % 3
+    short, only, family = motion_text.compact(_move(False)), motion_text.directions_only(_move(False)), F.col("episode_id") % 3
     stage = F.concat(F.lit("[stage] label "), F.col("episode_id").cast("string"), F.lit(" [action] "), short)
     return _moves(spark, sf).select("vec_id", F.when(family == 0, F.concat(F.lit("[plan] "), only)).when(family == 1, stage).otherwise(short).alias("said"))
 
@@ -355,7 +358,7 @@ def x35(spark, sf):
 
 @query("op_x36_segment_parse", f"with {_MOVES} select vec_id, 'label ' || episode_id as stage, {_CM} as action from mv")
 def x36(spark, sf):
-    said = F.concat(F.lit("[stage] label "), F.col("episode_id").cast("string"), F.lit(" [action] "), motion_text.compact(M3))
+    said = F.concat(F.lit("[stage] label "), F.col("episode_id").cast("string"), F.lit(" [action] "), motion_text.compact(_move(False)))
     part = lambda name: F.trim(F.regexp_extract("said", rf"\[{name}\]\s*([^\[]*)", 1)).alias(name)
     return _moves(spark, sf).withColumn("said", said).select("vec_id", part("stage"), part("action"))
 

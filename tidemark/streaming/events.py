@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str, most_files: int = 16) -> DataFrame:
-    """A stream of Parquet event files."""
+    """A stream of Parquet event files; watermarks need ``ts`` with a time zone, the session's if it has none."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, size: str, late: str = "1 hour", slide: str | None = None) -> DataFrame:
