@@ -118,7 +118,8 @@ def r6_to_matrix(r: Columns, by: str = "rows") -> list[Column]:
     a = unit(r[:3])
     along = a[0] * r[3] + a[1] * r[4] + a[2] * r[5]
     b = unit([r[3 + k] - along * a[k] for k in range(3)])
-    c = unit([a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]])
+    # Of unit length already, or zero where a or b is.
+    c = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
     return [*a, *b, *c] if by == "rows" else transpose([*a, *b, *c])
 
 
