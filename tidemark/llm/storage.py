@@ -1,8 +1,4 @@
-"""Tables in the folder that the driver and all executors share.
-
-``spark.checkpoint.dir`` names that folder on a cluster.  Only in local mode, where driver and executors are
-one process, an unset folder is replaced by a temporary one.
-"""
+"""Tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
@@ -13,20 +9,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
+from tidemark.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    base = base or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        base = context.getCheckpointDir()
-    return base.rstrip("/")
+_PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
