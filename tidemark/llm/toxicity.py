@@ -135,7 +135,7 @@ class Reader:
                 counts[self.model.restore(chars)] += 1
         out: Counter = Counter()
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > (50_000 if self.chosen is None else 150_000):  # of words' features, not of words
             known.clear()
         for token, n in counts.items():
             of = known.get(token)
