@@ -191,6 +191,11 @@ def test_every_spec_compiles(spark):
         out = standardize.standardized(rows, spec, EP)
         assert set(out.columns) == {"episode_id", "t", "state", "action", "language_action", "instruction"}, name
     assert standardize.spec_of("droid_100") == "droid"
+    assert standardize.mixture_of("bridge") == [("bridge_v2_oxe", 1.0)] and all(standardize.spec_of(d) for d, _ in standardize.mixture_of("oxe_magic_soup"))
+    for name, steps in standardize.BIMANUAL.items():
+        both = spark.createDataFrame([("e", t, [0.1 * t] * 14, [50.0] * 14) for t in range(2)], "episode_id string, t int, state array<double>, action array<double>")
+        got = [r["action"] for r in standardize.standardized_bimanual(both, steps, EP).orderBy("t").collect()]
+        assert len(got[0]) == 14 and got[0][0] == pytest.approx(0.1) and got[1][0] == 0.0, name
     with pytest.raises(KeyError):
         standardize.spec_of("unknown")
 

@@ -140,7 +140,7 @@ DATASETS = {
     "iamlab_pick_insert": [f"iamlab_cmu_pickup_insert{_SUFFIX}"], "molmoact": ["molmoact_dataset"], "berkeley_fanuc": ["berkeley_fanuc_manipulation"],
     "playfusion": ["cmu_play_fusion"], "gnm": ["berkeley_gnm_recon", "berkeley_gnm_cory_hall", "berkeley_gnm_sac_son"],
     "tdroid": [f"tdroid_{x}" for x in ("carrot_in_bowl", "pour_corn_in_pot", "flip_pot_upright", "move_object_onto_plate", "knock_object_over", "cover_object_with_towel")],
-    "libero": [f"libero_{x}_no_noops" for x in ("spatial", "object", "goal", "10")] + [f"libero_{x}_no_noops_mini" for x in ("10", "goal", "object", "spatial")],
+    "libero": [f"libero_{x}_no_noops" for x in ("spatial", "object", "goal", "10")] + [f"libero_{x}_no_noops_{y}" for y in ("mini", "half", "quad") for x in ("10", "goal")] + ["libero_combined"],
     "human": [f"ego4d_split_{k}" for k in range(1, 5)], "planning": ["planning_dataset"], "yam": [f"yam_{x}" for x in ("dataset", "demo_dataset", "rollout_dataset")],
     "franka": [f"franka_{x}" for x in ("dataset", "demo_dataset", "towel_demo_dataset", "rollout_dataset")], "yam_jointpos": ["yam_jointpos_dataset", "yam_jointpos_dataset_small"],
     "agibot_large": ["agibot_large_dataset"],
@@ -265,7 +265,23 @@ class DatasetConfig:
 
 
 #: Named mixtures, dataset and weight.
-MIXTURES = {"libero_finetune": [(f"libero_{x}_no_noops", 1.0) for x in ("spatial", "object", "goal", "10")]}
+MIXTURES = {
+    "libero_finetune": [(f"libero_{x}_no_noops", 1.0) for x in ("spatial", "object", "goal", "10")],
+    "oxe_magic_soup": [
+        ("bc_z", 0.05), ("droid", 2.0), ("fractal20220817_data", 1.0), ("bridge_v2_oxe", 1.0), ("taco_play", 2.0), ("jaco_play", 1.0),
+        (f"furniture_bench_dataset{_SUFFIX}", 0.05), ("utaustin_mutex", 1.0), ("berkeley_fanuc_manipulation", 2.0), ("fmb", 0.05), ("berkeley_autolab_ur5", 1.0),
+        (f"austin_buds_dataset{_SUFFIX}", 1.0), (f"austin_sailor_dataset{_SUFFIX}", 1.0), (f"austin_sirius_dataset{_SUFFIX}", 1.0), ("viola", 1.0), ("molmoact_dataset", 1.0),
+    ],
+}
+
+
+def mixture_of(name: str) -> list[tuple[str, float]]:
+    """A named mixture, or the dataset of that name alone; ``bridge`` stands for ``bridge_v2_oxe``."""
+    if name in MIXTURES:
+        return MIXTURES[name]
+    dataset = "bridge_v2_oxe" if name == "bridge" else name
+    spec_of(dataset)
+    return [(dataset, 1.0)]
 
 
 def dispatch(dataset: str, exact: dict, matchers: list[tuple[int, str, object]], default):

@@ -179,3 +179,9 @@ def suppression(spark, sf):
     order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), F.col("t").cast("int").alias("t")))), lambda s: s["t"])
     kept = frames(spark, sf).where("event_type = 'view'").groupBy("episode_id").agg(folds.suppress_near(order, 6).alias("k"))
     return kept.select("episode_id", F.explode("k").alias("t"))
+
+
+@query("op_mixture_shares", "select dataset, round(weight / sum(weight) over (), 6) as share from (values " + ", ".join(f"('{d}', {w}::double)" for d, w in standardize.MIXTURES["oxe_magic_soup"]) + ") v(dataset, weight)")
+def mixture_shares(spark, sf):
+    rows = spark.createDataFrame(standardize.mixture_of("oxe_magic_soup"), "dataset string, weight double")
+    return rows.select("dataset", F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy()), 6).alias("share"))
