@@ -89,16 +89,19 @@ def positions(left: DataFrame, right: DataFrame, key: str, at: str) -> DataFrame
     return a.join(b, [key, at], "full").withColumn("side", side).drop("__l", "__r")
 
 
-def first_containing(names: DataFrame, patterns: DataFrame, name: str, pattern: str, priority: str) -> DataFrame:
+def first_containing(names: DataFrame, patterns: DataFrame, name: str, pattern: str, priority: str, most: int = 10_000) -> DataFrame:
     """Each name with the pattern equal to it, else the first by priority that it contains, else null.
 
-    Patterns are a registry's, so there are few; they travel as one sorted array in one row.
+    Patterns are a registry's: at most ``most`` of them become part of the plan, more are refused.
     """
-    listed = patterns.agg(F.array_sort(F.collect_list(F.struct(F.col(priority).alias("p"), F.col(pattern).alias("s")))).alias("__p"))
-    with_list = names.join(F.broadcast(listed))
-    exact = F.get(F.filter("__p", lambda x: x["s"] == F.col(name)), F.lit(0))["s"]
-    inside = F.get(F.filter("__p", lambda x: F.contains(F.col(name), x["s"])), F.lit(0))["s"]
-    return with_list.withColumn("matched", F.coalesce(exact, inside)).drop("__p")
+    found = patterns.select(pattern, priority).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} patterns")
+    listed = [r[pattern] for r in sorted(found, key=lambda r: (r[priority], r[pattern]))]
+    every = F.array(*[F.lit(p) for p in listed]) if listed else F.array().cast("array<string>")
+    exact = F.when(F.array_contains(every, F.col(name)), F.col(name))
+    inside = F.get(F.filter(every, lambda p: F.contains(F.col(name), p)), F.lit(0))
+    return names.withColumn("matched", F.coalesce(exact, inside))
 
 
 def composite_key(*parts: Column) -> Column:

@@ -42,11 +42,13 @@ def allocation(weights: DataFrame, dataset: str, total: int) -> DataFrame:
     return base.select(dataset, (F.col("__f") + F.when(nth <= left, 1).otherwise(0)).alias("slots"))
 
 
-def with_batches(rows: DataFrame, order: Column, key: str, size: int, blocks: int = 64) -> DataFrame:
-    """``batch`` for each row in the given order, without the last partial batch.
+def with_batches(rows: DataFrame, order: Column, key: str, size: int, block_rows: int = 1_000_000) -> DataFrame:
+    """``batch`` for each row in the given order (uniform in [0, 1)), without the last partial batch.
 
-    Rows are numbered by hash blocks of the order and their running counts, never in one task.
+    Rows are numbered within equal blocks of the order, about ``block_rows`` each, and by the blocks' running counts; so
+    no task sorts more than a block, and one number per block is summed in order.
     """
+    blocks = max(64, rows.count() // block_rows)
     ranked = rows.withColumn("__o", order).withColumn("__blk", F.floor(F.col("__o") * blocks).cast("int"))
     counts = ranked.groupBy("__blk").agg(F.count(F.lit(1)).alias("__c"))
     ahead = F.sum("__c").over(Window.partitionBy().orderBy("__blk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")
@@ -57,7 +59,10 @@ def with_batches(rows: DataFrame, order: Column, key: str, size: int, blocks: in
 
 
 def fair_order(rows: DataFrame, group: str, key: str, salt: str = "fair") -> DataFrame:
-    """``turn``: the row's place within its group by hash, so that ordering by turn takes groups by turns."""
+    """``turn``: the row's place within its group by hash, so that ordering by turn takes groups by turns.
+
+    Followed by a limit on ``turn``, Spark cuts every group down before the shuffle, so large groups cost no more than small ones.
+    """
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(uniform(salt, F.col(key)), key)))
 
 

@@ -356,10 +356,10 @@ def e2(spark, sf):
 @query("op_m25_normalise", "with s as (select avg(l_quantity) as m, stddev_pop(l_quantity) as d, min(l_extendedprice) as lo, max(l_extendedprice) as hi from lineitem) select l_orderkey, l_linenumber, round((l_quantity - m) / (d + 1e-6), 6) + 0.0 as z, round(least(greatest((l_extendedprice - lo) / (hi - lo + 1e-8) * 2 - 1, -1), 1), 6) + 0.0 as b from lineitem, s")
 def m25(spark, sf):
     rows = read(spark, sf, "lineitem")
-    s = rows.agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("d"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
-    joined = rows.crossJoin(F.broadcast(s))  # one row of statistics
-    z, b = scaling.standardized(F.col("l_quantity"), F.col("m"), F.col("d")), scaling.bounded(F.col("l_extendedprice"), F.col("lo"), F.col("hi"))
-    return joined.select("l_orderkey", "l_linenumber", rounded(z).alias("z"), rounded(b).alias("b"))
+    s = rows.agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("d"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi")).first()
+    z = scaling.standardized(F.col("l_quantity"), F.lit(s["m"]), F.lit(s["d"]))
+    b = scaling.bounded(F.col("l_extendedprice"), F.lit(s["lo"]), F.lit(s["hi"]))
+    return rows.select("l_orderkey", "l_linenumber", rounded(z).alias("z"), rounded(b).alias("b"))
 
 
 @query("op_m26_unnormalise", "select l_orderkey, l_linenumber, l_quantity::double as z, l_extendedprice::double as b from lineitem")
