@@ -21,21 +21,25 @@ from tidemark.llm.storage import materialize
 SEED, WIDTH = 42, 3
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of a text's 3-word shingles, repeats included; 0 for a text without words or a null.
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """XXH64 of each of a text's word shingles, repeats included; none for a text without words or a null.
 
     Only A-Z are lower-cased, and words are runs of anything but space and the bytes 9 to 13: what bytes.lower()
-    and bytes.split() do.  Fewer than three words make one shingle.
+    and bytes.split() do.  Fewer words than ``width`` make one shingle.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    if len(words) < WIDTH:
+        return np.empty(0, dtype="<u8")
+    if len(words) < width:
         shingles = [b" ".join(words)]
     else:
-        shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False))
+        shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
+    return np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
+
+
+def fold(h: np.ndarray) -> int:
+    """The SimHash of shingle hashes: the bits set in over half of them; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         part = h[at : at + (1 << 16)]
@@ -43,6 +47,11 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """64-bit SimHash of a text's 3-word shingles, repeats included; 0 for a text without words or a null."""
+    return fold(shingle_hashes(text))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fp long, content long)`` for each row: the fingerprint as a signed long and a hash of the text."""
 
@@ -183,14 +192,178 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(classes, "fp").select("doc_id", "fp", "content", "component_id")
 
 
+def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """``(doc_id, content, node, n, fp, keys)`` for each row.
+
+    ``node`` is a hash of the set of shingles, ``n`` its size, ``fp`` its SimHash, and ``keys`` one hash for each MinHash band; a
+    text without words has no keys.
+    """
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sketch(text: str | None):
+        own = np.unique(shingle_hashes(text, width))
+        keys = []
+        if len(own):
+            least = np.min([(own[at : at + 4096] * odd).min(axis=1) for at in range(0, len(own), 4096)], axis=0)
+            keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(bands, rows))]
+        return xxhash.xxh64_intdigest(own.tobytes()), len(own), fold(own), np.array(keys, dtype=np.uint64).view(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            found = [sketch(t) for t in batch.column(2).to_pylist()]
+            node, fp = (pa.array(np.array([f[k] for f in found], dtype=np.uint64).view(np.int64)) for k in (0, 2))
+            n, keys = pa.array([f[1] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, n, fp, keys], names=["doc_id", "content", "node", "n", "fp", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows_in = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), "text")
+    return rows_in.mapInArrow(run, f"doc_id {kind}, content bigint, node bigint, n bigint, fp bigint, keys array<bigint>")
+
+
+def candidate_links(members: DataFrame, radius: int, shard_cap: int) -> DataFrame:
+    """``(a, b)``: links among nodes of ``members(node, fp, keys)`` that share a band and lie within the radius, as spanning forests.
+
+    A band shared by over ``shard_cap`` nodes is one class without a look at distances: a superset of its links that
+    costs one row for each member.
+    """
+    banded = members.select("node", "fp", F.explode("keys").alias("key"))
+    hot = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where(F.col("size") > shard_cap)
+    marked = banded.join(hot.select("key", "least"), "key", "left")
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        key, node, fp = (table.column(n).to_numpy() for n in ("key", "node", "fp"))
+        groups, size = np.unique(key, return_inverse=True, return_counts=True)[1:]
+        shared = size[groups] > 1
+        groups, node, fp = groups[shared], node[shared], fp[shared].view(np.uint64)
+        order = np.lexsort((node, fp, groups))
+        groups, node, fp = groups[order], node[order], fp[order]
+        new = np.ones(len(node), dtype=bool)
+        new[1:] = (groups[1:] != groups[:-1]) | (fp[1:] != fp[:-1])
+        heads = np.flatnonzero(new)
+        labels = np.arange(len(heads))
+        if len(heads):
+            for q, m in BKForest(fp[heads], groups[heads]).within(fp[heads], groups[heads], radius, 1 << 11):
+                labels = forest_labels(len(heads), q[q != m], m[q != m], labels)
+        a, b = node, node[heads[labels[np.cumsum(new) - 1]]]
+        yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+    within = marked.where("least is null").select("key", "node", "fp").repartition("key").mapInArrow(run, "a bigint, b bigint")
+    return within.unionByName(marked.where("least <> node").select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct()
+
+
+def similar_classes(sets: list[np.ndarray], start: int, similarity: float) -> np.ndarray:
+    """For each sorted set, the index of the first one reached of its class over links of Jaccard similarity ``similarity`` or more."""
+    labels = np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets])
+    left = np.delete(labels, start)
+    queue = [(start, start)]
+    while queue or len(left):
+        if not queue:
+            queue, left = [(left[0], left[0])], left[1:]
+        at, label = queue.pop()
+        labels[at] = label
+        near = left[np.minimum(sizes[left], sizes[at]) >= similarity * np.maximum(sizes[left], sizes[at]) - 1e-9]
+        if not len(near) or not sizes[at]:
+            continue
+        flat = np.concatenate([sets[k] for k in near])
+        place = np.minimum(np.searchsorted(sets[at], flat), sizes[at] - 1)
+        common = np.add.reduceat((sets[at][place] == flat).astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+        linked = near[common >= similarity * (sizes[at] + sizes[near] - common) - 1e-9]
+        queue += [(k, label) for k in linked]
+        left = np.setdiff1d(left, linked, assume_unique=True)
+    return labels
+
+
+def _row_key(doc_id: str = "doc_id", content: str = "content"):
+    return F.xxhash64(F.col(doc_id), F.col(content))
+
+
+def _verified(docs: DataFrame, cells: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(component, i, j, node, label)``: exact classes within each cell of ``cells(row, node, component, lead, places)``."""
+    own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), "text")
+    texts = own.select(_row_key().alias("row"), "text").join(cells, "row").dropDuplicates(["row"])
+
+    def shingles(batches):
+        for batch in batches:
+            found = pa.array([np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("node", "component", "lead", "places")), found], names=["node", "component", "lead", "places", "shingles"])
+
+    def classes(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        sets = [s.values.to_numpy().view(np.uint64) for s in table.column("shingles")]
+        label = node[similar_classes(sets, int(np.argmax(table.column("lead").to_numpy())), similarity)]
+        return pa.table({**{n: table.column(n) for n in ("component", "i", "j")}, "node": node, "label": label})
+
+    places = "places array<struct<i:int,j:int>>"
+    sets = texts.select("text", "node", "component", "lead", "places").mapInArrow(shingles, f"node bigint, component bigint, lead boolean, {places}, shingles array<bigint>")
+    spread = sets.select("node", "component", "lead", F.explode("places").alias("p"), "shingles").select("node", "component", "lead", "p.i", "p.j", "shingles")
+    return spread.groupBy("component", "i", "j").applyInArrow(classes, "component bigint, i int, j int, node bigint, label bigint")
+
+
+def similar_groups(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 20, rows: int = 5, shard_cap: int = 256, cell: int = 1 << 17
+) -> DataFrame:
+    """``(node, doc_id, content, class)``: one row per distinct set of ``width``-word shingles of ``docs(doc_id, text)``.
+
+    ``class`` is shared by the sets that links of Jaccard similarity ``similarity`` or more connect; doc_id and content are those of the set's
+    first row (smallest doc_id, nulls last).  Texts without words are one set.  Repeated rows, null ids and null texts are
+    allowed; an empty table gives none.
+
+    Candidates share one of ``bands`` MinHash bands of ``rows`` values (a pair at similarity 0.8 does with probability
+    0.9996) and are within ``radius`` bits in that shard's BK-tree.  Each connected class of candidates is then cut into
+    parts of about ``cell`` shingles.  Every part is compared exactly with itself and with the class's centre, the member nearest to
+    the majority of its fingerprints.  Members not of the centre's class are compared with all parts, cell by cell.
+    """
+    sketch = materialize(sketches(docs, width, bands, rows), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "content")).alias("first")
+    grouped = sketch.groupBy("node", "n", "fp", "keys").agg(first)
+    members = materialize(grouped.select("node", "n", "fp", "keys", F.col("first.doc_id").alias("doc_id"), F.col("first.content").alias("content")), "sketch-sets")
+    components = connected_components(candidate_links(members, radius, shard_cap))
+    chosen = members.drop("keys").join(components, "node").withColumn("weight", F.col("n") + 64)
+    bit = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))) for k in range(64)]
+    centre = F.lit(0).cast("long")
+    for k, ones in enumerate(bit):
+        centre = centre.bitwiseOR(F.when(ones * 2 > F.count(F.lit(1)), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    whole = chosen.groupBy("component").agg(centre.alias("centre"), F.ceil(F.sum("weight") / cell).cast("int").alias("parts"))
+    placed = chosen.join(whole, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+    leads = placed.groupBy("component").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))), "node")).getField("node").alias("leader"))
+    placed = placed.join(leads, "component").select("node", "component", "weight", "parts", "part", "leader", _row_key().alias("row"))
+    placed = materialize(placed, "similar-cells")
+
+    def grid(i, j):
+        """All (i, j) over two arrays of numbers."""
+        return F.flatten(F.transform(i, lambda x: F.transform(j, lambda y: F.struct(x.alias("i"), y.alias("j")))))
+
+    lead = F.col("node") == F.col("leader")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    itself, everywhere = F.array("part"), upto("parts")
+    cells = placed.select("row", "node", "component", lead.alias("lead"), grid(F.when(lead, everywhere).otherwise(itself), F.array(F.lit(0))).alias("places"))
+    near = materialize(_verified(docs, cells, width, similarity), "similar-links")
+
+    apart = near.join(placed.where("parts > 1").select("node", "leader", "weight", "parts"), "node").where("label <> leader and node <> leader")
+    rest = apart.groupBy("component").agg(F.ceil(F.sum("weight") / cell).cast("int").alias("others"))
+    mine = apart.select("node", F.lit(True).alias("apart")).distinct()
+    cross = placed.join(rest, "component").join(mine, "node", "left")
+    other = F.pmod(F.xxhash64("node", F.lit("other")), F.col("others")).cast("int")
+    both = grid(itself, upto("others"))
+    both = F.when(F.col("apart"), F.array_union(both, grid(everywhere, F.array(other)))).otherwise(both)
+    far = _verified(docs, cross.select("row", "node", "component", lead.alias("lead"), both.alias("places")), width, similarity)
+    found = near.unionByName(far).where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    roots = connected_components(found)
+    return members.join(roots, "node", "left").select("node", "doc_id", "content", F.coalesce("component", "node").alias("class"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that of the smallest doc_id, nulls last.
+    """``docs`` with one document of each group of similar texts (five-word shingles, similarity 0.8): that of the smallest doc_id, nulls last.
 
     Of rows that repeat a kept document whole, one stays.
     """
-    groups = materialize(near_duplicates(docs), "simhash-groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("content"))).alias("first")
-    kept = groups.groupBy("component_id").agg(first).select(F.col("first.doc_id").alias("__doc"), F.col("first.content").alias("__content"))
-    mine = docs.withColumn("__of", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__content"))
-    return mine.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__of"]).select(*docs.columns)
+    groups = similar_groups(docs.select("doc_id", "text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "content")).alias("first")
+    kept = groups.groupBy("class").agg(first).select(_row_key("first.doc_id", "first.content").alias("__row"))
+    mine = docs.withColumn("__row", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    return mine.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
