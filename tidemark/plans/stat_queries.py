@@ -209,7 +209,7 @@ def t7(spark, sf):
 @query("op_t8_sample_elements", """with w as (select doc_id, unnest(list_distinct(string_split(lower(text[:120]), ' '))) as x from documents),
   r as (select *, row_number() over (partition by doc_id order by md5(doc_id::varchar || x)) as i from w) select doc_id, string_agg(x, '|' order by i) as words from r where i <= 3 group by 1""")
 def t8(spark, sf):
-    words = F.array_distinct(F.split(F.lower(F.substring("text", 1, 120)), " "))
+    words = F.array_distinct(F.split(F.lower("text"), " "))
     return read(spark, sf, "documents").select("doc_id", F.array_join(mixture.sample_elements(words, 3, F.col("doc_id").cast("string")), "|").alias("words"))
 
 
