@@ -160,10 +160,8 @@ def s18(spark, sf):
 
 @query("op_s19_hint_sections", "select conv_id, turn, text as hint from conversations where length(trim(text)) > 0 and turn <= 1")
 def s19(spark, sf):
-    rows = read(spark, sf, "conversations").where("length(trim(text)) > 0 and turn <= 1 and not contains(text, '## ') and text = trim(text)")
-    rest = read(spark, sf, "conversations").where("length(trim(text)) > 0 and turn <= 1 and (contains(text, '## ') or text <> trim(text))").select("conv_id", "turn", F.col("text").alias("hint"))
     text = F.concat(F.lit("# Title\n\n## other\n<replace with your hint>\n## hint\n"), F.col("text"))
-    return rows.select("conv_id", "turn", F.try_element_at(readers.hint_sections(text), F.lit("hint")).alias("hint")).unionByName(rest)
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.map_values(readers.hint_sections(text))).alias("hint"))
 
 
 @query("op_s20_video_frames", "select event_id, (round_even(value * 5, 0) + event_id % 7)::bigint as frame from events")

@@ -11,6 +11,8 @@ REASONING = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StructType([
     T.StructField("metadata", T.StructType([T.StructField("n_steps", T.IntegerType())])),
     T.StructField("reasoning", T.MapType(T.StringType(), STEP)),
 ])))
+#: White space as Python strips it.
+_BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def episodes(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
@@ -68,9 +70,19 @@ def validity(checks: list[tuple[str, Column]]) -> Column:
 
 
 def hint_sections(text: Column) -> Column:
-    """map<string, string> of ``## key`` sections of a Markdown text; sections that are still placeholders are left out."""
-    sections = F.transform(F.slice(F.split(F.concat(F.lit("\n"), text), r"\n## "), 2, 100_000), lambda s: F.struct(F.trim(F.substring_index(s, "\n", 1)).alias("k"), F.trim(F.regexp_replace(s, r"^[^\n]*\n?", "")).alias("v")))
-    return F.map_from_entries(F.filter(sections, lambda s: (F.length(s["v"]) > 0) & ~F.startswith(s["v"], F.lit("<replace with"))))
+    """map<string, string> of ``## key`` sections of a Markdown text; sections that are still placeholders are left out.
+
+    A key is the heading's first word; of sections with one key the last counts.
+    """
+    lines = F.concat(F.lit("\n"), F.regexp_replace(text, r"\R|[\x1c-\x1e]", "\n"))
+    parts = F.split(lines, r"(?U)\n##[^\S\n]+(?=\S)")
+    body = lambda s: F.btrim(F.regexp_replace(s, r"^[^\n]*\n?", ""), F.lit(_BLANK))
+    found = F.transform(parts, lambda s, i: F.struct(F.regexp_extract(s, r"(?U)^\S*", 0).alias("k"), (-i).alias("i"), body(s).alias("v")))
+    # By key and from the last; the text before the first heading has no key.
+    by_key = F.array(F.array_sort(F.filter(found, lambda s: s["i"] < 0)))
+    last = F.get(F.transform(by_key, lambda a: F.filter(a, lambda s, i: (i == 0) | (F.get(a, i - 1)["k"] != s["k"]))), F.lit(0))
+    kept = F.filter(last, lambda s: (F.length(s["v"]) > 0) & ~F.startswith(s["v"], F.lit("<replace with")))
+    return F.map_from_entries(F.transform(kept, lambda s: F.struct(s["k"], s["v"])))
 
 
 def chosen_instruction(*columns: Column) -> Column:
