@@ -58,6 +58,26 @@ def with_batches(rows: DataFrame, order: Column, key: str, size: int, block_rows
     return numbered.where(F.col("batch") < F.floor(F.col("__total") / size)).select(*rows.columns, "batch")
 
 
+def nulls_last_places(rows: DataFrame, order: str, key: str, block_rows: int = 1_000_000) -> DataFrame:
+    """``place`` from 1 for each row by a numeric ``order``, nulls last, then by a numeric ``key``.
+
+    Rows are numbered within blocks, ranges of ``order`` or for its nulls of ``key`` that hold about as many rows each, and by
+    the blocks' running counts.  The cuts between blocks are the only values that reach the driver, one for ``block_rows`` rows.
+    """
+    blocks = max(64, rows.count() // block_rows)
+    at = F.coalesce(order, key)
+    steps = F.array(*[F.lit(k / blocks) for k in range(1, blocks)])
+    found = rows.groupBy(F.col(order).isNull().alias("last")).agg(F.percentile_approx(at, steps, F.lit(100 * blocks)).alias("cuts")).collect()
+    cuts = {r["last"]: sorted(set(r["cuts"] or [])) for r in found}
+    block = lambda last: F.size(F.filter(F.array(*[F.lit(c) for c in cuts.get(last, [])]), lambda c: c < at)) if cuts.get(last) else F.lit(0)
+    marked = rows.withColumn("__blk", F.when(F.col(order).isNull(), F.greatest(block(True), F.lit(0)) + blocks).otherwise(block(False)))
+    counts = marked.groupBy("__blk").agg(F.count(F.lit(1)).alias("__c"))
+    ahead = F.sum("__c").over(Window.partitionBy().orderBy("__blk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")
+    within = Window.partitionBy("__blk").orderBy(F.asc_nulls_last(order), F.asc_nulls_last(key))
+    numbered = marked.join(counts.withColumn("__ahead", ahead), "__blk")
+    return numbered.withColumn("place", (F.row_number().over(within) + F.col("__ahead")).cast("bigint")).select(*rows.columns, "place")
+
+
 def fair_order(rows: DataFrame, group: str, key: str, salt: str = "fair") -> DataFrame:
     """``turn``: the row's place within its group by hash, so that ordering by turn takes groups by turns.
 

@@ -222,8 +222,8 @@ def t9(spark, sf):
 
 @query("op_t10_nulls_last_order", "select l.doc_id, row_number() over (order by coalesce(case when quality = 1 then l.doc_id end, 1000000), l.doc_id) as place from labels l where l.doc_id < 300")
 def t10(spark, sf):
-    w = Window.orderBy(F.coalesce(F.when(F.col("quality") == 1, F.col("doc_id")), F.lit(1000000)), "doc_id")
-    return read(spark, sf, "labels").where("doc_id < 300").select("doc_id", F.row_number().over(w).cast("bigint").alias("place"))
+    rows = read(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, F.col("doc_id")).alias("at"))
+    return mixture.nulls_last_places(rows, "at", "doc_id").select("doc_id", "place")
 
 
 @query("op_t11_claim_first", "select o_orderkey from orders where o_orderstatus = 'O' order by o_orderkey limit 25")
