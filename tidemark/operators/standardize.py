@@ -284,14 +284,14 @@ def mixture_of(name: str) -> list[tuple[str, float]]:
     return [(dataset, 1.0)]
 
 
-def dispatch(dataset: str, exact: dict, matchers: list[tuple[int, str, object]], default):
+def dispatch(dataset: Column, exact: dict, matchers: list[tuple[int, str, object]], default) -> Column:
     """By exact name, else the matcher of highest priority whose text the name contains, else the default."""
-    if dataset in exact:
-        return exact[dataset]
-    for _, text, target in sorted(matchers, key=lambda m: -m[0]):
-        if text in dataset:
-            return target
-    return default
+    out = F.lit(default)
+    for _, text, target in reversed(sorted(matchers, key=lambda m: -m[0])):
+        out = F.when(F.contains(dataset, F.lit(text)), F.lit(target)).otherwise(out)
+    for name, target in exact.items():
+        out = F.when(dataset == name, F.lit(target)).otherwise(out)
+    return out
 
 
 def check_config(config: DatasetConfig, supported: tuple[str, ...] = ("EEF_POS", "EEF_R6", "ABS_EEF_POS", "JOINT_POS")) -> list[str]:

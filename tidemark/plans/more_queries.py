@@ -80,10 +80,8 @@ def p15(spark, sf):
 
 @query("op_p17_dispatch", "select s_name, case when s_name = 'Supplier#000000001' then 'exact' when contains(s_name, '99') then 'high' when contains(s_name, '9') then 'low' else 'default' end as target from supplier where s_suppkey < 60")
 def p17(spark, sf):
-    # A registry is plan-time data, so the names of a bounded table are dispatched on the driver as a dataset list would be.
-    names = [r["s_name"] for r in read(spark, sf, "supplier").where("s_suppkey < 60").select("s_name").collect()]
-    rows = [(n, standardize.dispatch(n, {"Supplier#000000001": "exact"}, [(1, "9", "low"), (5, "99", "high")], "default")) for n in names]
-    return spark.createDataFrame(rows, "s_name string, target string")
+    target = standardize.dispatch(F.col("s_name"), {"Supplier#000000001": "exact"}, [(1, "9", "low"), (5, "99", "high")], "default")
+    return read(spark, sf, "supplier").select("s_name", target.alias("target"))
 
 
 @query("op_p24_camera_masks", "select item_id, item_id % 3 <> 0 as present from benchmark")
