@@ -297,7 +297,7 @@ def f8(spark, sf):
 @query("op_f9_safe_prefix", f"with {FRAMES}, b as (select *, min(t) filter (where event_type = 'error') over (partition by episode_id) as safe_end from frames) select event_id from b where t + 2 <= coalesce(safe_end, 1000000)")
 def f9(spark, sf):
     end = F.min(F.when(F.col("event_type") == "error", F.col("t"))).over(EP.whole)
-    return frames(spark, sf).withColumn("safe_end", end).where(F.col("t") + 2 <= F.coalesce("safe_end", F.lit(1000000))).select("event_id")
+    return frames(spark, sf).withColumn("safe_end", end).where(F.col("safe_end").isNull() | (F.col("t") + 2 <= F.col("safe_end"))).select("event_id")
 
 
 @query("op_f11_drop_repeats", f"with {FRAMES}, x as (select event_id, event_type, value > 50 as high, lag(event_type) over w as k, lag(value > 50) over w as h, t from frames window w as (partition by episode_id order by t)) select event_id from x where t = 0 or k is distinct from event_type or h is distinct from high")
