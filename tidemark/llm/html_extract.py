@@ -1,8 +1,9 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
 Tokens are a page's tags with their path.  Over the pages of a host, tokens with the same occurrence vector form a class; classes
-that span enough of the pages are valid, and nest by their paths into the host's template.  What lies between template tokens
-are slots; the slot of the main text is read, without the boilerplate elements inside it.
+that span enough of the pages are valid, and their tokens are the host's template.  The slot of the main text is chosen by paths, not by
+classes: it is the article or main element, or else the common ancestor of all text that isn't the same on each page.
+It is read without the boilerplate elements inside it.
 """
 
 from __future__ import annotations
@@ -122,8 +123,8 @@ class Walk:
                 return
 
 
-def page_tokens(page: str) -> tuple[Counter, Counter]:
-    """How often each path opens, and how much text outside boilerplate lies below it."""
+def page_tokens(page: str, own: dict[str, list[str]] | None = None) -> tuple[Counter, Counter]:
+    """How often each path opens, and how much text outside boilerplate lies below it; ``own`` gets the texts right in each path."""
     walk, opened, chars = Walk(), Counter(), Counter()
     for kind, value, raw in events(page):
         if kind == "open":
@@ -133,6 +134,8 @@ def page_tokens(page: str) -> tuple[Counter, Counter]:
         elif kind == "text" and walk.stack and not walk.stack[-1][2]:
             n = len(value.strip())
             if n:
+                if own is not None:
+                    own.setdefault(walk.stack[-1][1], []).append(value.strip())
                 for _, path, _ in walk.stack:
                     chars[path] += n
     return opened, chars
@@ -141,8 +144,8 @@ def page_tokens(page: str) -> tuple[Counter, Counter]:
 def main_path(tokens: list[tuple[str, int, int, int]]) -> str | None:
     """The template token whose slot is the main text, of (path, class, opened, chars), all in valid classes.
 
-    An article or main element that opens once on each of the host's pages, else the deepest element of a
-    once-per-page class with three fifths of the text or more.
+    An article or main element that opens once on each of the host's pages, else the deepest once-per-page element with all the
+    text that ``chars`` count.
     """
     if not tokens:
         return None
@@ -154,7 +157,7 @@ def main_path(tokens: list[tuple[str, int, int, int]]) -> str | None:
         if found:
             return max(found, key=lambda t: (t[3], -len(t[0]), t[0]))[0]
     total = max((t[3] for t in once), default=0)
-    rich = [t for t in once if total and t[3] >= 0.6 * total and names[t[0]] in CONTAINERS]
+    rich = [t for t in once if total and t[3] >= total and names[t[0]] in CONTAINERS]
     return max(rich, key=lambda t: (t[0].count("/"), t[3], t[0]))[0] if rich else None
 
 
@@ -217,6 +220,17 @@ def main_text(page: str, slot: str | None = None) -> str:
     return ""
 
 
+def varied(rows: list[tuple[str, int, int, bool]]) -> list[int]:
+    """Characters below each path of (path, below, own, same), without the own texts of paths where they are the same on each page."""
+    left = {path: below for path, below, _, _ in rows}
+    for path, _, own, same in rows:
+        if same and own:
+            for at in [*(k for k, c in enumerate(path) if c == "/" and k), len(path)]:
+                if path[:at] in left:
+                    left[path[:at]] -= own
+    return list(left.values())
+
+
 def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1), F.lit(""))).alias("host")
 
@@ -229,36 +243,43 @@ def templates(pages: DataFrame, html: str = "html", url: str = "url", share: flo
     """
 
     def run(batches):
-        names = ["host", "path", "pages", "opened", "s1", "s2", "chars"]
+        names = ["host", "path", "pages", "opened", "s1", "s2", "chars", "own", "lo", "hi"]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sums: dict[tuple[str, str], list[int]] = {}
                 for host, key, page in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                     mix = xxhash.xxh64_intdigest(str(key).encode(), 5)
-                    opened, chars = page_tokens(page or "")
+                    texts: dict[str, list[str]] = {}
+                    opened, chars = page_tokens(page or "", texts)
                     opened[""] = 1
                     for path, n in opened.items():
-                        s = sums.setdefault((host, path), [0, 0, 0, 0, 0])
+                        s = sums.setdefault((host, path), [0, 0, 0, 0, 0, 0, None, None])
                         s[0] += 1
                         s[1] += n
                         s[2] = (s[2] + n * (mix & 0x7FFFFFFF)) & 0x7FFFFFFF
                         s[3] = (s[3] + n * (mix >> 33)) & 0x7FFFFFFF
                         s[4] += chars.get(path, 0)
+                        if path in texts:
+                            same = xxhash.xxh64_intdigest("\n".join(texts[path]).encode("utf-8", "replace")) >> 1
+                            s[5] += sum(map(len, texts[path]))
+                            s[6] = same if s[6] is None else min(s[6], same)
+                            s[7] = same if s[7] is None else max(s[7], same)
                 columns = [pa.array([k[j] for k in sums], pa.string()) for j in range(2)]
-                columns += [pa.array([s[j] for s in sums.values()], pa.int64()) for j in range(5)]
+                columns += [pa.array([s[j] for s in sums.values()], pa.int64()) for j in range(8)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = pages.select(host_of(url), F.xxhash64(F.col(url), F.monotonically_increasing_id()).alias("key"), F.col(html).alias("html"))
-    partial = rows.mapInArrow(run, "host string, path string, pages bigint, opened bigint, s1 bigint, s2 bigint, chars bigint")
-    sums = partial.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "opened", "s1", "s2", "chars")])
+    partial = rows.mapInArrow(run, "host string, path string, pages bigint, opened bigint, s1 bigint, s2 bigint, chars bigint, own bigint, lo bigint, hi bigint")
+    sums = partial.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "opened", "s1", "s2", "chars", "own")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     sums = sums.withColumn("s1", F.pmod("s1", F.lit(1 << 31))).withColumn("s2", F.pmod("s2", F.lit(1 << 31)))
     size = sums.where("path = ''").select("host", F.col("pages").alias("host_pages"))
     valid = sums.where("path <> ''").join(size, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= F.col("host_pages") * share))
-    tokens = valid.select("host", "host_pages", "path", "opened", "chars", F.xxhash64("pages", "opened", "s1", "s2").alias("class"))
+    tokens = valid.select("host", "host_pages", "path", "opened", "chars", "own", F.col("lo").eqNullSafe(F.col("hi")).alias("same"), F.xxhash64("pages", "opened", "s1", "s2").alias("class"))
 
     def deduce(group: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(group["path"], group["class"], group["opened"], group["chars"], strict=True))
+        chars = varied(list(zip(group["path"], group["chars"], group["own"], group["same"], strict=True)))
+        rows = list(zip(group["path"], group["class"], group["opened"], chars, strict=True))
         held = sorted(({"path": p, "class": int(c)} for p, c, _, _ in rows), key=lambda t: t["path"])
         return pd.DataFrame({"host": [group["host"].iloc[0]], "pages": [group["host_pages"].iloc[0]], "slot": [main_path(rows)], "tokens": [held]})
 
