@@ -113,24 +113,61 @@ def test_gear_hash_by_definition():
         assert int(h[i]) == sum(int(chunk_dedup.GEAR[data[i - j]]) << j for j in range(min(32, i + 1))) % (1 << 32)
 
 
-@given(st.lists(st.text(alphabet="ab é日\n", max_size=700), max_size=4))
+def slow_cuts(text):
+    """Chunk begins of a text with white space at least every 96 bytes, from the definition: bytes, words, sixteen bytes of hash."""
+    data = text.encode()
+    word = [i for i in range(1, len(data)) if data[i : i + 1].strip() and not data[i - 1 : i].strip()]
+    low = {i: sum(int(chunk_dedup.GEAR[data[i - 1 - j]]) << j for j in range(min(16, i))) & 0xFFFF for i in word}
+    near = chunk_dedup.NEAR_WORDS
+    cuts = [i for n, i in enumerate(word) if all(low[i] < low[x] for x in word[n + 1 : n + 1 + near]) and all(low[i] <= low[x] for x in word[max(0, n - near) : n])]
+    out = [0]
+    for c in [*cuts, len(data)]:
+        while c - out[-1] > chunk_dedup.MAX_BYTES:
+            reach = [i for i in word if out[-1] < i <= out[-1] + chunk_dedup.MAX_BYTES]
+            out.append(max(reach, key=lambda i: (-low[i], i)))
+        out.append(c)
+    return [len(data[:c].decode()) for c in dict.fromkeys(out)]
+
+
+@given(st.lists(st.text(alphabet="ab é日\n", max_size=90).map(lambda t: (t + " ") * 3), max_size=4))
 @settings(max_examples=80, deadline=None)
-def test_chunks_cover_texts(texts):
-    which, start, end, words, digest = chunk_dedup.chunk_texts(texts)
+def test_chunk_pairs_by_definition(texts):
+    which, start, info, digest = chunk_dedup.chunk_pairs(texts)
     for k, t in enumerate(texts):
+        cuts = slow_cuts(t)
+        want = list(zip(cuts, cuts[2:], strict=False)) or [(0, len(t))]
         mine = which == k
-        assert "".join(t[a:b] for a, b in zip(start[mine], end[mine], strict=True)) == t
-        assert words[mine].sum() == len(t.replace("\x1c", "x").split())
-        for a, b, d in zip(start[mine], end[mine], digest[mine], strict=True):
-            assert np.uint64(xxhash.xxh3_64_intdigest(t[a:b].encode().rstrip())) == np.int64(d).view(np.uint64)
+        assert start[mine].tolist() == [a for a, _ in want]
+        bodies = [t[a:b].encode().rstrip() for a, b in want]
+        assert digest[mine].view(np.uint64).tolist() == [xxhash.xxh3_64_intdigest(b) for b in bodies]
+        assert (info[mine] & 1023).tolist() == [len(b.decode()) for b in bodies]
+
+
+def test_texts_without_white_space_are_cut_alike():
+    rng = random.Random(3)
+    text = "".join(rng.choice("日本語文字列漢abc") for _ in range(3000))
+    a, b = (set(chunk_dedup.chunk_pairs([t])[3].tolist()) for t in (text, "xx" + text))
+    assert len(a & b) > 0.9 * len(a)
+    assert len(chunk_dedup.chunk_pairs(["a" * 100_000])[0]) < 3_000
 
 
 def test_chunks_resist_insertions():
     rng = random.Random(4)
     passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(400))
-    _, _, _, _, a = chunk_dedup.chunk_texts([passage])
-    _, _, _, _, b = chunk_dedup.chunk_texts(["some other words first, " + passage[:900] + " inserted " + passage[900:]])
-    assert len(set(a) & set(b)) > 0.9 * len(a)
+    a, b = (chunk_dedup.chunk_pairs([t])[3] for t in (passage, "some other words first, " + passage[:900] + " inserted " + passage[900:]))
+    assert len(set(a.tolist()) & set(b.tolist())) > 0.9 * len(a)
+
+
+@given(st.text(alphabet="ab ", max_size=12), st.text(alphabet="ab ", max_size=12), st.booleans(), st.booleans())
+@settings(max_examples=400, deadline=None)
+def test_common_ends_are_whole_words(a, b, whole_a, whole_b):
+    def fits(m):
+        edge = lambda t, whole: whole if m == len(t) else t[-1 - m] == " "
+        return a[len(a) - m :] == b[len(b) - m :] and a[-m] != " " and edge(a, whole_a) and edge(b, whole_b)
+
+    want = max([m for m in range(1, min(len(a), len(b)) + 1) if fits(m)], default=0)
+    assert chunk_dedup.common_end(a, b, whole_a, whole_b) == want
+    assert chunk_dedup.common_start(a[::-1], b[::-1], whole_a, whole_b) == want
 
 
 def edit_distance_inside(item, region):

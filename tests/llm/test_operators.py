@@ -233,25 +233,65 @@ def test_hot_shards_lose_no_link(spark):
     assert {tuple(r) for r in cut.collect()} == {tuple(r) for r in whole.collect()}
 
 
+def slow_passages(rows, n=50):
+    """Word ranges of each document that lie in a stretch of n words that a smaller doc_id holds; texts with single blanks."""
+    first, covered = {}, {}
+    for i in sorted(rows):
+        words = (rows[i] or "").split()
+        for k in range(len(words) - n + 1):
+            if first.setdefault(" ".join(words[k : k + n]), i) != i:
+                covered.setdefault(i, set()).update(range(k, k + n))
+    return covered
+
+
+def cut_out(text, spans):
+    at, left = 0, []
+    for a, b in sorted(spans):
+        left.append(text[at : max(a, at)])
+        at = max(at, b)
+    return "".join(left) + text[at:] if text else text
+
+
 def test_repeated_passages(spark):
     shared = passage(80, 5)
-    texts = [passage(60, 1) + ". " + shared + ". " + passage(60, 2), passage(70, 3), passage(20, 4) + " \n" + shared + "\n" + passage(90, 6), *ODD, "é日 " * 10 + shared + " ñ", shared[:60]]
+    texts = [passage(60, 1) + ". " + shared + ". " + passage(60, 2), passage(70, 3), passage(20, 4) + " \n" + shared + ".\n" + passage(90, 6), *ODD, "é日 " * 10 + shared + ". ñ", shared[:60]]
     rows = docs(spark, texts).withColumn("owner", F.lit(1)).withColumn("start", F.lit(2))
     found = chunk_dedup.repeated_passages(rows).collect()
-    assert {r["doc_id"] for r in found} == {2, 9} and all(r["kept_in"] == [0] for r in found)
-    for r in found:
-        assert texts[r["doc_id"]][r["start"] : r["end"]].strip() in shared
-    assert {tuple(r) for r in chunk_dedup.repeated_passages(rows, most_frequent=10**9).select("doc_id", "start", "end").collect()} == {(r["doc_id"], r["start"], r["end"]) for r in found}
+    assert {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]], r["words"]) for r in found} == {(k, shared + ".", 80) for k in (2, 9)}
+    assert {(r["doc_id"], r["found_in"]) for r in found} >= {(2, 0), (9, 0)} and all(r["found_in"] < r["doc_id"] for r in found)
     cut = {r["doc_id"]: r["text"] for r in chunk_dedup.without_spans(rows.drop("start", "owner"), chunk_dedup.repeated_passages(rows)).collect()}
-    for k, t in enumerate(texts):
-        spans = sorted((r["start"], r["end"]) for r in found if r["doc_id"] == k)
-        want = t
-        for a, b in reversed(spans):
-            want = want[:a] + want[b:]
-        assert cut[k] == want
+    assert cut == {k: cut_out(t, [(r["start"], r["end"]) for r in found if r["doc_id"] == k]) for k, t in enumerate(texts)}
     assert chunk_dedup.repeated_passages(rows.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("often", [64, 2])
+def test_repeated_passages_against_every_window(spark, often, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    pool = [passage(n, 300 + n) for n in (49, 50, 51, 52, 60, 90, 200)] + ["ha " * 70 + "ho", "one two " * 60 + "end"]
+    texts = {}
+    for k in range(120):
+        parts = [passage(rng.randint(0, 60), 400 + k * 3 + j) for j in range(2)]
+        texts[k] = " ".join([parts[0], *rng.sample(pool, rng.randint(0, 2)), parts[1]]).strip()
+    for k in range(120, 140):
+        texts[k] = " ".join(w for w in texts[k % 7].split() if rng.random() > 0.01)
+    made = chunk_dedup.chunks
+    monkeypatch.setattr(chunk_dedup, "chunks", lambda *a: made(*a, often=often))
+    spans = {}
+    for r in chunk_dedup.repeated_passages(docs(spark, list(texts.values())), min_chars=10**6).collect():
+        stretch = texts[r["doc_id"]][r["start"] : r["end"]]
+        assert r["words"] == len(stretch.split()) and stretch in texts[r["found_in"]] and r["found_in"] < r["doc_id"]
+        begin = len(texts[r["doc_id"]][: r["start"]].split())
+        spans.setdefault(r["doc_id"], set()).update(range(begin, begin + r["words"]))
+    want = slow_passages(texts)
+    assert set(spans) == set(want)
+    for k, v in want.items():
+        # In a stretch of one repeated word or two, words at its ends may stay.
+        lost = v - spans[k]
+        assert spans[k] <= v and all(texts[k].split()[i] in {"ha", "ho", "one", "two", "end"} for i in lost) and len(lost) <= 0.2 * len(v)
+
+
 def test_pages(spark):
     page = "<html><body><nav>m</nav><div class='x'><p>{}</p></div><footer>f</footer></body></html>"
     rows = [(k, f"https://a.example/{k}", page.format(f"text {k} " * 9)) for k in range(6)] + [(7, None, None), (8, "https://b.example/", ""), (9, "bad", "<p>x &lt; y"), (9, "bad", "<p>x &lt; y")]

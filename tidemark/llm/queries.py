@@ -94,8 +94,8 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every passage that an earlier document holds too, with the documents that keep it."""
-    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "words", "kept_in")
+    """Every passage that an earlier document holds too, once for each such document."""
+    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "words", "found_in")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
