@@ -251,3 +251,27 @@ def test_template_slot():
     opened, chars = html_extract.page_tokens(PAGE)
     rows = [(p, 0, n, chars.get(p, 0)) for p, n in opened.items()]
     assert html_extract.main_path(rows) == "/html/body/article"
+
+
+def test_similar_classes_reach_every_link():
+    rng = np.random.default_rng(5)
+    sets, fps = [], []
+    for k in range(60):
+        own = rng.choice(1 << 40, 50, replace=False) if k % 4 == 0 else np.concatenate([sets[-1][3:], rng.choice(1 << 40, 3)])
+        sets.append(np.unique(own).astype(np.uint64))
+        fps.append(simhash.fold(sets[-1]))
+    sets.append(np.empty(0, dtype=np.uint64))
+    fps = np.array([*fps, 0], dtype=np.uint64)
+    links = [(a, b) for a in range(61) for b in range(a) if len(sets[a]) and len(sets[b]) and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    for start in (0, 7, 60):
+        got = simhash.similar_classes(sets, fps, start, 0.8, 64)
+        want = components(61, links)
+        assert len(set(got)) == len(set(want)) == len({(int(g), w) for g, w in zip(got, want, strict=True)}) and got[start] == start
+
+
+def test_block_keys_catch_every_pair():
+    keys = simhash.block_keys(2)
+    assert len(keys) == 15 and min(sum(hi - lo for lo, hi in k) for k in keys) >= 42
+    for a in range(64):
+        for b in range(a):
+            assert any(not any(lo <= x < hi for lo, hi in k for x in (a, b)) for k in keys)

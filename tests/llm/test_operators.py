@@ -219,8 +219,8 @@ def test_similar_groups_cut_into_cells_lose_no_link(spark):
     rows = docs(spark, texts).select("doc_id", "text")
     label = slow_similar(texts)
     assert len(set(label)) == 3
-    for cell, cap in ((600, 4), (1 << 17, 256)):
-        got = {r["doc_id"]: r["class"] for r in simhash.similar_groups(rows, cell=cell, shard_cap=cap).collect()}
+    for cell in (600, 1 << 17):
+        got = {r["doc_id"]: r["class"] for r in simhash.similar_groups(rows, cell=cell).collect()}
         assert len({(label[i], c) for i, c in got.items()}) == len(set(label)) == len(set(got.values())) and len(got) == len(texts)
 
 

@@ -1,7 +1,7 @@
 """SimHash near-duplicates with BK-trees.
 
-Two fingerprints within radius r agree on at least one of r+1 blocks of their 64 bits.  So the distinct
-fingerprints are sharded by (block, value); each shard's BK-tree has children keyed by their integer Hamming distance to
+Two fingerprints within radius r of 64 bits in r+4 blocks agree on at least four of them.  So the distinct
+fingerprints are sharded by the value of each choice of four blocks; each shard's BK-tree has children keyed by their integer Hamming distance to
 the parent, and a query follows only the edges within the radius.  The shards' trees travel to the tasks with
 the shuffle instead of a broadcast, since fingerprints grow with the data.  A shard returns a spanning forest of
 its links, never all pairs; components come from the links of all shards.
@@ -9,14 +9,16 @@ its links, never all pairs; components come from the links of all shards.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import connected_components
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import discard, materialize
 
 SEED, WIDTH = 42, 3
 
@@ -139,18 +141,29 @@ def shard_links(values: np.ndarray, groups: np.ndarray, tree: np.ndarray, ask: n
     return values[linked], values[labels[linked]]
 
 
+def block_keys(radius: int, spare: int = 3) -> list[list[tuple[int, int]]]:
+    """Bit ranges (from, to) of each key: all choices of blocks that two values within ``radius`` may agree on.
+
+    The 64 bits are cut into ``radius + 1 + spare`` blocks, of which such values differ in at most ``radius``; with three to spare and
+    a radius of 2 a key is four of six blocks, 42 bits or more, so that values far apart hardly ever share one.
+    """
+    blocks = radius + 1 + spare
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    return [[(edges[k], edges[k + 1]) for k in chosen] for chosen in itertools.combinations(range(blocks), spare + 1)]
+
+
 def links(prints: DataFrame, radius: int = 2, shard_cap: int = 1024) -> DataFrame:
     """``(a, b)``: links among the distinct values of ``prints.fp`` whose components are those of all links within the radius.
 
     Shards over ``shard_cap`` members are cut into parts; every pair of parts meets in a cell of its own, so a hot
     shard neither stays in one task nor loses a link.
     """
-    blocks = radius + 1
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    keys = [
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value"))
-        for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-    ]
+    keys = []
+    for k, ranges in enumerate(block_keys(radius)):
+        value = F.lit(0).cast("long")
+        for lo, hi in ranges:
+            value = F.shiftleft(value, hi - lo).bitwiseOR(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)))
+        keys.append(F.struct(F.lit(k).alias("block"), value.alias("value")))
     members = prints.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.block", "k.value")
     large = members.groupBy("block", "value").count().where(F.col("count") > shard_cap)
     large = large.select("block", "value", F.ceil(F.col("count") / shard_cap).cast("int").alias("parts"))
@@ -220,92 +233,84 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return rows_in.mapInArrow(run, f"doc_id {kind}, content bigint, node bigint, n bigint, fp bigint, keys array<bigint>")
 
 
-def candidate_links(members: DataFrame, radius: int, shard_cap: int) -> DataFrame:
-    """``(a, b)``: links among nodes of ``members(node, fp, keys)`` that share a band and lie within the radius, as spanning forests.
+def candidate_links(members: DataFrame) -> DataFrame:
+    """``(a, b)``: a link from each node of ``members(node, keys)`` to the smallest node of each band that it shares."""
+    banded = members.select("node", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
+    return banded.join(shared, "key").where("least <> node").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
 
-    A band shared by over ``shard_cap`` nodes is one class without a look at distances: a superset of its links that
-    costs one row for each member.
-    """
-    banded = members.select("node", "fp", F.explode("keys").alias("key"))
-    hot = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where(F.col("size") > shard_cap)
-    marked = banded.join(hot.select("key", "least"), "key", "left")
 
-    def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        key, node, fp = (table.column(n).to_numpy() for n in ("key", "node", "fp"))
-        groups, size = np.unique(key, return_inverse=True, return_counts=True)[1:]
-        shared = size[groups] > 1
-        groups, node, fp = groups[shared], node[shared], fp[shared].view(np.uint64)
-        order = np.lexsort((node, fp, groups))
-        groups, node, fp = groups[order], node[order], fp[order]
-        new = np.ones(len(node), dtype=bool)
-        new[1:] = (groups[1:] != groups[:-1]) | (fp[1:] != fp[:-1])
-        heads = np.flatnonzero(new)
-        labels = np.arange(len(heads))
-        if len(heads):
-            for q, m in BKForest(fp[heads], groups[heads]).within(fp[heads], groups[heads], radius, 1 << 11):
-                labels = forest_labels(len(heads), q[q != m], m[q != m], labels)
-        a, b = node, node[heads[labels[np.cumsum(new) - 1]]]
-        yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
-
-    within = marked.where("least is null").select("key", "node", "fp").repartition("key").mapInArrow(run, "a bigint, b bigint")
-    return within.unionByName(marked.where("least <> node").select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct()
-
-
-def similar_classes(sets: list[np.ndarray], start: int, similarity: float) -> np.ndarray:
-    """For each sorted set, the index of the first one reached of its class over links of Jaccard similarity ``similarity`` or more."""
+def similar_classes(sets: list[np.ndarray], fps: np.ndarray, start: int, similarity: float, radius: int) -> np.ndarray:
+    """For each sorted set, the index of the first one reached of its class, from ``start`` on.
+
+    Links are pairs of a Jaccard similarity of ``similarity`` or more whose SimHashes ``fps`` lie within ``radius``: a BK-tree of the
+    sets not reached yet gives the candidates of those just reached, and the sets themselves decide.
+    """
     labels = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
-    left = np.delete(labels, start)
-    queue = [(start, start)]
-    while queue or len(left):
-        if not queue:
-            queue, left = [(left[0], left[0])], left[1:]
-        at, label = queue.pop()
-        labels[at] = label
-        near = left[np.minimum(sizes[left], sizes[at]) >= similarity * np.maximum(sizes[left], sizes[at]) - 1e-9]
-        if not len(near) or not sizes[at]:
+    left, reached, label = np.delete(labels, start), np.array([start]), start
+    while len(left):
+        if not len(reached):
+            reached, left, label = left[:1], left[1:], left[0]
             continue
-        flat = np.concatenate([sets[k] for k in near])
-        place = np.minimum(np.searchsorted(sets[at], flat), sizes[at] - 1)
-        common = np.add.reduceat((sets[at][place] == flat).astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
-        linked = near[common >= similarity * (sizes[at] + sizes[near] - common) - 1e-9]
-        queue += [(k, label) for k in linked]
-        left = np.setdiff1d(left, linked, assume_unique=True)
+        near: dict[int, list] = {}
+        for q, m in BKForest(fps[left], np.zeros(len(left), np.int64)).within(fps[reached], np.zeros(len(reached), np.int64), radius):
+            if not len(q):
+                continue
+            by = np.argsort(q, kind="stable")
+            edges = np.flatnonzero(np.diff(q[by], prepend=-1))
+            for asked, some in zip(q[by][edges].tolist(), np.split(m[by], edges[1:]), strict=True):
+                near.setdefault(asked, []).append(some)
+        linked = np.zeros(len(left), dtype=bool)
+        for asked, parts in near.items():
+            at, found = reached[asked], np.concatenate(parts)
+            found = found[~linked[found]]
+            other = left[found]
+            fits = (np.minimum(sizes[other], sizes[at]) >= similarity * np.maximum(sizes[other], sizes[at]) - 1e-9) & (sizes[other] > 0)
+            found, other = found[fits], other[fits]
+            if not len(found):
+                continue
+            flat = np.concatenate([sets[k] for k in other])
+            place = np.minimum(np.searchsorted(sets[at], flat), sizes[at] - 1)
+            common = np.add.reduceat((sets[at][place] == flat).astype(np.int64), np.cumsum(sizes[other]) - sizes[other])
+            linked[found[common >= similarity * (sizes[at] + sizes[other] - common) - 1e-9]] = True
+        reached, left = left[linked], left[~linked]
+        labels[reached] = label
     return labels
 
 
-def _row_key(doc_id: str = "doc_id", content: str = "content"):
-    return F.xxhash64(F.col(doc_id), F.col(content))
-
+def salted(rows: DataFrame, few: DataFrame, key: str, by: str, how: str, salts: int = 64) -> DataFrame:
+    """``rows`` joined to ``few``, which has one row for each ``key``, over ``salts`` tasks for each key, dealt by a hash of ``by``."""
+    spread = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by, F.lit("salt")), F.lit(salts)).cast("int")).join(spread, [key, "__salt"], how).drop("__salt")
 
-def _verified(docs: DataFrame, cells: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``(component, i, j, node, label)``: exact classes within each cell of ``cells(row, node, component, lead, places)``."""
-    own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), "text")
-    texts = own.select(_row_key().alias("row"), "text").join(cells, "row").dropDuplicates(["row"])
 
-    def shingles(batches):
-        for batch in batches:
-            found = pa.array([np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("node", "component", "lead", "places")), found], names=["node", "component", "lead", "places", "shingles"])
+def _cell_classes(cells: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """``(component, node, label)``: exact classes within each cell of ``cells(component, i, j, node, lead, fp, shingles)``."""
 
     def classes(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
+        node, fp = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
         sets = [s.values.to_numpy().view(np.uint64) for s in table.column("shingles")]
-        label = node[similar_classes(sets, int(np.argmax(table.column("lead").to_numpy())), similarity)]
-        return pa.table({**{n: table.column(n) for n in ("component", "i", "j")}, "node": node, "label": label})
+        label = node[similar_classes(sets, fp, int(np.argmax(table.column("lead").to_numpy())), similarity, radius)]
+        return pa.table({"component": table.column("component"), "node": node, "label": label})
 
-    places = "places array<struct<i:int,j:int>>"
-    sets = texts.select("text", "node", "component", "lead", "places").mapInArrow(shingles, f"node bigint, component bigint, lead boolean, {places}, shingles array<bigint>")
-    spread = sets.select("node", "component", "lead", F.explode("places").alias("p"), "shingles").select("node", "component", "lead", "p.i", "p.j", "shingles")
-    return spread.groupBy("component", "i", "j").applyInArrow(classes, "component bigint, i int, j int, node bigint, label bigint")
+    return cells.select("component", "i", "j", "node", "lead", "fp", "shingles").groupBy("component", "i", "j").applyInArrow(classes, "component bigint, node bigint, label bigint")
+
+
+def _centres(placed: DataFrame) -> DataFrame:
+    """``(component, leader)`` of components in several parts: the member nearest to the majority of its fingerprints."""
+    many = placed.where("parts > 1")
+    centre = F.lit(0).cast("long")
+    for k in range(64):
+        ones = F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1)))
+        centre = centre.bitwiseOR(F.when(ones * 2 > F.count(F.lit(1)), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
+    near = salted(many, many.groupBy("component").agg(centre.alias("centre")), "component", "node", "inner")
+    return near.groupBy("component").agg(F.min(F.struct(far.alias("far"), "node")).getField("node").alias("leader"))
 
 
 def similar_groups(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 20, rows: int = 5, shard_cap: int = 256, cell: int = 1 << 17
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 20, rows: int = 5, cell: int = 1 << 17
 ) -> DataFrame:
     """``(node, doc_id, content, class)``: one row per distinct set of ``width``-word shingles of ``docs(doc_id, text)``.
 
@@ -313,57 +318,75 @@ def similar_groups(
     first row (smallest doc_id, nulls last).  Texts without words are one set.  Repeated rows, null ids and null texts are
     allowed; an empty table gives none.
 
-    Candidates share one of ``bands`` MinHash bands of ``rows`` values (a pair at similarity 0.8 does with probability
-    0.9996) and are within ``radius`` bits in that shard's BK-tree.  Each connected class of candidates is then cut into
-    parts of about ``cell`` shingles.  Every part is compared exactly with itself and with the class's centre, the member nearest to
-    the majority of its fingerprints.  Members not of the centre's class are compared with all parts, cell by cell.
+    Sets that share one of ``bands`` MinHash bands of ``rows`` values (a pair at similarity 0.8 does with probability
+    0.9996) are one shard, and so are shards that have a set in common.  A shard is cut into parts of about ``cell`` shingles, and each part with the
+    shard's centre, the member nearest to the majority of its fingerprints, is a cell.  A cell's BK-trees give candidates
+    within ``radius`` bits, and the shingle sets decide exactly.  Members not of the centre's class then meet all parts, cell by cell.
     """
     sketch = materialize(sketches(docs, width, bands, rows), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "content")).alias("first")
     grouped = sketch.groupBy("node", "n", "fp", "keys").agg(first)
     members = materialize(grouped.select("node", "n", "fp", "keys", F.col("first.doc_id").alias("doc_id"), F.col("first.content").alias("content")), "sketch-sets")
-    components = connected_components(candidate_links(members, radius, shard_cap))
-    chosen = members.drop("keys").join(components, "node").withColumn("weight", F.col("n") + 64)
-    bit = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))) for k in range(64)]
-    centre = F.lit(0).cast("long")
-    for k, ones in enumerate(bit):
-        centre = centre.bitwiseOR(F.when(ones * 2 > F.count(F.lit(1)), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    whole = chosen.groupBy("component").agg(centre.alias("centre"), F.ceil(F.sum("weight") / cell).cast("int").alias("parts"))
-    placed = chosen.join(whole, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
-    leads = placed.groupBy("component").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))), "node")).getField("node").alias("leader"))
-    placed = placed.join(leads, "component").select("node", "component", "weight", "parts", "part", "leader", _row_key().alias("row"))
-    placed = materialize(placed, "similar-cells")
-
-    def grid(i, j):
-        """All (i, j) over two arrays of numbers."""
-        return F.flatten(F.transform(i, lambda x: F.transform(j, lambda y: F.struct(x.alias("i"), y.alias("j")))))
-
-    lead = F.col("node") == F.col("leader")
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    itself, everywhere = F.array("part"), upto("parts")
-    cells = placed.select("row", "node", "component", lead.alias("lead"), grid(F.when(lead, everywhere).otherwise(itself), F.array(F.lit(0))).alias("places"))
-    near = materialize(_verified(docs, cells, width, similarity), "similar-links")
-
-    apart = near.join(placed.where("parts > 1").select("node", "leader", "weight", "parts"), "node").where("label <> leader and node <> leader")
-    rest = apart.groupBy("component").agg(F.ceil(F.sum("weight") / cell).cast("int").alias("others"))
-    mine = apart.select("node", F.lit(True).alias("apart")).distinct()
-    cross = placed.join(rest, "component").join(mine, "node", "left")
+    discard(sketch)
+    components = materialize(connected_components(candidate_links(members)), "similar-shards")
+    weight = F.col("n") + F.lit(64)
+    chosen = members.drop("keys").join(components, "node")
+    big = chosen.groupBy("component").agg(F.sum(weight).alias("weight")).where(F.col("weight") > cell)
+    big = big.select("component", F.ceil(F.col("weight") / cell).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    placed = salted(chosen, big, "component", "node", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), parts).cast("int"))
+    placed = materialize(placed.select("node", "fp", "component", weight.alias("weight"), "parts", "part", "doc_id", "content"), "similar-cells")
+    centres = materialize(_centres(placed), "similar-centres")
+
+    row = F.xxhash64("doc_id", "content").alias("row")
+    texts = docs.select(F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("row"), "text")
+    texts = texts.join(placed.select(row, "node", "fp", "component", "weight", "parts", "part"), "row").dropDuplicates(["row"]).drop("row")
+
+    def shingles(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "shingles"])
+
+    sets = texts.select("text", "node", "fp", "component", "weight", "parts", "part")
+    sets = materialize(sets.mapInArrow(shingles, "node bigint, fp bigint, component bigint, weight bigint, parts int, part int, shingles array<bigint>"), "similar-sets")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = sets.withColumn("i", F.col("part")).withColumn("lead", F.lit(False))
+    leads = sets.where("parts > 1").join(centres.select(F.col("leader").alias("node")), "node").withColumn("i", upto("parts")).withColumn("lead", F.lit(True))
+    within = own.unionByName(leads.where("i <> part")).withColumn("j", F.lit(0))
+    near = materialize(_cell_classes(within, similarity, radius).distinct(), "similar-links")
+
+    # Classes that a part has besides the centre's; a node may be of one class in its own part only, and the centre of one in each.
+    ledger = salted(placed.where("parts > 1"), centres, "component", "node", "inner")
+    centred = salted(near, centres, "component", "node", "inner")
+    central = centred.where("node = leader").select("component", F.col("label").alias("head")).distinct()
+    apart = centred.join(central, (centred["component"] == central["component"]) & (F.col("label") == F.col("head")), "left_anti").select("node").distinct()
+    lone = materialize(ledger.join(apart, "node").select("component", "node", "weight"), "similar-apart")
+    rest = lone.groupBy("component").agg(F.ceil(F.sum("weight") / cell).cast("int").alias("others"))
+    mine = lone.select("node", F.lit(True).alias("apart"))
+    cross = salted(sets, rest, "component", "node", "inner").join(mine, "node", "left")
     other = F.pmod(F.xxhash64("node", F.lit("other")), F.col("others")).cast("int")
-    both = grid(itself, upto("others"))
-    both = F.when(F.col("apart"), F.array_union(both, grid(everywhere, F.array(other)))).otherwise(both)
-    far = _verified(docs, cross.select("row", "node", "component", lead.alias("lead"), both.alias("places")), width, similarity)
+    as_member = cross.withColumn("j", upto("others")).withColumn("i", F.col("part"))
+    as_other = cross.where("apart").withColumn("i", upto("parts")).withColumn("j", other).where("i <> part")
+    far = _cell_classes(as_member.unionByName(as_other).withColumn("lead", F.lit(False)), similarity, radius)
     found = near.unionByName(far).where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     roots = connected_components(found)
-    return members.join(roots, "node", "left").select("node", "doc_id", "content", F.coalesce("component", "node").alias("class"))
+    classes = members.join(roots, "node", "left").select("node", "doc_id", "content", F.coalesce("component", "node").alias("class"))
+    classes = materialize(classes, "similar-classes")
+    for done in (members, components, placed, centres, sets, near, lone):
+        discard(done)
+    return classes
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of similar texts (five-word shingles, similarity 0.8): that of the smallest doc_id, nulls last.
 
-    Of rows that repeat a kept document whole, one stays.
+    Texts alone decide: of rows with the kept doc_id and text, the first by the other columns stays.
     """
     groups = similar_groups(docs.select("doc_id", "text"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "content")).alias("first")
-    kept = groups.groupBy("class").agg(first).select(_row_key("first.doc_id", "first.content").alias("__row"))
-    mine = docs.withColumn("__row", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
-    return mine.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "content")).alias("f")
+    kept = groups.groupBy("class").agg(first).select(F.xxhash64("f.doc_id", "f.content").alias("__row"), F.col("f.doc_id").alias("__doc"), F.col("f.content").alias("__content"))
+    mine = docs.withColumn("__mine", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__key", F.xxhash64("doc_id", "__mine"))
+    same = (F.col("__key") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__mine") == F.col("__content"))
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text") and docs.schema[c].dataType.simpleString().split("<")[0] not in ("map", "variant")]
+    nth = F.row_number().over(Window.partitionBy("__key", "doc_id", "__mine").orderBy(*(rest or ["__key"])))
+    return mine.join(kept, same, "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
