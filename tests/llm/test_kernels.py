@@ -247,10 +247,71 @@ def test_main_text():
         assert html_extract.main_text(page) == want
 
 
-def test_template_slot():
-    opened, chars = html_extract.page_tokens(PAGE)
-    rows = [(p, 0, n, chars.get(p, 0)) for p, n in opened.items()]
-    assert html_extract.main_path(rows) == "/html/body/article"
+def test_inline_script_ends_no_block():
+    assert html_extract.main_text("<p>a<script>x</script>b</p>") == "ab"
+
+
+def host_of_pages(pages, share=0.5, min_pages=3):
+    """The template of pages of one host, with occurrence vectors held in full."""
+    vectors, sums = {}, {}
+    for k, page in enumerate(pages):
+        opened, blocks = html_extract.read_page(page)
+        varied, linked = html_extract.below_counts(blocks)
+        found = {(p, 0): [n, varied[p], linked[p]] for p, n in opened.items()}
+        for b in blocks:
+            own = found.setdefault((b.path, html_extract.block_key(b)), [0, 0, 0])
+            own[0] += 1
+            own[1] += sum(len(t.strip()) for t, _, _ in b.pieces)
+            own[2] += sum(len(t.strip()) for t, _, link in b.pieces if link)
+        for key, (n, chars, links) in found.items():
+            vectors.setdefault(key, {})[k] = n
+            s = sums.setdefault(key, [0, 0])
+            s[0] += chars
+            s[1] += links
+    rows = [(*key, len(v), sum(v.values()), tuple(sorted(v.items())), *sums[key]) for key, v in vectors.items()]
+    return html_extract.deduce("h", len(pages), rows, share, min_pages)
+
+
+def shop(k, extra="", cls="entry ad-free", line="All prices with tax."):
+    return f"""<html><body><div class="top"><p>Best shop in town</p></div><div class="{cls}"><h1>Thing {k}</h1><div class="body"><p>Number {k} is {"very " * (k + 9)}good.</p>
+<p>{line}</p><p>Size {k * 7} fits item {k} best of all.</p></div></div>{extra}<div class="strip"><a href="/a">See thing {k + 1}</a> <a href="/b">and {k + 2}</a></div></body></html>"""
+
+
+def test_classes_choose_slot_and_boilerplate():
+    pages = [shop(k) for k in range(6)]
+    found = host_of_pages(pages)
+    assert found["slot"] == "/html/body/div.entry.ad-free!" and found["kept"] == ["/html/body/div.entry.ad-free!"]
+    texts = [html_extract.main_text(p, found["slot"], found["kept"], frozenset(found["texts"])) for p in pages]
+    for k, t in enumerate(texts):
+        assert t == f"Thing {k}\nNumber {k} is {'very ' * (k + 9)}good.\nSize {k * 7} fits item {k} best of all."
+    # The line is template only while it is in most pages' classes.
+    pages = [shop(k, line=f"Price {k} with tax.") for k in range(6)]
+    found = host_of_pages(pages)
+    assert "Price 3 with tax." in html_extract.main_text(pages[3], found["slot"], found["kept"], frozenset(found["texts"]))
+
+
+def test_copies_on_one_host_keep_their_article():
+    pages = [shop(1, line="x" * 50)] * 9 + [shop(k) for k in range(2, 6)]
+    found = host_of_pages(pages)
+    assert "Number 1 is" in html_extract.main_text(pages[0], found["slot"], found["kept"], frozenset(found["texts"]))
+    found = host_of_pages(pages[:9])
+    assert "Number 1 is" in html_extract.main_text(pages[0], found["slot"], found["kept"], frozenset(found["texts"]))
+
+
+def test_articles_named_by_number_are_one_token():
+    pages = [f'<body><article id="post-{k}" class="post-{k} hentry"><p>words of page {k} here</p></article><div>Foot {k}</div></body>' for k in range(4)]
+    found = host_of_pages(pages)
+    assert found["slot"] == "/body/article.post-#.hentry"
+    assert html_extract.main_text(pages[2], found["slot"]) == "words of page 2 here"
+
+
+def test_classes_nest_by_vectors():
+    pages = [f"<body><ul>{'<li>x' * k}</ul><p>text {k} <b>one</b></p></body>" for k in range(1, 6)]
+    tokens = {(t["path"], t["text"]): t for t in host_of_pages(pages)["tokens"]}
+    item, root = tokens["/body/ul/li", 0], tokens["/body", 0]
+    assert root["class"] == tokens["/body/p/b", 0]["class"] != item["class"] and item["inside"] == root["class"] and root["inside"] is None
+    told = [t for t in tokens.values() if t["text"]]
+    assert [t["path"] for t in told] == ["/body/ul/li"] and told[0]["class"] == item["class"]
 
 
 def test_similar_classes_reach_every_link():

@@ -300,6 +300,7 @@ def test_pages(spark):
     assert got == Counter([(k, ("text %d " % k * 9).strip()) for k in range(6)] + [(7, ""), (8, ""), (9, "x < y"), (9, "x < y")])
     slots = {r["host"]: r["slot"] for r in html_extract.templates(table).collect()}
     assert slots["a.example"] == "/html/body/div.x"
+    assert html_extract.extract(spark.createDataFrame([(1, "https://a.example", "<p>long text " * 200_000)], "page_id bigint, url string, html string")).first()["text"].count("long") == 200_000
     assert html_extract.extract(table.where("false")).count() == 0
 
 

@@ -1,16 +1,18 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
-Tokens are a page's tags with their path.  Over the pages of a host, tokens with the same occurrence vector form a class; classes
-that span enough of the pages are valid, and their tokens are the host's template.  The slot of the main text is chosen by paths, not by
-classes: it is the article or main element, or else the common ancestor of all text that isn't the same on each page.
-It is read without the boilerplate elements inside it.
+Tokens are a page's tags with their path, and its text blocks with the path that they stand in.  Over the pages of a host, tokens with the
+same occurrence vector form a class; classes that span enough of the pages are valid, nest by their paths, and are the host's
+template.  What the template's tokens leave open are its slots.  The main slot is the smallest element of a class that occurs
+once a page and holds all slots' text; text blocks that are template tokens themselves are boilerplate wherever they stand.
+Names and tags decide only where vectors can't: between slots whose text changes from page to page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import discard, materialize
 
 #: Element names by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,7 +38,7 @@ _WORDY = re.compile(
 )
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_SPACE = re.compile(r"\s+")
+_SPACE, _NUMBER, _NAME = re.compile(r"\s+"), re.compile(r"\d+"), re.compile(r"[.@!]")
 
 
 def events(page: str):
@@ -83,10 +85,13 @@ def events(page: str):
 
 
 class Walk:
-    """The open elements while a page is read: name, path, and whether the element is boilerplate."""
+    """The open elements while a page is read: (name, path, set aside, marked paths).
+
+    A path's step is the element's name with its classes, numbers as #, and ! where the names say that it is no part of an article.
+    """
 
     def __init__(self):
-        self.stack: list[tuple[str, str, bool]] = []
+        self.stack: list[tuple[str, str, bool, tuple[str, ...]]] = []
 
     def _pop_to(self, names, stops) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -96,6 +101,10 @@ class Walk:
             if self.stack[k][0] in stops:
                 return
 
+    @property
+    def path(self) -> str:
+        return self.stack[-1][1] if self.stack else ""
+
     def open(self, name: str, raw: str) -> str:
         """The path of the element that opens here."""
         if name in ENDS_P:
@@ -104,16 +113,17 @@ class Walk:
             names, stops = ITEMS[name]
             self._pop_to(names.split(), stops)
         attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)} if "=" in raw else {}
-        kind = " ".join(v for v in (attributes.get("class"), attributes.get("id")) if v).lower()
+        kind = (attributes.get("class") or "").lower()
+        names = f"{kind} {(attributes.get('id') or '').lower()}" if attributes else ""
         role = (attributes.get("role") or "").lower()
-        above = self.stack[-1][1] if self.stack else ""
-        mark = f"{name}.{_SPACE.sub('.', kind.strip())}" if kind else name
-        mark = f"{mark}@{role}" if role else mark
-        path = f"{above}/{mark}"
-        hidden = re.search(r"(^|\s)hidden(\s|$)", raw) is not None or attributes.get("aria-hidden") == "true" or "display:none" in (attributes.get("style") or "").replace(" ", "")
-        odd = name in BOILERPLATE or hidden or bool(role and _ROLE.match(role)) or bool(kind and name not in ("html", "body", "main", "article") and _WORDY.search(kind))
+        hidden = " hidden" in f" {raw.lower()}" and re.search(r"(^|\s)hidden(\s|$|=)", raw) is not None or attributes.get("aria-hidden") == "true" or "display:none" in (attributes.get("style") or "").replace(" ", "")
+        aside = name in BOILERPLATE or hidden or bool(role and _ROLE.match(role))
+        marked = name not in ("html", "body", "main", "article") and bool(names) and _WORDY.search(names) is not None
+        step = name + "".join(f".{c}" for c in _NUMBER.sub("#", kind).replace("/", "|").split()) + ("@main" if role == "main" else "") + "!" * marked
+        path = f"{self.path}/{step}"
         if name not in VOID:
-            self.stack.append((name, path, odd or bool(self.stack and self.stack[-1][2])))
+            over = self.stack[-1] if self.stack else ("", "", False, ())
+            self.stack.append((name, path, aside or over[2], (*over[3], path) if marked else over[3]))
         return path
 
     def close(self, name: str) -> None:
@@ -123,191 +133,248 @@ class Walk:
                 return
 
 
-def page_tokens(page: str, own: dict[str, list[str]] | None = None) -> tuple[Counter, Counter]:
-    """How often each path opens, and how much text outside boilerplate lies below it; ``own`` gets the texts right in each path."""
-    walk, opened, chars = Walk(), Counter(), Counter()
+@dataclass
+class Block:
+    """A text block: the path of its element, and its pieces with the marked paths and links that they stand in."""
+
+    path: str
+    pieces: list[tuple[str, tuple[str, ...], bool]]
+
+    def text(self, kept=None) -> str:
+        """White space as one space each; without pieces in a marked path other than ``kept``, if that is given."""
+        said = "".join(t for t, marks, _ in self.pieces if kept is None or all(m in kept for m in marks))
+        return _SPACE.sub(" ", entities.unescape(said)).strip()
+
+
+def read_page(page: str) -> tuple[Counter, list[Block]]:
+    """How often each path opens, and the page's text blocks in order, without elements that are never part of an article."""
+    walk, opened, blocks = Walk(), Counter({"": 1}), []
+    pieces: list = []
+    where = ""
+
+    def flush() -> None:
+        nonlocal pieces
+        if pieces:
+            if any(not t.isspace() for t, _, _ in pieces):
+                blocks.append(Block(where, pieces))
+            pieces = []
+
     for kind, value, raw in events(page):
-        if kind == "open":
-            opened[walk.open(value, raw)] += 1
-        elif kind == "close":
-            walk.close(value)
-        elif kind == "text" and walk.stack and not walk.stack[-1][2]:
-            n = len(value.strip())
-            if n:
-                if own is not None:
-                    own.setdefault(walk.stack[-1][1], []).append(value.strip())
-                for _, path, _ in walk.stack:
-                    chars[path] += n
-    return opened, chars
+        if kind == "text":
+            top = walk.stack[-1] if walk.stack else ("", "", False, ())
+            if not top[2] and value:
+                if not pieces:
+                    where = next((p for n, p, _, _ in reversed(walk.stack) if n in BLOCK), "")
+                pieces.append((value, top[3], any(n == "a" for n, *_ in walk.stack)))
+        elif kind != "raw":
+            if value in BLOCK:
+                flush()
+            if kind == "close":
+                walk.close(value)
+            else:
+                opened[walk.open(value, raw)] += 1
+    flush()
+    return opened, blocks
+
+
+def above(path: str) -> list[str]:
+    """A path and all paths above it, the page's own "" first."""
+    return ["", *(path[:k] for k, c in enumerate(path) if c == "/" and k), path] if path else [""]
+
 
+def name_of(path: str) -> str:
+    return _NAME.split(path.rsplit("/", 1)[-1], maxsplit=1)[0]
 
-def main_path(tokens: list[tuple[str, int, int, int]]) -> str | None:
-    """The template token whose slot is the main text, of (path, class, opened, chars), all in valid classes.
 
-    An article or main element that opens once on each of the host's pages, else the deepest once-per-page element with all the
-    text that ``chars`` count.
+def main_slot(once: list[str], varied: dict[str, int], linked: dict[str, int]) -> tuple[str | None, list[str]]:
+    """The main slot among the paths ``once``, and the marked paths that hold an article all the same.
+
+    ``varied`` and ``linked``: characters below each path, in all and inside links, that the template doesn't hold.  An element with over half
+    of them is part of the article whatever its name is; other marked elements and those that are mostly links aren't.  The slot is the
+    deepest element with all that is left, or the article or main element, if it has half of it.
     """
-    if not tokens:
-        return None
-    pages = max(t[2] for t in tokens if t[0].count("/") == 1) if any(t[0].count("/") == 1 for t in tokens) else 0
-    once = [t for t in tokens if t[2] <= pages]
-    names = {t[0]: re.split(r"[.@]", t[0].rsplit("/", 1)[1])[0] for t in once}
+    total = varied.get("", 0)
+    kept = [p for p in varied if p.endswith("!") and 2 * varied[p] > total]
+    no = {p for p in varied if p and 2 * varied[p] <= total and (p.endswith("!") or (2 * linked.get(p, 0) > varied[p] and name_of(p) in CONTAINERS | {"ul", "ol"}))}
+    left = dict(varied)
+    for p in no:
+        up = above(p)[:-1]
+        if not any(q in no for q in up):
+            for q in up:
+                left[q] = left.get(q, 0) - varied[p]
+    rest = left.get("", 0)
+    if rest <= 0:
+        return None, kept
+    fit = [p for p in once if p and p not in no and not any(q in no for q in above(p)) and left.get(p, 0) > 0]
     for want in ("article", "main"):
-        found = [t for t in once if names[t[0]] == want or (want == "main" and t[0].endswith("@main"))]
+        found = [p for p in fit if (name_of(p) == want or want == "main" and "@main" in p.rsplit("/", 1)[-1]) and 2 * left[p] >= rest]
         if found:
-            return max(found, key=lambda t: (t[3], -len(t[0]), t[0]))[0]
-    total = max((t[3] for t in once), default=0)
-    rich = [t for t in once if total and t[3] >= total and names[t[0]] in CONTAINERS]
-    return max(rich, key=lambda t: (t[0].count("/"), t[3], t[0]))[0] if rich else None
+            return max(found, key=lambda p: (left[p], -len(p), p)), kept
+    rich = [p for p in fit if left[p] >= rest and name_of(p) in CONTAINERS]
+    return max(rich, key=lambda p: (p.count("/"), p), default=None), kept
 
 
-def main_text(page: str, slot: str | None = None) -> str:
-    """The blocks of the slot's element, or where the page has none, of its article, main or body; "" if there is no text.
+def below_counts(blocks: list[Block], template=frozenset()) -> tuple[Counter, Counter]:
+    """Characters below each path, in all and inside links, of the blocks that aren't in ``template``."""
+    varied, linked = Counter(), Counter()
+    for block in blocks:
+        if template and block_key(block) in template:
+            continue
+        for text, marks, link in block.pieces:
+            n = len(text.strip())
+            if n:
+                paths = dict.fromkeys([*above(block.path), *marks])
+                for p in paths:
+                    varied[p] += n
+                    if link:
+                        linked[p] += n
+    return varied, linked
 
-    A block's white space becomes one space; blocks are joined by a line feed, in order.  ``header`` elements count as
-    boilerplate outside the main element only, since inside it they hold the article's own title.
-    """
-    walk, blocks, current = Walk(), defaultdict(list), []
-    inside: list[tuple[int, str]] = []  # depth and kind of the open elements that may be the main one
-    depth_header = None
 
-    def flush() -> None:
-        if current:
-            text = _SPACE.sub(" ", entities.unescape("".join(t for t, _ in current))).strip()
-            if text:
-                for kind in current[0][1]:
-                    blocks[kind].append(text)
-            current.clear()
+def block_key(block: Block) -> int:
+    """A 63-bit name of a text token: its path and text."""
+    return xxhash.xxh64_intdigest(f"{block.path}\t{block.text()}".encode("utf-8", "replace")) >> 1
 
-    for kind, value, raw in events(page):
-        if kind == "text":
-            if walk.stack and not walk.stack[-1][2]:
-                kinds = tuple(dict.fromkeys(k for _, k in inside))
-                loose = () if depth_header is not None and len(walk.stack) >= depth_header else ("body",)
-                if current and current[0][1] != kinds + loose:
-                    flush()
-                current.append((value, kinds + loose))
-            elif not walk.stack:
-                current.append((value, ("body",)))
-            continue
-        if kind == "raw":
-            continue
-        if value in BLOCK or value in RAW:
-            flush()
-        if kind == "close":
-            walk.close(value)
-        else:
-            before = len(walk.stack)
-            path = walk.open(value, raw)
-            if len(walk.stack) < before or value in ITEMS or value in ENDS_P:
-                inside = [x for x in inside if x[0] < len(walk.stack) or value in VOID]
-            if value not in VOID and not walk.stack[-1][2]:
-                if path == slot:
-                    inside.append((len(walk.stack), "slot"))
-                if value == "article":
-                    inside.append((len(walk.stack), "article"))
-                if value == "main" or path.endswith("@main"):
-                    inside.append((len(walk.stack), "main"))
-                if value == "header" and not inside and depth_header is None:
-                    depth_header = len(walk.stack)
-        inside = [x for x in inside if x[0] <= len(walk.stack)]
-        if depth_header is not None and len(walk.stack) < depth_header:
-            depth_header = None
-    flush()
-    for kind in ("slot", "article", "main", "body"):
-        if blocks[kind]:
-            return "\n".join(blocks[kind])
-    return ""
 
+def main_text(page: str, slot: str | None = None, kept=(), template=frozenset()) -> str:
+    """The blocks of the slot that the template doesn't hold, joined by line feeds; "" if there are none.
 
-def varied(rows: list[tuple[str, int, int, bool]]) -> list[int]:
-    """Characters below each path of (path, below, own, same), without the own texts of paths where they are the same on each page."""
-    left = {path: below for path, below, _, _ in rows}
-    for path, _, own, same in rows:
-        if same and own:
-            for at in [*(k for k, c in enumerate(path) if c == "/" and k), len(path)]:
-                if path[:at] in left:
-                    left[path[:at]] -= own
-    return list(left.values())
+    Where the page lacks the slot, or has nothing in it, it is its own template: the rules of ``main_slot`` hold for the page alone.  ``header``
+    elements are left out if the slot is the whole body.  On a page where template texts are over half of the slot they stay: so
+    many copies of one page don't lose their article.
+    """
+    opened, blocks = read_page(page)
+    for _ in range(2):
+        if slot is not None and slot in opened:
+            inside = [b for b in blocks if b.path == slot or b.path.startswith(slot + "/") or not slot]
+            if template:
+                other = [b for b in inside if block_key(b) not in template]
+                inside = other if 2 * sum(len(b.text(kept)) for b in other) >= sum(len(b.text(kept)) for b in inside) else inside
+            if name_of(slot) in ("", "html", "body"):
+                inside = [b for b in inside if not (names := [name_of(p) for p in above(b.path)]).count("header") or "article" in names or "main" in names]
+            texts = [t for b in inside if (t := b.text(kept))]
+            if texts:
+                return "\n".join(texts)
+        slot, kept = main_slot(list(opened), *below_counts(blocks))
+        slot = slot or ""
+    return ""
 
 
 def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1), F.lit(""))).alias("host")
 
 
-def templates(pages: DataFrame, html: str = "html", url: str = "url", share: float = 0.5, min_pages: int = 2) -> DataFrame:
-    """``(host, pages, slot, tokens array<struct<path, class>>)``: each host's template and the path of its main slot.
+def deduce(host: str, size: int, tokens: list[tuple], share: float, min_pages: int) -> dict:
+    """A host's template of (path, text key or 0, pages, opened, vector, chars, linked), its tokens on at least ``share`` of the pages.
+
+    Tokens with one occurrence vector are a class; a class is nested in that of the nearest template tag above its tokens.
+    """
+    classes: dict[tuple, list] = {}
+    for t in tokens:
+        if t[2] >= min_pages and t[2] >= size * share:
+            classes.setdefault((t[2], t[3], t[4]), []).append(t)
+    valid = [t for c in classes.values() for t in c]
+    tag_class = {t[0]: k for k, c in classes.items() for t in c if not t[1]}
+    number = {k: n for n, k in enumerate(sorted(classes, key=lambda k: min((t[0], t[1]) for t in classes[k])))}
+    varied = {t[0]: t[5] for t in valid if not t[1]}
+    linked = {t[0]: t[6] for t in valid if not t[1]}
+    texts = [t for t in valid if t[1]]
+    # A host whose pages all say the same has no slots; its texts are then no template.
+    if sum(t[5] for t in texts) >= varied.get("", 0):
+        texts = []
+    for path, _, _, _, _, chars, links in texts:
+        for p in above(path):
+            if p in varied:
+                varied[p] -= chars
+                linked[p] -= links
+    once = [t[0] for (pages, opened, _), c in classes.items() if pages == opened for t in c if not t[1]]
+    slot, kept = main_slot(once, varied, linked)
+    held = []
+    for k, c in classes.items():
+        for path, text, *_ in c:
+            over = next((tag_class[p] for p in reversed(above(path)[: None if text else -1]) if p in tag_class and tag_class[p] != k), None)
+            held.append({"path": path, "text": text, "class": number[k], "inside": None if over is None else number[over]})
+    held.sort(key=lambda t: (t["path"], t["text"]))
+    return {"host": host, "pages": size, "slot": slot, "kept": sorted(kept), "texts": sorted({t[1] for t in texts}), "tokens": held}
+
+
+def templates(pages: DataFrame, html: str = "html", url: str = "url", share: float = 0.5, min_pages: int = 3) -> DataFrame:
+    """``(host, pages, slot, kept, texts, tokens array<struct<path, text, class, inside>>)``: each host's template.
 
     An occurrence vector is held as two sums of page hashes times counts, so it is built from partial sums and no
-    host's pages meet in one task.  Classes on fewer than ``min_pages`` pages, or than ``share`` of the host's, aren't valid.
+    host's pages meet in one task.  Tokens on fewer than ``min_pages`` pages, or than ``share`` of the host's, aren't
+    template; those on fewer than ``min_pages`` don't leave the first aggregation, so a host's tokens are at most its pages' average divided by the share.
     """
 
     def run(batches):
-        names = ["host", "path", "pages", "opened", "s1", "s2", "chars", "own", "lo", "hi"]
+        names = ["host", "path", "text", "page", "pages", "opened", "s1", "s2", "chars", "linked"]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sums: dict[tuple[str, str], list[int]] = {}
-                for host, key, page in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    mix = xxhash.xxh64_intdigest(str(key).encode(), 5)
-                    texts: dict[str, list[str]] = {}
-                    opened, chars = page_tokens(page or "", texts)
-                    opened[""] = 1
-                    for path, n in opened.items():
-                        s = sums.setdefault((host, path), [0, 0, 0, 0, 0, 0, None, None])
-                        s[0] += 1
-                        s[1] += n
-                        s[2] = (s[2] + n * (mix & 0x7FFFFFFF)) & 0x7FFFFFFF
-                        s[3] = (s[3] + n * (mix >> 33)) & 0x7FFFFFFF
-                        s[4] += chars.get(path, 0)
-                        if path in texts:
-                            same = xxhash.xxh64_intdigest("\n".join(texts[path]).encode("utf-8", "replace")) >> 1
-                            s[5] += sum(map(len, texts[path]))
-                            s[6] = same if s[6] is None else min(s[6], same)
-                            s[7] = same if s[7] is None else max(s[7], same)
-                columns = [pa.array([k[j] for k in sums], pa.string()) for j in range(2)]
-                columns += [pa.array([s[j] for s in sums.values()], pa.int64()) for j in range(8)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    rows = pages.select(host_of(url), F.xxhash64(F.col(url), F.monotonically_increasing_id()).alias("key"), F.col(html).alias("html"))
-    partial = rows.mapInArrow(run, "host string, path string, pages bigint, opened bigint, s1 bigint, s2 bigint, chars bigint, own bigint, lo bigint, hi bigint")
-    sums = partial.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "opened", "s1", "s2", "chars", "own")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    sums = sums.withColumn("s1", F.pmod("s1", F.lit(1 << 31))).withColumn("s2", F.pmod("s2", F.lit(1 << 31)))
-    size = sums.where("path = ''").select("host", F.col("pages").alias("host_pages"))
-    valid = sums.where("path <> ''").join(size, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= F.col("host_pages") * share))
-    tokens = valid.select("host", "host_pages", "path", "opened", "chars", "own", F.col("lo").eqNullSafe(F.col("hi")).alias("same"), F.xxhash64("pages", "opened", "s1", "s2").alias("class"))
-
-    def deduce(group: pd.DataFrame) -> pd.DataFrame:
-        chars = varied(list(zip(group["path"], group["chars"], group["own"], group["same"], strict=True)))
-        rows = list(zip(group["path"], group["class"], group["opened"], chars, strict=True))
-        held = sorted(({"path": p, "class": int(c)} for p, c, _, _ in rows), key=lambda t: t["path"])
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "pages": [group["host_pages"].iloc[0]], "slot": [main_path(rows)], "tokens": [held]})
-
-    return tokens.groupBy("host").applyInPandas(deduce, "host string, pages bigint, slot string, tokens array<struct<path:string,class:bigint>>")
+                sums: dict[tuple, list[int]] = {}
+                for host, html in zip(*(part.column(k).to_pylist() for k in range(2)), strict=True):
+                    digest = xxhash.xxh64_intdigest((html or "").encode("utf-8", "replace"), 5)
+                    opened, blocks = read_page(html or "")
+                    varied, linked = below_counts(blocks)
+                    found: dict[tuple, list[int]] = {(path, 0): [n, varied.get(path, 0), linked.get(path, 0)] for path, n in opened.items()}
+                    for b in blocks:
+                        own = found.setdefault((b.path, block_key(b)), [0, 0, 0])
+                        own[0] += 1
+                        own[1] += sum(len(t.strip()) for t, _, _ in b.pieces)
+                        own[2] += sum(len(t.strip()) for t, _, link in b.pieces if link)
+                    for (path, text), (n, chars, links) in found.items():
+                        s = sums.setdefault((host, path, text), [0, 0, 0, 0, 0, 0])
+                        for k, v in enumerate((1, n, n * (digest & 0x7FFFFFFF), n * (digest >> 33), chars, links)):
+                            s[k] += v
+                columns = [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([k[2] for k in sums], pa.int64())]
+                columns += [pa.array([s[j] & 0x7FFFFFFF if j in (2, 3) else s[j] for s in sums.values()], pa.int64()) for j in range(6)]
+                yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n != "page"])
+
+    rows = pages.select(host_of(url), F.col(html).alias("html"))
+    partial = rows.mapInArrow(run, "host string, path string, text bigint, pages bigint, opened bigint, s1 bigint, s2 bigint, chars bigint, linked bigint")
+    sums = partial.groupBy("host", "path", "text").agg(*[F.sum(c).alias(c) for c in ("pages", "opened", "s1", "s2", "chars", "linked")]).where(F.col("pages") >= min_pages)
+    sums = materialize(sums.withColumn("s1", F.pmod("s1", F.lit(1 << 31))).withColumn("s2", F.pmod("s2", F.lit(1 << 31))), "page-tokens")
+    size = sums.where("path = '' and text = 0").select("host", F.col("pages").alias("size"))
+    frequent = sums.join(size, "host").where(F.col("pages") >= F.col("size") * share)
+    vector = F.shiftleft("s1", 31).bitwiseOR(F.col("s2")).alias("vector")
+    shape = "host string, pages bigint, slot string, kept array<string>, texts array<bigint>, tokens array<struct<path:string,text:bigint,class:int,inside:int>>"
+
+    def of_host(group: pd.DataFrame) -> pd.DataFrame:
+        rows = list(group[["path", "text", "pages", "opened", "vector", "chars", "linked"]].itertuples(index=False, name=None))
+        return pd.DataFrame([deduce(group["host"].iloc[0], int(group["size"].iloc[0]), rows, share, min_pages)])
+
+    found = materialize(frequent.select("host", "size", "path", "text", "pages", "opened", vector, "chars", "linked").groupBy("host").applyInPandas(of_host, shape), "templates")
+    discard(sums)
+    return found
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", most_frequent: int = 10_000) -> DataFrame:
     """``(page_id, url, text)`` for each page: the main text by its host's template.
 
-    Hosts without a template (a single page, or no classes in common) fall back to the page's own article, main or body element.
-    Null pages are empty texts; a null url has a host of its own.  Repeated rows give repeated rows.  At most ``most_frequent`` hosts
+    Pages without a template (fewer than three pages on the host, or no classes in common) are their own: the article or main
+    element with half of the text, else the common ancestor of the text outside named boilerplate.  Null pages are empty texts; pages of null urls
+    share a host.  Repeated rows give repeated rows.  At most ``most_frequent`` hosts
     have so many pages that their templates are broadcast; the other hosts' pages meet theirs in a join.
     """
-    slots = materialize(templates(pages, html, url).select("host", "pages", "slot"), "templates")
+    slots = templates(pages, html, url).select("host", "pages", F.struct("slot", "kept", "texts").alias("template"))
     often = max(100, (slots.agg(F.sum("pages")).first()[0] or 0) // most_frequent)
-    frequent = slots.where(F.col("pages") > often).select("host", F.col("slot").alias("known"), F.lit(True).alias("frequent"))
-    rare = slots.where(F.col("pages") <= often).select(F.col("host").alias("key"), "slot")
+    frequent = slots.where(F.col("pages") > often).select("host", F.col("template").alias("known"), F.lit(True).alias("frequent"))
+    rare = slots.where(F.col("pages") <= often).select(F.col("host").alias("key"), "template")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url))
     rows = rows.join(F.broadcast(frequent), "host", "left")
     spread = F.when(F.col("frequent"), F.concat_ws("/", "host", F.xxhash64("url", "html").cast("string"))).otherwise(F.col("host"))
-    rows = rows.withColumn("key", spread).join(rare, "key", "left").withColumn("slot", F.coalesce("known", "slot"))
+    rows = rows.withColumn("key", spread).join(rare, "key", "left").withColumn("template", F.coalesce("known", "template"))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [main_text(p or "", s) for p, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                texts, sets = [], {}
+                for page, host, t in zip(*(part.column(k).to_pylist() for k in range(2, 5)), strict=True):
+                    if t and host not in sets:
+                        sets[host] = frozenset(t["texts"] or ())
+                    texts.append(main_text(page or "", t["slot"], frozenset(t["kept"] or ()), sets[host]) if t else main_text(page or ""))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema[page_id].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "slot").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return rows.select("page_id", "url", "html", "host", "template").mapInArrow(run, f"page_id {kind}, url string, text string")
