@@ -336,3 +336,39 @@ def test_block_keys_catch_every_pair():
     for a in range(64):
         for b in range(a):
             assert any(not any(lo <= x < hi for lo, hi in k for x in (a, b)) for k in keys)
+
+
+def lattice_paths(token, model):
+    """Every reading of a token with its log-probability, path by path."""
+    paths = {((), 0): 0.0}
+    runs = [(m[0][0], len(m[0])) for m in toxicity._RUN.finditer(token)]
+    out = [((), 0, 0.0)]
+    for ch, nth, run in ((c, k, n) for c, n in runs for k in range(n)):
+        out = [(w if x < 0 else (*w, x), s if x < 0 else (s % 27) * 27 + x, p + c + (0 if x < 0 else model.log[s * 27 + x])) for w, s, p in out for x, c in toxicity._options(ch, nth, run)]
+    del paths
+    return [("".join(chr(96 + x) if x else " " for x in w).strip(), p + model.log[s * 27]) for w, s, p in out]
+
+
+@given(st.text(alphabet="ab1o0!.s$ \n", max_size=9))
+@settings(max_examples=150, deadline=None)
+def test_viterbi_against_all_paths(token):
+    text = " ".join(["so solo bass a sob also boss as"] * 20)
+    c = np.concatenate([np.zeros(2, np.uint8), toxicity.letters(text), np.zeros(1, np.uint8)]).astype(int)
+    model = toxicity.CharModel(np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3))
+    paths = lattice_paths(token, model)
+    best = max(p for _, p in paths)
+    assert any(w == model.restore(token) and p > best - 1e-9 for w, p in paths)
+
+
+def test_disguises_at_ends_and_over_gaps():
+    text = " ".join(["the idiot and a clown or loser, you are trash with stupid scum the of and that moron asshole all good"] * 50)
+    c = np.concatenate([np.zeros(2, np.uint8), toxicity.letters(text), np.zeros(1, np.uint8)]).astype(int)
+    model = toxicity.CharModel(np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3))
+    chosen = {"=idiot": 0, "^stup": 1, "=asshole": 2, "=moron": 3}
+    for shown, feature in {"asshol3": 2, "stuupid": 1, "idiiot": 0, "you i d i o t": 0, "i  d  i  o  t": 0, "m\no\nr\no\nn": 3, "y o u  i d i o t": 0, "y o u i d i o t": 0, "!diot": 0}.items():
+        assert feature in toxicity.Reader(model, chosen).features(shown), shown
+        # The shortcut by shapes loses nothing.
+        plain = toxicity.Reader(model, chosen)
+        plain.starts = None
+        assert plain.features(shown) == toxicity.Reader(model, chosen).features(shown)
+    assert not toxicity.Reader(model, chosen).features("good morning to all of you 2024")

@@ -17,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import discard, materialize
+
 #: Look-alikes and the letters they stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 _EDGES = " \t\n\r\v\f!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…¿¡–—"
-_ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£.\-_*~']+[^\W\d_]|(?:^|[^\w])[0-9@$!|(€£]+[^\W\d_]|([^\W\d_])\1\1")
-_SPACED, _MAYBE_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)"), re.compile(r"[ \t]\S[ \t]\S[ \t]")
+#: Letters and something else together, or a character twice in a row: all that a lattice could read in more than one way.
+_ODD = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|(\S)\1", re.S)
+_SPACED, _MAYBE_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)"), re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
+NARROW, WIDE = " ", "\n"
 _RUN = re.compile(r"(.)\1*", re.S)
 _N = 27  # a word's edge, and a to z
 _DROP = -1
@@ -56,7 +60,10 @@ class CharModel:
         self.log = np.log(p3).reshape(-1).tolist()
 
     def restore(self, token: str) -> str:
-        """The likeliest letters behind a token; its own length bounds the lattice, and time grows in proportion."""
+        """The likeliest letters behind a token, words parted by blanks; its length bounds the lattice, and time grows in proportion.
+
+        NARROW in a token is a gap that may part words, WIDE one that does.
+        """
         log = self.log
         beams = {0: (0.0, None)}  # by the last two letters; a path is (letter, path before)
         runs = [(m[0][0], len(m[0])) for m in _RUN.finditer(token)]
@@ -76,9 +83,9 @@ class CharModel:
         _, path = max(((score + log[state * _N], path) for state, (score, path) in beams.items()), key=lambda x: x[0])
         out = []
         while path:
-            out.append(chr(96 + path[0]))
+            out.append(chr(96 + path[0]) if path[0] else " ")
             path = path[1]
-        return "".join(reversed(out))
+        return "".join(reversed(out)).strip()
 
 
 def _options(ch: str, nth: int, run: int) -> list[tuple[int, float]]:
@@ -86,6 +93,10 @@ def _options(ch: str, nth: int, run: int) -> list[tuple[int, float]]:
 
     A letter after itself is mostly spelling in a run of two, and mostly stretching in a longer one.
     """
+    if ch == NARROW:
+        return [(0, math.log(0.2)), (_DROP, math.log(0.8))]
+    if ch == WIDE:
+        return [(0, 0.0)]
     again = 0.0 if not nth else 0.2 if run == 2 else 0.7
     code = ch.encode("latin-1", "replace")
     letter = _CLASS[code[0]] if ch.isalpha() else 0
@@ -98,11 +109,56 @@ def _options(ch: str, nth: int, run: int) -> list[tuple[int, float]]:
     return [(_DROP, 0.0)]
 
 
-def readings(token: str, model: CharModel) -> list[str]:
-    """The words that a lower-case token may be read as: itself without the marks around it, and its restored form."""
+class _Shapes(dict):
+    """For ``str.translate``: a letter without its accent, or the first letter of a look-alike, l as i; all else goes."""
+
+    def __init__(self, marks: bool):
+        self.marks = marks
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        if ch in LOOKALIKES:
+            c = LOOKALIKES[ch][0] if self.marks or ch.isdigit() else ""
+        else:
+            k = _CLASS[ch.encode("latin-1", "replace")[0]] if ch.isalpha() else 0
+            c = chr(96 + k) if k else ""
+        self[code] = "i" if c == "l" else c
+        return self[code]
+
+
+_SHAPES = (_Shapes(True), _Shapes(False))
+
+
+def _beginning(text: str, marks: bool = True) -> str:
+    """The first three letters of a text in their shapes, runs as one; look-alike marks only with ``marks``."""
+    out = ""
+    for c in text.translate(_SHAPES[not marks]):
+        if out[-1:] != c:
+            out += c
+            if len(out) == 3:
+                break
+    return out
+
+
+def beginnings(features) -> frozenset:
+    """How the features' shapes begin: no token of another shape can be restored to any of them."""
+    return frozenset(_beginning(f[1:]) for f in features)
+
+
+def _may_start(token: str, word: str, starts: frozenset) -> bool:
+    if _beginning(token) in starts or token != word and _beginning(word) in starts:
+        return True
+    return not token.isalnum() and _beginning(token, False) in starts
+
+
+def readings(token: str, model: CharModel, starts: frozenset | None = None) -> list[str]:
+    """The words that a lower-case token may be read as: itself without the marks around it, and its restored form.
+
+    With ``starts`` a token is restored only if its shape begins like one of them: with its look-alike marks as letters or without.
+    """
     word = token.strip(_EDGES)
     out = [word] if word else []
-    if _ODD.search(token):
+    if _ODD.search(token) and (starts is None or _may_start(token, word, starts)):
         restored = model.restore(token)
         if restored and restored != word:
             out.append(restored)
@@ -114,14 +170,25 @@ def names(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
 
 
+def spaced_out(text: str):
+    """Lattices for stretches of single characters: the characters, with NARROW between them and WIDE where the gap is a wider one."""
+    for m in _SPACED.finditer(text):
+        if len(set(m[0].split())) < 3:
+            continue
+        gaps = re.findall(r"\s+", m[0])
+        least = min(map(len, gaps))
+        yield "".join(c + g for c, g in zip(m[0].split(), [NARROW if len(g) == least else WIDE for g in gaps] + [""], strict=True))
+
+
 class Reader:
     """Counts features of texts; with ``chosen`` only those, by their index."""
 
     def __init__(self, model: CharModel, chosen: dict[str, int] | None = None):
         self.model, self.chosen, self.known = model, chosen, {}
+        self.starts = None if chosen is None else beginnings(chosen)
 
     def _of(self, token: str):
-        found = [f for w in readings(token, self.model) for f in names(w)]
+        found = [f for w in readings(token, self.model, self.starts) for f in names(w)]
         if self.chosen is not None:
             found = [self.chosen[f] for f in found if f in self.chosen]
         return tuple(dict.fromkeys(found))
@@ -129,10 +196,9 @@ class Reader:
     def features(self, text: str) -> Counter:
         low = text.lower()
         counts = Counter(low.split())
-        for m in _SPACED.finditer(low) if _MAYBE_SPACED.search(low) else ():
-            chars = m[0].replace(" ", "").replace("\t", "")
-            if len(set(chars)) > 2:
-                counts[self.model.restore(chars)] += 1
+        if _MAYBE_SPACED.search(low):
+            for lattice in spaced_out(low):
+                counts.update(w for w in self.model.restore(lattice).split() if len(w) > 1)
         out: Counter = Counter()
         known = self.known
         if len(known) > (50_000 if self.chosen is None else 150_000):  # of words' features, not of words
@@ -186,59 +252,64 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """``(toxic, text)`` of at most ``most`` labelled documents outside the held-out fold, drawn by a hash of doc_id."""
+    """``(toxic, text)`` of at most ``most`` labelled documents outside the held-out fold, drawn by a hash of doc_id.
+
+    Of rows with one doc_id the smallest text is taken, so repeated ids don't add rows.
+    """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = marked.where(~held_out()).orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(most)
-    return docs.where("text is not null").join(F.broadcast(drawn), "doc_id").select("toxic", "text")
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
 
 
-def _feature_counts(rows: DataFrame, chars: CharModel) -> DataFrame:
+def _feature_lists(rows: DataFrame, chars: CharModel) -> DataFrame:
+    """``(toxic, f, n)``: each row's features and their counts."""
     shared = rows.sparkSession.sparkContext.broadcast(chars)
 
     def run(batches):
         reader = Reader(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                seen = (Counter(), Counter())
-                for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    seen[toxic > 0].update(reader.features(text).keys())
-                every = sorted(seen[0].keys() | seen[1].keys())
-                columns = [pa.array(every, pa.string()), pa.array([seen[1][f] for f in every], pa.int64()), pa.array([seen[0][f] for f in every], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["feature", "pos", "neg"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [reader.features(t) for t in part.column(1).to_pylist()]
+                lists = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["toxic", "f", "n"])
 
-    return rows.mapInArrow(run, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return rows.mapInArrow(run, "toxic int, f array<string>, n array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 1_000, min_rows: int = 4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, min_rows: int = 4, errors: float = 4.5) -> Model:
     """A model from at most ``most_rows`` labelled rows of ``docs``, and character counts of all its texts.
 
-    Features are those of ``min_rows`` training rows or more whose share among toxic rows exceeds that among the
-    others by over 4.5 standard errors, the ``most_features`` strongest.  Without labelled rows of both kinds every score is the share of toxic ones.
+    Features are all those of ``min_rows`` training rows or more whose share among toxic rows exceeds that among the
+    others by over ``errors`` standard errors.  Without labelled rows of both kinds every score is the share of toxic ones.
     """
     spark = docs.sparkSession
     chars = CharModel(char_counts(docs))
-    rows = training_rows(docs, labels, most_rows)
-    tally = rows.groupBy("toxic").count().collect()
+    lists = materialize(_feature_lists(training_rows(docs, labels, most_rows), chars), "feature-lists")
+    tally = lists.groupBy("toxic").count().collect()
     n_pos, n_neg = (float(sum(r["count"] for r in tally if (r["toxic"] > 0) == t)) for t in (True, False))
     prior = (n_pos + 0.5) / (n_pos + n_neg + 10)
-    empty = Model(chars, {}, np.zeros(0), math.log(prior / (1 - prior)))
     if not n_pos or not n_neg:
-        return empty
+        discard(lists)
+        return Model(chars, {}, np.zeros(0), math.log(prior / (1 - prior)))
     share = (F.col("pos") + F.col("neg")) / F.lit(n_pos + n_neg)
     z = (F.col("pos") / F.lit(n_pos) - F.col("neg") / F.lit(n_neg)) / F.sqrt(share * (1.0000001 - share) * F.lit(1 / n_pos + 1 / n_neg))
-    ranked = _feature_counts(rows, chars).where(F.col("pos") + F.col("neg") >= min_rows).withColumn("z", z).where("z > 4.5")
-    index = {r["feature"]: k for k, r in enumerate(ranked.orderBy(F.desc("z"), "feature").limit(most_features).collect())}
-    shared = spark.sparkContext.broadcast((chars, index))
+    toxic = F.sum((F.col("toxic") > 0).cast("long"))
+    counts = lists.select("toxic", F.explode("f").alias("feature")).groupBy("feature").agg(toxic.alias("pos"), (F.count(F.lit(1)) - toxic).alias("neg"))
+    ranked = counts.where(F.col("pos") + F.col("neg") >= min_rows).withColumn("z", z).where(F.col("z") > errors)
+    index = {r["feature"]: k for k, r in enumerate(ranked.orderBy(F.desc("z"), "feature").collect())}
+    shared = spark.sparkContext.broadcast(index)
 
     def run(batches):
-        reader = Reader(*shared.value)
+        index = shared.value
         for batch in batches:
-            found = [reader.features(t) for t in batch.column(1).to_pylist()]
-            ids = pa.array([list(f.keys()) for f in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["toxic", "f", "n"])
+            found = [[(index[f], n) for f, n in zip(*row, strict=True) if f in index] for row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            columns = [pa.array([[x[k] for x in row] for row in found], pa.list_(pa.int32())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["toxic", "f", "n"])
 
-    data = rows.mapInArrow(run, "toxic int, f array<int>, n array<int>").collect()
+    data = lists.mapInArrow(run, "toxic int, f array<int>, n array<int>").collect()
+    discard(lists)
     y = np.array([r["toxic"] > 0 for r in data], dtype=float)
     row = np.repeat(np.arange(len(data)), [len(r["f"]) for r in data])
     col = np.array([f for r in data for f in r["f"]], dtype=np.int64)
