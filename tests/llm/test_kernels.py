@@ -201,7 +201,7 @@ def test_leaks_with_edits_are_found_and_others_not():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
     items = [(k, " ".join(word() for _ in range(rng.randint(12, 50)))) for k in range(60)]
-    index = decontam.Index.build([*items, (90, ""), (91, None), (92, "tiny one")], 12, 0.05)
+    index = decontam.Index.build([*items, (90, ""), (91, None), (92, "tiny one")], 12, 0.05, True)
     for k, text in items:
         e = len(text) // 25
         cut = list(text)
@@ -372,3 +372,27 @@ def test_disguises_at_ends_and_over_gaps():
         plain.starts = None
         assert plain.features(shown) == toxicity.Reader(model, chosen).features(shown)
     assert not toxicity.Reader(model, chosen).features("good morning to all of you 2024")
+
+
+@pytest.mark.parametrize("most", [1 << 22, 40])
+def test_qgram_filter_against_every_stretch(most, monkeypatch):
+    monkeypatch.setattr(decontam, "_MOST_HITS", most)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 6)))
+    items = [(k, " ".join(word() for _ in range(rng.randint(8, 30)))) for k in range(12)]
+    texts = []
+    for _ in range(60):
+        chars = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(chars))
+            chars[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "e"])
+        texts.append(" ".join([*(word() for _ in range(rng.randint(0, 9))), "".join(chars), *(word() for _ in range(rng.randint(0, 9)))]))
+    index = decontam.Index.build(items, 12, 0.05)
+    got = {(k, i): e for k, i, _, e in index.search(texts)}
+    want = {}
+    for k, t in enumerate(texts):
+        for n, i in enumerate(index.ids):
+            edits = edit_distance_inside(bytes(index.items[n]), decontam.normalize(t))
+            if edits <= index.budget[n]:
+                want[k, i] = edits
+    assert set(got) == set(want) and all(got[x] >= want[x] for x in got) and len(want) > 20

@@ -142,7 +142,15 @@ def test_leaks(spark):
     rows = docs(spark, [f"{passage(50, 70)}. {items[2].upper()}; {passage(50, 71)}", items[0][: len(items[0]) // 2], *ODD, items[4], items[4]])
     found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(rows, bench).collect()}
     assert found == {(0, 2), (8, 4), (9, 4)}
-    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(rows, bench, most_items=2).collect()} == found
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(rows, bench, most_bytes=300).collect()} == found
+    names = bench.selectExpr("concat('item ', item_id) as item_id", "text")
+    clash = rows.withColumn("item_id", F.lit(1)).withColumn("position", F.lit("x"))
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(clash, names).collect()} == {(a, f"item {b}") for a, b in found}
+    yes = spark.createDataFrame([(1, "Yes")], "item_id bigint, text string")
+    told = docs(spark, ["he said yes.", "eyes"])
+    assert decontam.leaks(told, yes).count() == 0 and [r["doc_id"] for r in decontam.leaks(told, yes, short_items=True).collect()] == [0]
+    same = docs(spark, [items[4], "clean", items[4], items[4]], [1, 1, None, 2])
+    assert [(r["doc_id"], r["text"]) for r in decontam.decontaminated(same, bench, most_bytes=300).collect()] == [(1, "clean")]
     clean = decontam.decontaminated(rows, bench)
     assert {r["doc_id"] for r in clean.collect()} == set(range(1, 8)) and clean.columns == rows.columns
     assert decontam.leaks(rows, bench.where("false")).count() == 0 and decontam.leaks(rows.where("false"), bench).count() == 0

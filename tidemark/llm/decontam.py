@@ -13,12 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.chunk_dedup import slices
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BITS = 20
+_MOST_HITS = 1 << 22
 
 
 def normalize(text: str) -> bytes:
@@ -83,13 +85,13 @@ class Index:
     short: list[tuple[int, bytes]]
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]], q: int, rate: float) -> Index:
+    def build(cls, rows: list[tuple], q: int, rate: float, short_items: bool = False) -> Index:
         """``rate`` times an item's length is its edit budget, lowered where the lemma's bound would not be positive.
 
-        Items shorter than q are found as exact, whole words.  Items without letters or digits are ignored.
+        Items shorter than q have no q-gram: they are left out, or with ``short_items`` found as exact, whole words.
         """
         rows = [(i, normalize(t or "")) for i, t in rows if i is not None]
-        short = [(i, t) for i, t in rows if 0 < len(t) < q]
+        short = [(i, t) for i, t in rows if 0 < len(t) < q] if short_items else []
         rows = [(i, t) for i, t in rows if len(t) >= q]
         items = [np.frombuffer(t, dtype=np.uint8) for _, t in rows]
         size = np.array([len(t) for t in items], dtype=np.int64)
@@ -118,10 +120,35 @@ class Index:
         code = code[pos]
         low, high = np.searchsorted(self.codes, code, "left"), np.searchsorted(self.codes, code, "right")
         n = high - low
-        if not n.sum():
+        if n.sum() > _MOST_HITS and len(texts) > 1:
+            # Each half in turn; short items are in ``found`` already.
+            half = len(texts) // 2
+            longer = Index(**{**vars(self), "short": []})
+            return found + longer.search(texts[:half]) + [(k + half, *rest) for k, *rest in longer.search(texts[half:])]
+        deals = max(1, -(-int(n.sum()) // _MOST_HITS))
+        for deal in range(deals if n.sum() else 0):
+            found += self._in_bands(raw, begins, *self._hits(pos, low, n, deal, deals))
+        return found
+
+    def _hits(self, pos: np.ndarray, low: np.ndarray, n: np.ndarray, deal: int, deals: int) -> tuple[np.ndarray, ...]:
+        """Text position, item and item position of each shared q-gram of one of ``deals`` sets of items, so that common ones don't fill the memory."""
+        parts = []
+        at = 0
+        ends = np.cumsum(n)
+        while at < len(pos):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _MOST_HITS, "right")))
+            some = slice(at, to)
+            pick = np.repeat(low[some] - (np.cumsum(n[some]) - n[some]), n[some]) + np.arange(n[some].sum())
+            mine = self.item[pick] % deals == deal
+            parts.append((np.repeat(pos[some], n[some])[mine], self.item[pick][mine], self.at[pick][mine]))
+            at = to
+        return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
+
+    def _in_bands(self, raw: list[bytes], begins: np.ndarray, pos: np.ndarray, item: np.ndarray, at: np.ndarray) -> list[tuple]:
+        """Bands of diagonals with enough shared q-grams, verified."""
+        found = []
+        if not len(pos):
             return found
-        pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pos, item, at = np.repeat(pos, n), self.item[pick], self.at[pick]
         text = np.searchsorted(begins, pos, "right") - 1
         diagonal = pos - at
         step = self.band + 1
@@ -155,41 +182,58 @@ class Index:
         return found
 
 
+def _indexes(benchmark: DataFrame, q: int, rate: float, most_bytes: int, short_items: bool):
+    """The benchmark's items in groups of about ``most_bytes`` UTF-8 bytes, each as an index that every executor gets."""
+    items = benchmark.select("item_id", F.col("text").alias("text")).where("item_id is not null and text is not null")
+    n_groups = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most_bytes))
+    for group in range(n_groups):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_groups)) == group) if n_groups > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in part.collect()], q, rate, short_items))
+
+
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", q: int = 12, rate: float = 0.05, most_items: int = 200_000
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", q: int = 12, rate: float = 0.05, most_bytes: int = 4 << 20, short_items: bool = False
 ) -> DataFrame:
     """``(doc_id, item_id, position, edits)``: each document and benchmark item of which it holds a stretch within the edit budget.
 
-    ``benchmark`` is ``(item_id, text)``.  Its index goes to every executor, which its size allows: over ``most_items`` items
-    the search takes one pass over ``docs`` for each group of that many.  ``position`` is in the normalised text.  Null and
-    empty texts and items hold nothing; repeated rows give repeated results.
+    ``benchmark`` is ``(item_id, text)``, its ids of any type.  An index of at most about ``most_bytes`` of items goes to every executor; a larger
+    benchmark takes one pass over ``docs`` for each group of that size.  ``position`` is in the normalised text.  Null and
+    empty texts and items hold nothing; repeated rows give repeated results.  Items of under ``q`` bytes after normalising are left out,
+    since an answer such as "yes" is in too many texts; with ``short_items`` they are found as exact, whole words.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[doc_id].dataType.simpleString()
-    items = benchmark.select("item_id", F.col("text").alias("text")).where("item_id is not null and text is not null")
-    n_groups = max(1, -(-items.count() // most_items))
+    kind, item_kind = docs.schema[doc_id].dataType.simpleString(), benchmark.schema["item_id"].dataType
     rows = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for group in range(n_groups):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_groups)) == group) if n_groups > 1 else items
-        shared = spark.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in part.collect()], q, rate))
+    for shared in _indexes(benchmark, q, rate, most_bytes, short_items):
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, item_type=to_arrow_type(item_kind)):
             index = shared.value
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 for lo, hi in slices(texts):
                     found = index.search(texts[lo:hi])
                     columns = [batch.column(0).take(pa.array([lo + f[0] for f in found], pa.int64()))]
-                    columns += [pa.array([f[k] for f in found], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))]
+                    columns += [pa.array([f[k] for f in found], t) for k, t in ((1, item_type), (2, pa.int64()), (3, pa.int32()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "position", "edits"])
 
-        found = rows.mapInArrow(run, f"doc_id {kind}, item_id bigint, position bigint, edits int")
+        found = rows.mapInArrow(run, f"doc_id {kind}, item_id {item_kind.simpleString()}, position bigint, edits int")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; rows with a null doc_id stay."""
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__doc"), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", q: int = 12, rate: float = 0.05, most_bytes: int = 4 << 20, short_items: bool = False) -> DataFrame:
+    """``docs`` without the rows whose own text holds a benchmark passage, whatever their doc_id; null texts stay.  No row is moved."""
+    place = docs.columns.index(text)
+    for shared in _indexes(benchmark, q, rate, most_bytes, short_items):
+
+        def run(batches, shared=shared):
+            index = shared.value
+            for batch in batches:
+                texts = [t or "" for t in batch.column(place).to_pylist()]
+                keep = np.ones(len(texts), dtype=bool)
+                for lo, hi in slices(texts):
+                    keep[[lo + f[0] for f in index.search(texts[lo:hi])]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
