@@ -22,8 +22,9 @@ from tidemark.llm.storage import discard, materialize
 #: Look-alikes and the letters they stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 _EDGES = " \t\n\r\v\f!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…¿¡–—"
-#: Letters and something else together, or a character twice in a row: all that a lattice could read in more than one way.
-_ODD = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|(\S)\1", re.S)
+#: Letters and something else together, and a character twice in a row: all that a lattice could read in more than one way.
+_MIXED = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|(\S)\1\1", re.S)
+_TWICE = re.compile(r"(\S)\1")
 _SPACED, _MAYBE_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)"), re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
 NARROW, WIDE = " ", "\n"
 _RUN = re.compile(r"(.)\1*", re.S)
@@ -154,11 +155,12 @@ def _may_start(token: str, word: str, starts: frozenset) -> bool:
 def readings(token: str, model: CharModel, starts: frozenset | None = None) -> list[str]:
     """The words that a lower-case token may be read as: itself without the marks around it, and its restored form.
 
-    With ``starts`` a token is restored only if its shape begins like one of them: with its look-alike marks as letters or without.
+    With ``starts`` a token is restored only if its shape begins like one of them, with its look-alike marks as letters or without.
+    Without, as while features are being chosen, letters that are only doubled are taken as they stand.
     """
     word = token.strip(_EDGES)
     out = [word] if word else []
-    if _ODD.search(token) and (starts is None or _may_start(token, word, starts)):
+    if _MIXED.search(token) if starts is None else (_MIXED.search(token) or _TWICE.search(token)) and _may_start(token, word, starts):
         restored = model.restore(token)
         if restored and restored != word:
             out.append(restored)
@@ -201,7 +203,7 @@ class Reader:
                 counts.update(w for w in self.model.restore(lattice).split() if len(w) > 1)
         out: Counter = Counter()
         known = self.known
-        if len(known) > (50_000 if self.chosen is None else 150_000):  # of words' features, not of words
+        if len(known) > (30_000 if self.chosen is None else 150_000):  # of words' features, not of words
             known.clear()
         for token, n in counts.items():
             of = known.get(token)
@@ -262,20 +264,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
 
 
-def _feature_lists(rows: DataFrame, chars: CharModel) -> DataFrame:
-    """``(toxic, f, n)``: each row's features and their counts."""
+def _feature_counts(rows: DataFrame, chars: CharModel) -> DataFrame:
+    """``(feature, pos, neg)``: in how many of the toxic and of the other rows each feature is."""
     shared = rows.sparkSession.sparkContext.broadcast(chars)
 
     def run(batches):
         reader = Reader(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [reader.features(t) for t in part.column(1).to_pylist()]
-                lists = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["toxic", "f", "n"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                seen = (Counter(), Counter())
+                for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    seen[toxic > 0].update(reader.features(text).keys())
+                every = sorted(seen[0].keys() | seen[1].keys())
+                columns = [pa.array(every, pa.string()), pa.array([seen[1][f] for f in every], pa.int64()), pa.array([seen[0][f] for f in every], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["feature", "pos", "neg"])
 
-    return rows.mapInArrow(run, "toxic int, f array<string>, n array<int>")
+    return rows.mapInArrow(run, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, min_rows: int = 4, errors: float = 4.5) -> Model:
@@ -286,30 +291,28 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, min_rows: i
     """
     spark = docs.sparkSession
     chars = CharModel(char_counts(docs))
-    lists = materialize(_feature_lists(training_rows(docs, labels, most_rows), chars), "feature-lists")
-    tally = lists.groupBy("toxic").count().collect()
+    rows = materialize(training_rows(docs, labels, most_rows), "training-rows")
+    tally = rows.groupBy("toxic").count().collect()
     n_pos, n_neg = (float(sum(r["count"] for r in tally if (r["toxic"] > 0) == t)) for t in (True, False))
     prior = (n_pos + 0.5) / (n_pos + n_neg + 10)
     if not n_pos or not n_neg:
-        discard(lists)
+        discard(rows)
         return Model(chars, {}, np.zeros(0), math.log(prior / (1 - prior)))
     share = (F.col("pos") + F.col("neg")) / F.lit(n_pos + n_neg)
     z = (F.col("pos") / F.lit(n_pos) - F.col("neg") / F.lit(n_neg)) / F.sqrt(share * (1.0000001 - share) * F.lit(1 / n_pos + 1 / n_neg))
-    toxic = F.sum((F.col("toxic") > 0).cast("long"))
-    counts = lists.select("toxic", F.explode("f").alias("feature")).groupBy("feature").agg(toxic.alias("pos"), (F.count(F.lit(1)) - toxic).alias("neg"))
-    ranked = counts.where(F.col("pos") + F.col("neg") >= min_rows).withColumn("z", z).where(F.col("z") > errors)
+    ranked = _feature_counts(rows, chars).where(F.col("pos") + F.col("neg") >= min_rows).withColumn("z", z).where(F.col("z") > errors)
     index = {r["feature"]: k for k, r in enumerate(ranked.orderBy(F.desc("z"), "feature").collect())}
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast((chars, index))
 
     def run(batches):
-        index = shared.value
+        reader = Reader(*shared.value)
         for batch in batches:
-            found = [[(index[f], n) for f, n in zip(*row, strict=True) if f in index] for row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            columns = [pa.array([[x[k] for x in row] for row in found], pa.list_(pa.int32())) for k in range(2)]
+            found = [reader.features(t) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["toxic", "f", "n"])
 
-    data = lists.mapInArrow(run, "toxic int, f array<int>, n array<int>").collect()
-    discard(lists)
+    data = rows.mapInArrow(run, "toxic int, f array<int>, n array<int>").collect()
+    discard(rows)
     y = np.array([r["toxic"] > 0 for r in data], dtype=float)
     row = np.repeat(np.arange(len(data)), [len(r["f"]) for r in data])
     col = np.array([f for r in data for f in r["f"]], dtype=np.int64)
