@@ -365,11 +365,11 @@ def test_disguises_at_ends_and_over_gaps():
     c = np.concatenate([np.zeros(2, np.uint8), toxicity.letters(text), np.zeros(1, np.uint8)]).astype(int)
     model = toxicity.CharModel(np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3))
     chosen = {"=idiot": 0, "^stup": 1, "=asshole": 2, "=moron": 3}
-    for shown, feature in {"asshol3": 2, "stuupid": 1, "idiiot": 0, "you i d i o t": 0, "i  d  i  o  t": 0, "m\no\nr\no\nn": 3, "y o u  i d i o t": 0, "y o u i d i o t": 0, "!diot": 0}.items():
+    for shown, feature in {"asshol3": 2, "stuupid": 1, "idiiot": 0, "you i d i o t": 0, "i  d  i  o  t": 0, "m\no\nr\no\nn": 3, "y o u  i d i o t": 0, "y o u i d i o t": 0, "!diot": 0, "(1d10t!!)": 0}.items():
         assert feature in toxicity.Reader(model, chosen).features(shown), shown
         # The shortcut by shapes loses nothing.
         plain = toxicity.Reader(model, chosen)
-        plain.starts = None
+        plain.shapes = type("All", (), {"fit": lambda *a: True})()
         assert plain.features(shown) == toxicity.Reader(model, chosen).features(shown)
     assert not toxicity.Reader(model, chosen).features("good morning to all of you 2024")
 

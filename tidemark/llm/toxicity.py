@@ -27,6 +27,7 @@ _MIXED = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|(\S)\1\1", re.S)
 _TWICE = re.compile(r"(\S)\1")
 _SPACED, _MAYBE_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)"), re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
 NARROW, WIDE = " ", "\n"
+_PLAIN = "".join(c for c in _EDGES if c not in LOOKALIKES)
 _RUN = re.compile(r"(.)\1*", re.S)
 _N = 27  # a word's edge, and a to z
 _DROP = -1
@@ -141,27 +142,38 @@ def _beginning(text: str, marks: bool = True) -> str:
     return out
 
 
-def beginnings(features) -> frozenset:
-    """How the features' shapes begin: no token of another shape can be restored to any of them."""
-    return frozenset(_beginning(f[1:]) for f in features)
+class Shapes:
+    """The shapes of features: no token of another shape can be restored to any of them."""
 
+    def __init__(self, features):
+        shape = lambda f: _RUN.sub(r"\1", f[1:].translate(_SHAPES[0]))
+        self.words = frozenset(shape(f) for f in features if f[0] == "=")
+        self.prefixes = frozenset(shape(f) for f in features if f[0] == "^")
+        self.sizes = sorted({len(p) for p in self.prefixes})
+        self.begins = frozenset(s[:3] for s in self.words | self.prefixes)
 
-def _may_start(token: str, word: str, starts: frozenset) -> bool:
-    if _beginning(token) in starts or token != word and _beginning(word) in starts:
-        return True
-    return not token.isalnum() and _beginning(token, False) in starts
+    def _fit(self, text: str, marks: bool = True) -> bool:
+        if _beginning(text, marks) not in self.begins:
+            return False
+        shape = _RUN.sub(r"\1", text.translate(_SHAPES[not marks]))
+        return shape in self.words or any(shape[:k] in self.prefixes for k in self.sizes)
 
+    def fit(self, token: str, word: str) -> bool:
+        """Whether the token could be a feature's word, with the marks around it or without, with look-alike marks as letters or without."""
+        return self._fit(token) or token != word and self._fit(word) or not token.isalnum() and self._fit(token, False)
 
-def readings(token: str, model: CharModel, starts: frozenset | None = None) -> list[str]:
+
+def readings(token: str, model: CharModel, shapes: Shapes | None = None) -> list[str]:
     """The words that a lower-case token may be read as: itself without the marks around it, and its restored form.
 
-    With ``starts`` a token is restored only if its shape begins like one of them, with its look-alike marks as letters or without.
+    With ``shapes`` a token is restored only if its own shape fits.
     Without, as while features are being chosen, letters that are only doubled are taken as they stand.
     """
     word = token.strip(_EDGES)
     out = [word] if word else []
-    if _MIXED.search(token) if starts is None else (_MIXED.search(token) or _TWICE.search(token)) and _may_start(token, word, starts):
-        restored = model.restore(token)
+    core = token.lstrip(_PLAIN + "(").rstrip(_PLAIN + "!")
+    if _MIXED.search(core) if shapes is None else (_TWICE.search(core) or _MIXED.search(core)) and shapes.fit(core, word):
+        restored = model.restore(core)
         if restored and restored != word:
             out.append(restored)
     return out
@@ -187,10 +199,10 @@ class Reader:
 
     def __init__(self, model: CharModel, chosen: dict[str, int] | None = None):
         self.model, self.chosen, self.known = model, chosen, {}
-        self.starts = None if chosen is None else beginnings(chosen)
+        self.shapes = None if chosen is None else Shapes(chosen)
 
     def _of(self, token: str):
-        found = [f for w in readings(token, self.model, self.starts) for f in names(w)]
+        found = [f for w in readings(token, self.model, self.shapes) for f in names(w)]
         if self.chosen is not None:
             found = [self.chosen[f] for f in found if f in self.chosen]
         return tuple(dict.fromkeys(found))
