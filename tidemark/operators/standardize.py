@@ -16,7 +16,26 @@ from tidemark.functions import hashing, rot
 from tidemark.operators.windows import Episode, absolute_gripper, filled_gripper, without_first
 
 #: Instructions for episodes that come without one.
-FALLBACKS = ("do the task", "complete the task", "perform the task", "carry out the task")
+FALLBACKS = (
+    "Do something useful.",
+    "Complete the task.",
+    "Perform the task.",
+    "Carry out the objective.",
+    "Execute the current task.",
+    "Accomplish the goal.",
+    "Proceed with the task.",
+    "Handle the task at hand.",
+    "Continue the operation.",
+    "Fulfill the task.",
+    "Take meaningful steps.",
+    "Demonstrate useful behavior.",
+    "Act in a useful manner.",
+    "Engage in productive actions.",
+    "Make useful moves.",
+    "Undertake useful actions.",
+    "Behave purposefully.",
+    "Start the activity.",
+)
 
 
 @dataclass(frozen=True)
@@ -25,6 +44,7 @@ class Spec:
 
     Parts: (kind, source field, offset, count), of kind take, quaternion, axis_angle, zxy, matrix (4x4 by columns) or zeros.
     Steps: clip, invert, ("scale", k), ("shift", k), ("fill", threshold), absolute.
+    ``language_parts``: parts that stand for the step, before the command.
     ``action``: pose (absolute pose and command), raw (the source's), or parts and command as given by ``action_parts``.
     """
 
@@ -35,6 +55,7 @@ class Spec:
     action: str = "pose"
     action_parts: tuple = ()
     step: bool = True
+    language_parts: tuple = ()
     drop_first: bool = False
     relabel: bool = False
     fallback: bool = False
@@ -61,7 +82,7 @@ SPECS: dict[str, Spec] = {
     "berkeley_cable_routing": replace(_RAW, action="parts", action_parts=_MOVE_TURN, command=("zeros", 0), instruction=_NATURAL),
     "roboturk": replace(_RAW, action="parts", action_parts=_MOVE_TURN, command=("gripper_closedness_action", 0, "clip", "invert"), instruction=_NATURAL),
     "nyu_door_opening": replace(_RAW, action="parts", action_parts=_MOVE_TURN, command=("gripper_closedness_action", 0, "absolute"), instruction=_NATURAL),
-    "viola": Spec(pose=(("matrix", "ee_states", -16, 16),), grip=("gripper_states", 0, ("scale", 1 / 0.079), "clip"), command=("gripper_closedness_action", 0, "clip", "invert")),
+    "viola": Spec(pose=(("matrix", "ee_states", -16, 16),), grip=("gripper_states", 0, ("scale", 1 / 0.079), "clip"), command=("gripper_closedness_action", 0, "clip", "invert"), instruction=_NATURAL),
     "berkeley_autolab_ur5": Spec(pose=(("take", "robot_state", 6, 3), ("quaternion", "robot_state", 9, 4)), grip=("robot_state", 13, "invert", "clip"), command=("gripper_closedness_action", 0, "absolute"), instruction=_NATURAL),
     "toto": replace(_RAW, action="parts", action_parts=_MOVE_TURN, command=("open_gripper", 0), instruction=_NATURAL),
     "language_table": replace(_RAW, action="parts", action_parts=(("take", "action", 0, 2), ("zeros", "", 0, 4)), command=("ones", 0)),
@@ -99,15 +120,15 @@ SPECS: dict[str, Spec] = {
     "iamlab_pick_insert": replace(_RAW, grip=("state", 7), action="parts", action_parts=(("take", "action", 0, 3), ("quaternion", "action", 3, 4)), command=("action", 7)),
     "uiuc_d3field": replace(_RAW, action="parts", action_parts=(("take", "action", 0, 3), ("zeros", "", 0, 3)), command=("zeros", 0)),
     "utaustin_mutex": _MATRIX,
-    "molmoact": Spec(grip=("state", -1, "invert"), command=("action", -1, "invert")),
-    "berkeley_fanuc": Spec(pose=(("take", "end_effector_state", 0, 3), ("quaternion", "end_effector_state", 3, 4)), grip=("state", 6, "invert", "clip"), command=("state", 6, "invert"), step=False),
+    "molmoact": Spec(pose=(("take", "state", 0, -1),), grip=("state", -1, "invert"), command=("action", -1, "invert"), language_parts=(("take", "action", 0, -1),)),
+    "berkeley_fanuc": Spec(pose=(("take", "end_effector_state", 0, 3), ("quaternion", "end_effector_state", 3, 4)), grip=("state", 6, "invert", "clip"), command=("state", 6, "invert"), language_parts=(("take", "action", 0, 0),)),
     "cmu_playing_with_food": replace(_RAW, action="parts", action_parts=(("take", "action", 0, 3), ("quaternion", "action", 3, 4))),
     "playfusion": replace(_RAW, action="parts", action_parts=(("take", "action", 0, 3), ("take", "action", -4, 3))),
     "cmu_stretch": Spec(pose=(("take", "state", 0, 3), ("zeros", "", 0, 3)), grip=("state", -1, ("shift", 3.14), ("scale", 1 / 6.28)), command=("state", -1, ("shift", 3.14), ("scale", 1 / 6.28))),
     "gnm": Spec(pose=(("take", "position", 0, 2), ("zeros", "", 0, 3), ("take", "yaw", 0, 1)), grip=("zeros", 0), command=("zeros", 0)),
     "fmb": Spec(pose=(("take", "eef_pose", 0, 3), ("quaternion", "eef_pose", 3, 4)), grip=("state_gripper_pose", 0, "invert", "clip"), command=("action", -1, "invert")),
     "dobbe": Spec(axes="dobbe", grip=("state", -1, "clip")),
-    "roboset": replace(_RAW, grip=("state", -1, "clip", "invert"), action="parts", action_parts=(("take", "action", 0, 7),), command=_OPEN),
+    "roboset": replace(_RAW, pose=(("take", "state", 0, -1),), grip=("state", -1, "clip", "invert"), action="parts", action_parts=(("take", "action", 0, 7),), command=_OPEN),
     "rh20t": replace(_RAW, pose=(("take", "tcp_base", 0, 6),), grip=("gripper_width", 0), action="parts", action_parts=(("take", "action_tcp_base", 0, 6),), command=("action_gripper", 0)),
     "tdroid": Spec(pose=(("take", "cartesian_position", 0, 6),), grip=("gripper_position", -1), command=("action", -1, ("fill", 0.95)), action="parts", action_parts=(("take", "action", 0, 6),), step=False),
     "libero": Spec(pose=(("take", "state", 0, 3), ("axis_angle", "state", 3, 3)), grip=("state", -2, ("scale", 25.0), "clip"), command=_OPEN, action="parts", action_parts=(("take", "action", 0, 6),)),
@@ -120,31 +141,177 @@ SPECS: dict[str, Spec] = {
 #: Specs of two arms, each with its six pose numbers and a gripper; the command is divided by 100 or inverted.
 BIMANUAL = {"sample_r1_lite": (("scale", 0.01),), "agibot_large": ("invert",)}
 
-_SUFFIX = "_converted_externally_to_rlds"
 #: Registered dataset names by spec; names that equal their spec are left out.
 DATASETS = {
-    "bridge_orig": ["bridge_orig", "bridge_dataset"], "ppgm": ["ppgm", "ppgm_static", "ppgm_wrist"], "rt1": ["fractal20220817_data"],
-    "nyu_door_opening": ["nyu_door_opening_surprising_effectiveness"], "pusht": ["columbia_cairlab_pusht_real"],
-    "stanford_kuka_multimodal": [f"stanford_kuka_multimodal_dataset{_SUFFIX}"], "nyu_rot": [f"nyu_rot_dataset{_SUFFIX}"],
-    "stanford_hydra": [f"stanford_hydra_dataset{_SUFFIX}"], "austin_buds": [f"austin_buds_dataset{_SUFFIX}"],
-    "nyu_franka_play": [f"nyu_franka_play_dataset{_SUFFIX}"], "droid": ["droid", "droid_100"], "maniskill": [f"maniskill_dataset{_SUFFIX}"],
-    "furniture_bench": [f"furniture_bench_dataset{_SUFFIX}"], "cmu_franka_exploration": [f"cmu_franka_exploration_dataset{_SUFFIX}"],
-    "ucsd_kitchen": [f"ucsd_kitchen_dataset{_SUFFIX}"], "ucsd_pick_place": [f"ucsd_pick_and_place_dataset{_SUFFIX}"],
-    "austin_sailor": [f"austin_sailor_dataset{_SUFFIX}"], "austin_sirius": [f"austin_sirius_dataset{_SUFFIX}"],
-    "tokyo_pr2_opening_fridge": [f"utokyo_pr2_opening_fridge{_SUFFIX}"], "tokyo_pr2_tabletop_manipulation": [f"utokyo_pr2_tabletop_manipulation{_SUFFIX}"],
-    "utokyo_xarm_pick_place": [f"utokyo_xarm_pick_and_place{_SUFFIX}"], "utokyo_xarm_bimanual": [f"utokyo_xarm_bimanual{_SUFFIX}"],
-    "berkeley_mvp": [f"berkeley_mvp{_SUFFIX}"], "berkeley_rpt": [f"berkeley_rpt{_SUFFIX}"], "kaist_nonprehensible": [f"kaist_nonprehensile{_SUFFIX}"],
-    "stanford_mask_vit": [f"stanford_mask_vit{_SUFFIX}"], "tokyo_lsmo": [f"tokyo_u_lsmo{_SUFFIX}"], "dlr_sara_pour": [f"dlr_sara_pour{_SUFFIX}"],
-    "dlr_sara_grid_clamp": [f"dlr_sara_grid_clamp{_SUFFIX}"], "dlr_edan_shared_control": [f"dlr_edan_shared_control{_SUFFIX}"],
-    "asu_table_top": [f"asu_table_top{_SUFFIX}"], "robocook": [f"stanford_robocook{_SUFFIX}"], "imperial_wristcam": ["imperialcollege_sawyer_wrist_cam"],
-    "iamlab_pick_insert": [f"iamlab_cmu_pickup_insert{_SUFFIX}"], "molmoact": ["molmoact_dataset"], "berkeley_fanuc": ["berkeley_fanuc_manipulation"],
-    "playfusion": ["cmu_play_fusion"], "gnm": ["berkeley_gnm_recon", "berkeley_gnm_cory_hall", "berkeley_gnm_sac_son"],
-    "tdroid": [f"tdroid_{x}" for x in ("carrot_in_bowl", "pour_corn_in_pot", "flip_pot_upright", "move_object_onto_plate", "knock_object_over", "cover_object_with_towel")],
-    "libero": [f"libero_{x}_no_noops" for x in ("spatial", "object", "goal", "10")] + [f"libero_{x}_no_noops_{y}" for y in ("mini", "half", "quad") for x in ("10", "goal")] + ["libero_combined"],
-    "human": [f"ego4d_split_{k}" for k in range(1, 5)], "planning": ["planning_dataset"], "yam": [f"yam_{x}" for x in ("dataset", "demo_dataset", "rollout_dataset")],
-    "franka": [f"franka_{x}" for x in ("dataset", "demo_dataset", "towel_demo_dataset", "rollout_dataset")], "yam_jointpos": ["yam_jointpos_dataset", "yam_jointpos_dataset_small"],
-    "agibot_large": ["agibot_large_dataset"],
-}
+    "bridge_orig": [
+        "bridge_orig",
+        "bridge_dataset",
+    ],
+    "ppgm": [
+        "ppgm",
+        "ppgm_static",
+        "ppgm_wrist",
+    ],
+    "rt1": [
+        "fractal20220817_data",
+    ],
+    "nyu_door_opening": [
+        "nyu_door_opening_surprising_effectiveness",
+    ],
+    "pusht": [
+        "columbia_cairlab_pusht_real",
+    ],
+    "stanford_kuka_multimodal": [
+        "stanford_kuka_multimodal_dataset_converted_externally_to_rlds",
+    ],
+    "nyu_rot": [
+        "nyu_rot_dataset_converted_externally_to_rlds",
+    ],
+    "stanford_hydra": [
+        "stanford_hydra_dataset_converted_externally_to_rlds",
+    ],
+    "austin_buds": [
+        "austin_buds_dataset_converted_externally_to_rlds",
+    ],
+    "nyu_franka_play": [
+        "nyu_franka_play_dataset_converted_externally_to_rlds",
+    ],
+    "droid": [
+        "droid",
+        "droid_100",
+    ],
+    "maniskill": [
+        "maniskill_dataset_converted_externally_to_rlds",
+    ],
+    "furniture_bench": [
+        "furniture_bench_dataset_converted_externally_to_rlds",
+    ],
+    "cmu_franka_exploration": [
+        "cmu_franka_exploration_dataset_converted_externally_to_rlds",
+    ],
+    "ucsd_kitchen": [
+        "ucsd_kitchen_dataset_converted_externally_to_rlds",
+    ],
+    "ucsd_pick_place": [
+        "ucsd_pick_and_place_dataset_converted_externally_to_rlds",
+    ],
+    "austin_sailor": [
+        "austin_sailor_dataset_converted_externally_to_rlds",
+    ],
+    "austin_sirius": [
+        "austin_sirius_dataset_converted_externally_to_rlds",
+    ],
+    "tokyo_pr2_opening_fridge": [
+        "utokyo_pr2_opening_fridge_converted_externally_to_rlds",
+    ],
+    "tokyo_pr2_tabletop_manipulation": [
+        "utokyo_pr2_tabletop_manipulation_converted_externally_to_rlds",
+    ],
+    "utokyo_xarm_pick_place": [
+        "utokyo_xarm_pick_and_place_converted_externally_to_rlds",
+    ],
+    "utokyo_xarm_bimanual": [
+        "utokyo_xarm_bimanual_converted_externally_to_rlds",
+    ],
+    "berkeley_mvp": [
+        "berkeley_mvp_converted_externally_to_rlds",
+    ],
+    "berkeley_rpt": [
+        "berkeley_rpt_converted_externally_to_rlds",
+    ],
+    "kaist_nonprehensible": [
+        "kaist_nonprehensile_converted_externally_to_rlds",
+    ],
+    "stanford_mask_vit": [
+        "stanford_mask_vit_converted_externally_to_rlds",
+    ],
+    "tokyo_lsmo": [
+        "tokyo_u_lsmo_converted_externally_to_rlds",
+    ],
+    "dlr_sara_pour": [
+        "dlr_sara_pour_converted_externally_to_rlds",
+    ],
+    "dlr_sara_grid_clamp": [
+        "dlr_sara_grid_clamp_converted_externally_to_rlds",
+    ],
+    "dlr_edan_shared_control": [
+        "dlr_edan_shared_control_converted_externally_to_rlds",
+    ],
+    "asu_table_top": [
+        "asu_table_top_converted_externally_to_rlds",
+    ],
+    "robocook": [
+        "stanford_robocook_converted_externally_to_rlds",
+    ],
+    "imperial_wristcam": [
+        "imperialcollege_sawyer_wrist_cam",
+    ],
+    "iamlab_pick_insert": [
+        "iamlab_cmu_pickup_insert_converted_externally_to_rlds",
+    ],
+    "molmoact": [
+        "molmoact_dataset",
+    ],
+    "berkeley_fanuc": [
+        "berkeley_fanuc_manipulation",
+    ],
+    "playfusion": [
+        "cmu_play_fusion",
+    ],
+    "gnm": [
+        "berkeley_gnm_recon",
+        "berkeley_gnm_cory_hall",
+        "berkeley_gnm_sac_son",
+    ],
+    "tdroid": [
+        "tdroid_carrot_in_bowl",
+        "tdroid_pour_corn_in_pot",
+        "tdroid_flip_pot_upright",
+        "tdroid_move_object_onto_plate",
+        "tdroid_knock_object_over",
+        "tdroid_cover_object_with_towel",
+    ],
+    "libero": [
+        "libero_spatial_no_noops",
+        "libero_object_no_noops",
+        "libero_goal_no_noops",
+        "libero_10_no_noops",
+        "libero_10_no_noops_mini",
+        "libero_goal_no_noops_mini",
+        "libero_10_no_noops_half",
+        "libero_goal_no_noops_half",
+        "libero_10_no_noops_quad",
+        "libero_goal_no_noops_quad",
+        "libero_combined",
+    ],
+    "human": [
+        "ego4d_split_1",
+        "ego4d_split_2",
+        "ego4d_split_3",
+        "ego4d_split_4",
+    ],
+    "planning": [
+        "planning_dataset",
+    ],
+    "yam": [
+        "yam_dataset",
+        "yam_demo_dataset",
+        "yam_rollout_dataset",
+    ],
+    "franka": [
+        "franka_dataset",
+        "franka_demo_dataset",
+        "franka_towel_demo_dataset",
+        "franka_rollout_dataset",
+    ],
+    "yam_jointpos": [
+        "yam_jointpos_dataset",
+        "yam_jointpos_dataset_small",
+    ],
+    "agibot_large": [
+        "agibot_large_dataset",
+    ],
+}
 
 
 def spec_of(dataset: str) -> str:
@@ -235,6 +402,8 @@ def standardized(frames: DataFrame, spec: Spec, ep: Episode, digest_of: str | No
     else:
         action = F.concat(*[_part(p) for p in spec.action_parts], own)
     language = F.concat(F.array(*_step("__pose", ep)), own) if spec.step else F.lit(None).cast("array<double>")
+    if spec.language_parts:
+        language = F.concat(*[_part(p) for p in spec.language_parts], own)
     said = F.first(spec.instruction).over(ep.whole) if spec.instruction in frames.columns else F.lit(None).cast("string")
     if spec.fallback:
         key = F.concat_ws("|", *[F.col(digest_of)] if digest_of else [F.col(k).cast("string") for k in ep.key])
@@ -266,11 +435,11 @@ class DatasetConfig:
 
 #: Named mixtures, dataset and weight.
 MIXTURES = {
-    "libero_finetune": [(f"libero_{x}_no_noops", 1.0) for x in ("spatial", "object", "goal", "10")],
+    "libero_finetune": [("libero_spatial_no_noops", 1.0), ("libero_object_no_noops", 1.0), ("libero_goal_no_noops", 1.0), ("libero_10_no_noops", 1.0)],
     "oxe_magic_soup": [
         ("bc_z", 0.05), ("droid", 2.0), ("fractal20220817_data", 1.0), ("bridge_v2_oxe", 1.0), ("taco_play", 2.0), ("jaco_play", 1.0),
-        (f"furniture_bench_dataset{_SUFFIX}", 0.05), ("utaustin_mutex", 1.0), ("berkeley_fanuc_manipulation", 2.0), ("fmb", 0.05), ("berkeley_autolab_ur5", 1.0),
-        (f"austin_buds_dataset{_SUFFIX}", 1.0), (f"austin_sailor_dataset{_SUFFIX}", 1.0), (f"austin_sirius_dataset{_SUFFIX}", 1.0), ("viola", 1.0), ("molmoact_dataset", 1.0),
+        ("furniture_bench_dataset_converted_externally_to_rlds", 0.05), ("utaustin_mutex", 1.0), ("berkeley_fanuc_manipulation", 2.0), ("fmb", 0.05), ("berkeley_autolab_ur5", 1.0),
+        ("austin_buds_dataset_converted_externally_to_rlds", 1.0), ("austin_sailor_dataset_converted_externally_to_rlds", 1.0), ("austin_sirius_dataset_converted_externally_to_rlds", 1.0), ("viola", 1.0), ("molmoact_dataset", 1.0),
     ],
 }
 

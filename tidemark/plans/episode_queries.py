@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
 from tidemark.operators import folds, keyframes, windows
+from tidemark.operators.standardize import FALLBACKS
 from tidemark.plans.registry import EP, FRAMES, POSES, frames, poses, query, rounded
 from tidemark.plans.registry import table as read
 
@@ -257,10 +258,10 @@ def w27(spark, sf):
 
 
 @query("op_w28_fallback_text", f"""with {FRAMES}, f as (select *, first_value(case when event_type = 'view' then '' else event_type end) over (partition by episode_id order by t) as said from frames)
-  select event_id, case when length(trim(said)) > 0 then said else (['do the task', 'complete the task', 'perform the task'])[1 + (('0x' || substr(md5('fill' || episode_id::varchar), 1, 8))::ubigint % 3)::int] end as instruction from f""")
+  select event_id, case when length(trim(said)) > 0 then said else ([{', '.join(f"'{x}'" for x in FALLBACKS)}])[1 + (('0x' || substr(md5('fill' || episode_id::varchar), 1, 8))::ubigint % 18)::int] end as instruction from f""")
 def w28(spark, sf):
     said = F.first(F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type"))).over(EP.ordered)
-    fallback = hashing.choose("fill", F.col("episode_id"), F.array(*[F.lit(x) for x in ("do the task", "complete the task", "perform the task")]))
+    fallback = hashing.choose("fill", F.col("episode_id"), F.array(*[F.lit(x) for x in FALLBACKS]))
     rows = frames(spark, sf).withColumn("said", said)
     return rows.select("event_id", F.when(F.length(F.trim("said")) > 0, F.col("said")).otherwise(fallback).alias("instruction"))
 

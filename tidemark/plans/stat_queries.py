@@ -206,7 +206,7 @@ def t7(spark, sf):
     return mixture.fair_order(read(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id").where("turn <= 3")
 
 
-@query("op_t8_sample_elements", """with w as (select doc_id, unnest(list_distinct(string_split(lower(text[:120]), ' '))) as x from documents),
+@query("op_t8_sample_elements", """with w as (select doc_id, unnest(list_distinct(string_split(lower(text), ' '))) as x from documents),
   r as (select *, row_number() over (partition by doc_id order by md5(doc_id::varchar || x)) as i from w) select doc_id, string_agg(x, '|' order by i) as words from r where i <= 3 group by 1""")
 def t8(spark, sf):
     words = F.array_distinct(F.split(F.lower("text"), " "))
@@ -220,7 +220,7 @@ def t9(spark, sf):
     return rows.select("vec_id", *[F.get("s", F.lit(k)).alias(n) for k, n in enumerate("abc")])
 
 
-@query("op_t10_nulls_last_order", "select l.doc_id, row_number() over (order by coalesce(case when quality = 1 then l.doc_id end, 1000000), l.doc_id) as place from labels l where l.doc_id < 300")
+@query("op_t10_nulls_last_order", "select l.doc_id, row_number() over (order by case when quality = 1 then l.doc_id end nulls last, l.doc_id) as place from labels l")
 def t10(spark, sf):
     rows = read(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, F.col("doc_id")).alias("at"))
     return mixture.nulls_last_places(rows, "at", "doc_id").select("doc_id", "place")

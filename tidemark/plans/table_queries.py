@@ -13,17 +13,33 @@ from tidemark.sources import readers
 from tidemark.streaming import events as stream
 
 
+def _cells(*ks: int) -> list[tuple[int, bool]]:
+    """Places in the embedding, negative ones lifted from about -1..1 to the range of a gripper."""
+    return [(abs(k), k < 0) for k in ks]
+
+
+#: The source fields that specs read, made of the pose fixture.
+FIELDS = {
+    "state": _cells(1, 2, 3, 4, 5, 6, -7, -8), "action": _cells(9, 10, 11, 12, 13, 14, -15), "eef_pose": _cells(*range(1, 8)), "state_gripper_pose": _cells(-8),
+    "cartesian_position": _cells(*range(1, 7)), "gripper_position": _cells(-8), "action_gripper_position": _cells(-15), "end_effector_cartesian_pos": _cells(1, 2, 3, 4, 5, 6, -8),
+    "base_pose_tool_reached": _cells(*range(1, 8)), "gripper_closed": _cells(-8), "robot_obs": _cells(1, 2, 3, 4, 5, 6, -7), "rel_actions_world": _cells(9, 10, 11, 12, 13, 14, -15),
+    "world_vector": _cells(9, 10, 11), "rotation_delta": _cells(12, 13, 14), "open_gripper": _cells(-15), "robot_state": _cells(*range(1, 7), 1, 2, 3, 4, 5, 6, 7, -8),
+    "end_effector_pose": _cells(1, 2, 3, 4, -7), "ground_truth_ee": _cells(*range(1, 7)), "end_effector_state": _cells(*range(1, 8)), "position": _cells(1, 2), "yaw": _cells(3),
+    "tcp_base": _cells(*range(1, 7)), "gripper_width": _cells(-7), "action_tcp_base": _cells(*range(9, 15)), "action_gripper": _cells(-15),
+}
+
+
 def _raw(spark, sf):
     """The pose fixture with the field names that source schemas use, each an array."""
     a = F.transform("embedding", lambda x: x.cast("double"))
     rows = read(spark, sf, "embeddings").select(F.col("label").alias("episode_id"), F.col("vec_id").alias("t"), a.alias("a"))
     part = lambda lo, n: F.slice("a", lo, n)
     lift = lambda c: F.transform(c, lambda x: x * 4 + 0.5)
+    cell = lambda k, lifted: lift(part(k, 1)) if lifted else part(k, 1)
+    made = [F.concat(*[cell(k, lifted) for k, lifted in cells]).alias(name) for name, cells in FIELDS.items()]
     return rows.select(
-        "episode_id", "t", F.concat(part(1, 6), lift(part(7, 2))).alias("state"), F.concat(part(9, 6), lift(part(15, 1))).alias("action"),
-        part(1, 7).alias("eef_pose"), lift(part(8, 1)).alias("state_gripper_pose"), part(1, 6).alias("cartesian_position"),
-        lift(part(8, 1)).alias("gripper_position"), lift(part(15, 1)).alias("action_gripper_position"), F.concat(part(1, 6), lift(part(8, 1))).alias("end_effector_cartesian_pos"),
-        F.transform(part(16, 1), lambda x: x * 10).alias("gripper_closedness_action"), F.when(F.col("t") % 2 == 0, "").otherwise("pick it").alias("language_instruction"), F.lit("say it").alias("natural_language_instruction"),
+        "episode_id", "t", *made, F.transform(part(16, 1), lambda x: x * 10).alias("gripper_closedness_action"),
+        F.when(F.col("t") % 2 == 0, "").otherwise("pick it").alias("language_instruction"), F.lit("say it").alias("natural_language_instruction"),
     )
 
 
@@ -97,6 +113,93 @@ query("op_std_drop_first_bridge", _sql(_POSE, _CLIP.format(_G8), [], _fill(_G15,
 query("op_std_zeros_ucsd", _sql(_POSE, _G8, [*_ACT[:3], "0.0::double", "0.0::double", "0.0::double"], _G15, _FIRST, step=False))(_standard("ucsd_pick_place"))
 
 
+def _cell(source: str, index: int) -> str:
+    if source == "gripper_closedness_action":
+        return "(e16 * 10)"
+    k, lifted = FIELDS[source][index]
+    return f"(e{k} * 4 + 0.5)" if lifted else f"e{k}"
+
+
+def _taken(part: tuple) -> list[str]:
+    kind, source, start, n = part
+    if kind == "zeros":
+        return ["0.0::double"] * n
+    size = len(FIELDS[source])
+    start = start if start >= 0 else size + start
+    return [_cell(source, k) for k in range(start, start + n if n > 0 else size + n)]
+
+
+def _gripper_sql(recipe: tuple) -> str:
+    if not recipe:
+        return "null::double"
+    source, index, *steps = recipe
+    v = {"zeros": "0.0::double", "ones": "1.0::double"}.get(source) or _cell(source, index)
+    for s in steps:
+        if s == "clip":
+            v = _CLIP.format(v)
+        elif s == "invert":
+            v = f"(1 - {v})"
+        elif s == "absolute":
+            v = f"({_ABSOLUTE.replace('e16 * 10', v)})"
+        elif s[0] == "fill":
+            v = _fill(v, s[1])
+        else:
+            v = f"({v} {'*' if s[0] == 'scale' else '+'} {s[1]!r}::double)"
+    return v
+
+
+def _spec_sql(spec: standardize.Spec) -> str:
+    """SQL for a spec of taken numbers and at most one quaternion, axis angle or zxy turn in its pose."""
+    pose, ctes, source = [], "", "poses"
+    for part in spec.pose:
+        kind, field, start, n = part
+        if kind in ("take", "zeros"):
+            pose += _taken(part)
+            continue
+        cells = [X(_cell(field, start + k)) for k in range(n)]
+        source = "w"
+        if kind == "quaternion":
+            unit = X("sqrt(" + " + ".join(f"{c} * {c}" for c in cells) + ")")
+            ctes = f"{stage('poses', 'q', q=[c / unit for c in cells])}, {stage('q', 'w', r=_turned(named(range(4), 'q')))}"
+        else:
+            ctes = _TURN if kind == "axis_angle" else _ZXY
+        pose += [angles(R)[0], "asin(-r6)", angles(R)[2]] if kind == "axis_angle" else list(map(str, angles(R)))
+    if spec.drop_first:
+        ctes, source = _LATER, "w"
+    own = [] if not spec.command else ["command"]
+    act = [] if spec.action == "pose" else _taken(("take", "action", 0, 0)) if spec.action == "raw" else [c for p in spec.action_parts for c in _taken(p)]
+    extra = [c for p in spec.language_parts for c in _taken(p)]
+    cells = [*(f"{c} as e{k + 1}" for k, c in enumerate(pose)), f"{_gripper_sql(spec.grip)} as grip", f"{_gripper_sql(spec.command)} as command"]
+    cells += [*(f"{c} as c{k}" for k, c in enumerate(act)), *(f"{c} as x{k}" for k, c in enumerate(extra))]
+    cells.append(("'say it'" if spec.instruction.startswith("natural") else _FIRST) + " as said")
+    made = f"z as (select episode_id, t, {', '.join(cells)} from {source})"
+    turns = f"{stage('n', 'm2', r=fixed_axes(E[4], E[5], E[6]))}, {stage('m2', 'o2', s=fixed_axes(X('n4'), X('n5'), X('n6')))}, {stage('o2', 'd', d=product(flipped(R), named(range(9), 's')))}"
+    moves = [f"coalesce({x}, 0)" for x in [*[X(f"n{k}") - E[k] for k in (1, 2, 3)], *angles(named(range(9), "d"))]]
+    first7 = lambda values: [*values, *["null::double"] * 7][:7]
+    state = first7([*(f"e{k + 1}" for k in range(len(pose))), *(["grip"] if spec.grip else [])])
+    action = first7([*(f"c{k}" for k in range(len(act))), *([] if spec.action == "raw" else own)] if act else [*(f"e{k}" for k in range(1, 7)), *own])
+    said = first7([*(f"x{k}" for k in range(len(extra))), *own] if extra else [*moves, *own] if spec.step else [])
+    names = [f"{a}{k}" for a in "sal" for k in range(7)]
+    return f"with {_RAW}, {ctes + ', ' if ctes else ''}{made}, {_AFTER.format(src='z')}, {turns} select t, {shown([*state, *action, *said], names)}, said from d"
+
+
+def _expressible(spec: standardize.Spec) -> bool:
+    kinds = {k for k, *_ in spec.pose} | {k for k, *_ in spec.action_parts}
+    turns = {k for k, *_ in spec.action_parts} - {"take", "zeros"}
+    read = [s for _, s, *_ in (*spec.pose, *spec.action_parts)] + [r[0] for r in (spec.grip, spec.command) if r]
+    known = set(FIELDS) | {"gripper_closedness_action", "zeros", "ones", ""}
+    for kind, source, start, n in (*spec.pose, *spec.action_parts, *spec.language_parts):
+        size = len(FIELDS.get(source, ()))
+        if kind == "take" and not 0 <= (start if start >= 0 else size + start) <= (start if start >= 0 else size + start) + max(n, 0) <= size:
+            return False
+    return not (spec.axes or spec.relabel or spec.fallback or turns) and kinds <= {"take", "zeros", "quaternion", "axis_angle", "zxy"} and set(read) <= known
+
+
+for _name, _spec in standardize.SPECS.items():
+    if _expressible(_spec):
+        query(f"op_std_{_name}", _spec_sql(_spec))(_standard(_name))
+
+
 @query("op_std_registry", "select name, spec from (values " + ", ".join(f"('{n}', '{standardize.spec_of(n)}')" for names in standardize.DATASETS.values() for n in names) + ") v(name, spec)")
 def registry(spark, sf):
     rows = [(n, standardize.spec_of(n)) for names in standardize.DATASETS.values() for n in names]
@@ -158,7 +261,7 @@ def s18(spark, sf):
     return read(spark, sf, "orders").join(allowed, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("op_s19_hint_sections", "select conv_id, turn, text as hint from conversations where length(trim(text)) > 0 and turn <= 1")
+@query("op_s19_hint_sections", "select conv_id, turn, trim(text) as hint from conversations where length(trim(text)) > 0")
 def s19(spark, sf):
     text = F.concat(F.lit("# Title\n\n## other\n<replace with your hint>\n## hint\n"), F.col("text"))
     return read(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.map_values(readers.hint_sections(text))).alias("hint"))

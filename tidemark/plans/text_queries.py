@@ -317,9 +317,17 @@ def x28(spark, sf):
     return audit.keyframe_rules(rows, "conv_id")
 
 
-@query("op_x29_foreshadow", r"select conv_id, turn, regexp_matches(lower(text), '\babout to\b|\b(is|are)\s+going to\b|\bwill\s+(open|close|lift|move|place|drop)\b') as foreshadow from conversations")
+#: What each row's text goes on with: all the announcing phrases, and two that announce nothing.
+_AHEAD = [f"will {v}" for v in "open close shut lift raise lower grasp grip release let@go move begin start descend rise pull push insert place drop reach swing rotate retract tilt pour tip slide press".replace(" ", ",").replace("@", " ").split(",")]
+_AHEAD += ["about to", "is going to", "are  going to", "will sleep", "was going to"]
+_AHEAD_SQL = f"([{', '.join(repr(x) for x in _AHEAD)}])[1 + (conv_id % {len(_AHEAD)})::int]"
+
+
+@query("op_x29_foreshadow", f"with s as (select conv_id, turn, text, {_AHEAD_SQL} as ahead from conversations) select conv_id, turn, ahead not in ('will sleep', 'was going to') as foreshadow from s")
 def x29(spark, sf):
-    return read(spark, sf, "conversations").select("conv_id", "turn", audit.foreshadows(F.col("text")).alias("foreshadow"))
+    ahead = F.get(F.array(*[F.lit(x) for x in _AHEAD]), (F.col("conv_id") % len(_AHEAD)).cast("int"))
+    rows = read(spark, sf, "conversations").withColumn("said", F.concat_ws(" ", "text", ahead))
+    return rows.select("conv_id", "turn", audit.foreshadows(F.col("said")).alias("foreshadow"))
 
 
 @query("op_x30_verbs", r"select doc_id, regexp_matches(lower(text), '\b(the|of)\b') or contains(lower(text), 'the of') as hit from documents")
