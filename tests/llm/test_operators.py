@@ -60,6 +60,29 @@ def test_layouts_become_turns(spark):
     assert out[5] == (None, [])
 
 
+
+def test_all_layouts_in_one_table(spark):
+    parts = "array<struct<type:string,text:string>>"
+    kind = f"id long, messages array<struct<role:string,text:string,content:{parts}>>, conversations array<struct<from:string,value:string>>, prompt string, response string, completion string, instruction string, input string, output string, question string, answer string, system string, data struct<prompt:string,response:string>"
+    names = ["id", "messages", "conversations", "prompt", "response", "completion", "instruction", "input", "output", "question", "answer", "system", "data"]
+    hi = [("text", "h"), ("text", "i"), ("image", None)]
+    records = [
+        {"messages": [("user", "a", None), ("assistant", None, None)]}, {"messages": [("user", None, hi), ("bot", None, [])]}, {"messages": [("user", "a", None), ("assistant", None, hi)]},
+        {"conversations": [("human", "h"), ("gpt", "g")]}, {"prompt": "p", "response": "r"}, {"prompt": "p", "completion": "c", "system": "s"},
+        {"instruction": "i", "input": "n", "output": "o"}, {"question": "q", "answer": "a"}, {"data": ("p", "r")}, {"prompt": "p", "answer": "a"}, {"messages": [("user", None, None)]},
+    ]
+    table = spark.createDataFrame([tuple(({"id": k} | r).get(n) for n in names) for k, r in enumerate(records)], kind)
+    turns = chat.canonical_turns(table, "id")
+    out = {r["id"]: (r["layout"], [tuple(t) for t in r["turns"]]) for r in turns.collect()}
+    assert out == {
+        0: ("role_text", [("user", "a"), ("assistant", "")]), 1: ("role_content", [("user", "hi"), ("assistant", "")]), 2: ("role_text_or_content", [("user", "a"), ("assistant", "hi")]),
+        3: ("from_value", [("user", "h"), ("assistant", "g")]), 4: ("prompt_response", [("user", "p"), ("assistant", "r")]), 5: ("prompt_completion", [("system", "s"), ("user", "p"), ("assistant", "c")]),
+        6: ("instruction", [("user", "i"), ("user", "n"), ("assistant", "o")]), 7: ("question_answer", [("user", "q"), ("assistant", "a")]), 8: ("prompt_response", [("user", "p"), ("assistant", "r")]), 9: (None, []), 10: ("role_text", [("user", "")]),
+    }
+    assert [r["records"] for r in chat.layout_counts(turns).where("layout is null").collect()] == [1]
+    assert chat.canonical_turns(table, "id", roles={}).where("id = 3").first()["turns"][0]["role"] == "human"
+
+
 def test_chat_rows(spark):
     rows = spark.createDataFrame([(1, 1, "assistant", None), (1, 0, "user", "q"), (1, 1, "assistant", "b"), (2, 0, None, LONG), (None, 0, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
     got = {r["conv_id"]: r for r in chat.read_back(chat.formatted_chats(chat.canonical_turns(chat.conversations_to_records(rows), "conv_id"), "conv_id")).collect()}

@@ -31,7 +31,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     records = chat.conversations_to_records(rows.unionByName(extra))
-    return chat.read_back(chat.formatted_chats(chat.canonical_turns(records, "conv_id"), "conv_id"))
+    return chat.read_back(chat.formatted_chats(chat.canonical_turns(records, "conv_id", roles={}), "conv_id"))
 
 
 OP2_SQL = r"""
