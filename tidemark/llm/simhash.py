@@ -340,7 +340,8 @@ def similar_groups(
 
     row = F.xxhash64("doc_id", "content").alias("row")
     texts = docs.select(F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("row"), "text")
-    texts = texts.join(placed.select(row, "node", "fp", "component", "weight", "parts", "part"), "row").dropDuplicates(["row"]).drop("row")
+    # A merge join at every size: the rows wanted grow with the table.
+    texts = texts.join(placed.select(row, "node", "fp", "component", "weight", "parts", "part").hint("merge"), "row").dropDuplicates(["row"]).drop("row")
 
     def shingles(batches):
         for batch in batches:
