@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import boxes, hashing, motion_text, rot, scaling, vec
-from tidemark.operators import audit, folds, joins, keyframes, masks, mixture, standardize, stats, windows, work_queue
+from tidemark.operators import audit, folds, joins, keyframes, masks, mixture, restructure, standardize, stats, windows, work_queue
 from tidemark.sources import readers, sinks
 from tidemark.streaming import events
 
@@ -224,3 +224,63 @@ def test_stream_matches_batch(spark, tmp_path):
     got = {(r["start"], r["event_type"], r["n"]) for r in spark.table("live_windows").collect()}
     want = {(r["start"], r["event_type"], r["n"]) for r in events.tumbling(spark.read.parquet(path), "1 day").collect()}
     assert got == want
+
+
+def test_windows_keep_nulls(spark):
+    rows = spark.createDataFrame([("a", t, v) for t, v in enumerate([1.0, None, 3.0, 4.0])], "episode_id string, t int, v double")
+    got = rows.select("t", windows.window_zero_padded(F.col("v"), 3, EP).alias("z"), windows.window_last_padded(F.col("v"), 3, EP).alias("l")).orderBy("t").collect()
+    assert [r["z"] for r in got] == [[1.0, None, 3.0], [None, 3.0, 4.0], [3.0, 4.0, 0.0], [4.0, 0.0, 0.0]]
+    assert [r["l"] for r in got] == [[1.0, None, 3.0], [None, 3.0, 4.0], [3.0, 4.0, 4.0], [4.0, 4.0, 4.0]]
+    assert [(r["t"], r["delta"]) for r in windows.relabelled(rows, "v", EP).orderBy("t").collect()] == [(0, None), (1, None), (2, 1.0)]
+
+
+def test_chunk_poses(spark):
+    rows = spark.createDataFrame([("a", t, 1.0 * t, 0.1 * t, 10.0 * t) for t in range(3)], "episode_id string, t int, x double, yaw double, g double")
+    zero = F.lit(0.0)
+    pose = [F.col("x"), zero, zero, zero, zero, F.col("yaw")]
+    got = rows.select("t", windows.chunk_poses(pose, F.col("g"), 2, EP).alias("c"), windows.chunk_poses(pose, F.col("g"), 2, EP, joint=True).alias("j")).orderBy("t").collect()
+    assert [[(round(a[0], 9), round(a[5], 9), a[6]) for a in r["c"]] for r in got] == [[(1.0, 0.1, 0.0), (2.0, 0.2, 10.0)], [(1.0, 0.1, 10.0), (1.0, 0.1, 20.0)], [(0.0, 0.0, 20.0), (0.0, 0.0, 20.0)]]
+    assert [[a[0] for a in r["j"]] for r in got] == [[0.0, 1.0], [1.0, 2.0], [2.0, 2.0]]
+
+
+def test_first_interval_keeps_rows_that_share_a_frame(spark):
+    rows = spark.createDataFrame([("a", 1, "p"), ("a", 1, "q"), ("a", 9, "r"), (None, 1, "s")], "k string, t int, v string")
+    spans = spark.createDataFrame([("a", 0, 3, 2), ("a", 1, 2, 1), ("a", 1, 5, None), ("a", 9, 9, 0)], "k string, start int, end int, n int")
+    got = joins.first_interval(rows, spans, "k", "t", "n")
+    assert got.columns == ["k", "t", "v", "start", "end", "n"]
+    assert sorted((r["v"], r["n"]) for r in got.collect() if r["v"] in "pq") == [("p", 1), ("q", 1)]
+    assert {r["v"]: r["n"] for r in got.collect() if r["v"] in "rs"} == {"r": None, "s": None}
+    kept = joins.keep_ranges(rows, spans.where("n = 0").select("k", "start", "end"), "k", "t")
+    assert kept.count() == 0
+
+
+def test_step_loop(spark):
+    batched = spark.createDataFrame([(k, k // 2) for k in range(8)], "id bigint, batch bigint")
+    order = lambda rows: [r["batch"] for r in rows.select("step", "batch").distinct().orderBy("step").collect()]
+    assert order(mixture.stepped(batched, 7)) == [0, 1, 2, 3, 0, 1, 2]
+    assert order(mixture.stepped(batched, 7, skip=2)) == [2, 3, 2, 3, 2, 3, 2]
+    assert order(mixture.stepped(batched, 7, skip=1, restart=False)) == [1, 2, 3]
+    assert mixture.stepped(batched, 7, skip=4).count() == 0 and mixture.stepped(batched.where("false"), 3).count() == 0
+
+
+def test_local_copies(spark):
+    copies = spark.createDataFrame([(1, True, False), (2, True, False), (3, False, False), (4, False, False), (5, True, True), (None, False, False)], "id int, annotated boolean, in_review boolean")
+    records = spark.createDataFrame([(1, "annotated", None), (2, "hinted", "x"), (3, "available", "x"), (5, "annotated", "")], "id int, status string, hint string")
+    found = {r["id"]: r["reason"] for r in restructure.prunable(copies, records, "id").collect()}
+    assert found == {1: "annotation on server", 2: None, 3: "hint on server", 4: None, 5: None, None: None}
+    assert {r["id"]: r["reason"] for r in restructure.prunable(copies, records, "id", reviewed=True).collect()}[5] == "reviewed"
+
+
+def test_restructured_frames(spark):
+    rows = spark.createDataFrame([("a", 0, [1.0, None], "do @it@ now", "sample_r1_lite"), ("a", 1, [9.0], None, None), ("b", 0, None, " \t", "x")], "episode_id string, t int, act array<double>, say string, dataset_name string")
+    assert [r["episode_id"] for r in restructure.within_bounds(rows, "act", EP).collect()] == ["b"]
+    assert restructure.within_bounds(rows.where("t = 0"), "act", EP).count() == 2
+    assert [r["say"] for r in restructure.instructed(rows, "say").collect()] == ["do @it@ now"]
+    made = rows.withColumns({"observation": restructure.observation({}, F.col("act")), "prompt": F.col("say"), "actions": F.coalesce("act", F.array().cast("array<double>"))})
+    got = {(r["episode_id"], r["t"]): r["inputs"] for r in restructure.prepared_inputs(made, 3).collect()}
+    assert got["a", 0]["prompt"] == " now" and got["a", 1]["prompt"] == "" and got["b", 0]["actions"] == [0.0, 0.0, 0.0]
+    assert got["a", 0]["actions"] == [1.0, None, 0.0] and not any(got["a", 0]["image_mask"]) and got["b", 0]["state"] == []
+    assert all(restructure.prepared_inputs(made, 3, all_masks=True).first()["inputs"]["image_mask"])
+    kept = spark.createDataFrame([("f--g--0",), ("f--g--0",)], "step_id string")
+    stepped = restructure.with_step_filter(rows.withColumns({"f": F.lit("f"), "g": F.lit("g")}), kept, "f", "g", "t")
+    assert sorted((r["episode_id"], r["t"], r["passes_filter"]) for r in stepped.collect()) == [("a", 0, True), ("a", 1, False), ("b", 0, True)]

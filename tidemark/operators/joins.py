@@ -18,15 +18,20 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default=None
 
 def keep_ranges(rows: DataFrame, ranges: DataFrame, key: str, at: str) -> DataFrame:
     """Rows whose frame lies in one of their key's ranges [start, end): ranges become frames, so the join is on equality."""
-    frames = ranges.select(key, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias(at)) if "end" in ranges.columns else ranges
+    frames = ranges.where(F.col("start") < F.col("end")).select(key, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias(at)) if "end" in ranges.columns else ranges
     return rows.join(frames.distinct(), [key, at], "left_semi")
 
 
 def first_interval(rows: DataFrame, intervals: DataFrame, key: str, at: str, order: str) -> DataFrame:
-    """Each row with the first of its key's intervals [start, end) that holds its frame; rows without one stay with nulls."""
-    met = rows.join(intervals, (rows[key] == intervals[key]) & (F.col(at) >= F.col("start")) & (F.col(at) < F.col("end")), "left").drop(intervals[key])
-    w = Window.partitionBy(key, at).orderBy(F.col(order).asc_nulls_last())
-    return met.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """Each row with the first of its key's intervals [start, end) that holds its frame; rows without one stay with nulls.
+
+    Intervals become frames, the first of each frame is kept, and the join is on equality: rows that share a frame all stay.
+    """
+    held = [c for c in intervals.columns if c != key]
+    frames = intervals.where(F.col("start") < F.col("end")).select(key, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("__at"), F.struct(*held).alias("__held"))
+    first = frames.groupBy(key, "__at").agg(F.min_by("__held", F.struct(F.col(f"__held.{order}").isNull(), F.col(f"__held.{order}"))).alias("__held"))
+    met = rows.join(first.withColumnRenamed(key, "__key"), (rows[key] == F.col("__key")) & (rows[at] == F.col("__at")), "left")
+    return met.select(*[rows[c] for c in rows.columns], *[F.col(f"__held.{c}").alias(c) for c in held])
 
 
 def near_edges(rows: DataFrame, intervals: DataFrame, key: str, at: str, reach: int) -> DataFrame:

@@ -58,6 +58,19 @@ def with_batches(rows: DataFrame, order: Column, key: str, size: int, block_rows
     return numbered.where(F.col("batch") < F.floor(F.col("__total") / size)).select(*rows.columns, "batch")
 
 
+def stepped(batched: DataFrame, steps: int, skip: int = 0, restart: bool = True) -> DataFrame:
+    """``step`` for each row of (.., batch): what a loop over the batches takes in ``steps`` steps after leaving out the first ``skip``.
+
+    With ``restart`` the loop begins anew, again after the skipped ones, when the batches end; else it ends with them.
+    """
+    left = (batched.agg(F.max("batch")).first()[0] or 0) + 1 - skip
+    if left <= 0:
+        return batched.where("false").withColumn("step", F.lit(0).cast("bigint"))
+    first = F.col("batch") - skip
+    laps = F.sequence(first, F.lit(steps - 1), F.lit(left)) if restart else F.array(first)
+    return batched.where((first >= 0) & (first < steps)).withColumn("step", F.explode(laps))
+
+
 def nulls_last_places(rows: DataFrame, order: str, key: str, block_rows: int = 1_000_000) -> DataFrame:
     """``place`` from 1 for each row by a numeric ``order``, nulls last, then by a numeric ``key``.
 

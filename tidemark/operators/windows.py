@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import rot
+
 
 @dataclass(frozen=True)
 class Episode:
@@ -42,17 +44,22 @@ def number_frames(rows: DataFrame, ep: Episode, name: str = "t") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(ep.ordered) - 1)
 
 
+def _ahead(value: Column, size: int, ep: Episode) -> Column:
+    """This value and the next ones, nulls in their places; shorter at the episode's end."""
+    return F.transform(F.collect_list(F.struct(value.alias("v"))).over(ep.around(0, size - 1)), lambda s: s["v"])
+
+
 def window_zero_padded(value: Column, size: int, ep: Episode, lengths: Column | None = None, zero: Column | None = None) -> Column:
-    """The next ``size`` values as an array, zeros past the episode's end and, with ``lengths``, past the row's own length."""
+    """The next ``size`` values as an array, zeros past the episode's end and, with ``lengths``, past the row's own length; nulls stay in their places."""
     zero = F.lit(0.0) if zero is None else zero
-    seen = F.collect_list(value).over(ep.around(0, size - 1))
+    seen = _ahead(value, size, ep)
     full = F.concat(seen, F.array_repeat(zero, F.lit(size) - F.size(seen)))
     return full if lengths is None else F.transform(full, lambda x, k: F.when(k < lengths, x).otherwise(zero))
 
 
 def window_last_padded(value: Column, size: int, ep: Episode, lengths: Column | None = None) -> Column:
     """As ``window_zero_padded`` with the last value repeated; ``lengths`` holds each row at its own last element."""
-    seen = F.collect_list(value).over(ep.around(0, size - 1))
+    seen = _ahead(value, size, ep)
     full = F.concat(seen, F.array_repeat(F.element_at(seen, -1), F.lit(size) - F.size(seen)))
     return full if lengths is None else F.transform(full, lambda x, k: F.get(full, F.least(k, lengths - 1)))
 
@@ -63,9 +70,9 @@ def delta_to_next(value: Column, ep: Episode) -> Column:
 
 
 def relabelled(rows: DataFrame, value: str, ep: Episode, name: str = "delta") -> DataFrame:
-    """The delta to the next row, without each episode's last row."""
-    after = rows.withColumn("__next", F.lead(value).over(ep.ordered))
-    return after.where("__next is not null").withColumn(name, F.col("__next") - F.col(value)).drop("__next")
+    """The delta to the next row, without each episode's last row; null where either value is null."""
+    after = rows.withColumn("__next", F.lead(F.struct(F.col(value).alias("v"))).over(ep.ordered))
+    return after.where("__next is not null").withColumn(name, F.col("__next.v") - F.col(value)).drop("__next")
 
 
 def without_first(rows: DataFrame, ep: Episode) -> DataFrame:
@@ -96,6 +103,22 @@ def chunk_relative(value: Column, size: int, ep: Episode) -> Column:
     return F.transform(F.slice(window, 2, size), lambda x: x - F.element_at(window, 1))
 
 
+def chunk_poses(pose: list[Column], grip: Column, size: int, ep: Episode, joint: bool = False) -> Column:
+    """The next ``size`` actions, each an array of seven numbers, the last row repeated.
+
+    Joint positions stay as they are from this row on.  Poses (x, y, z, roll, pitch, yaw) are those of the rows after this
+    one, as moves and turns from this one; their gripper is that of the row before.
+    """
+    names = [f"p{k}" for k in range(6)]
+    row = F.struct(*[c.alias(n) for c, n in zip(pose, names, strict=True)], grip.alias("g"))
+    if joint:
+        return F.transform(window_last_padded(row, size, ep), lambda x: F.array(*[x[n] for n in names], x["g"]))
+    window = window_last_padded(row, size + 1, ep)
+    here = F.element_at(window, 1)
+    turn = lambda x: rot.relative_euler([x[n] for n in names[3:]], [here[n] for n in names[3:]])
+    return F.transform(F.slice(window, 2, size), lambda x, k: F.array(*[x[n] - here[n] for n in names[:3]], *turn(x), F.get(window, k)["g"]))
+
+
 def near_flag(flag: Column, reach: int, ep: Episode) -> Column:
     return F.coalesce(F.max(flag.cast("int")).over(ep.around(reach, reach)), F.lit(0)) == 1
 

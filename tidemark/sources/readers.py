@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import hashing
+
 STEP = T.StructType([T.StructField(n, T.StringType()) for n in ("task", "plan", "subtask", "subtask_reason")])
 REASONING = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StructType([
     T.StructField("metadata", T.StructType([T.StructField("n_steps", T.IntegerType())])),
@@ -20,6 +22,11 @@ def episodes(spark: SparkSession, path: str, version: str | None = None) -> Data
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/{version}" if version else path)
 
 
+def sharded(rows: DataFrame, key: str, seed: int, shards: int, index: int) -> DataFrame:
+    """One host's part of a table: rows whose key's digest falls on its shard, the same rows in any run and file layout."""
+    return rows.where(hashing.bucket(f"{seed}shard", F.col(key), shards) == index)
+
+
 def reasoning_steps(lines: DataFrame, value: str = "value") -> DataFrame:
     """``(file, episode, n_steps, step, task, plan, subtask, subtask_reason)`` of JSON lines ``{file: {episode: ...}}``.
 
