@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a tree of joins for long texts.
 
-A long text is halved until its leaves are short; all leaves of a batch are encoded in one call.  Then
-neighbours are joined, level by level: a window of tokens around each join is encoded again and grown until its first and
+A long text is halved until its leaves are short; the leaves are encoded in parallel by threads, as the engine works
+outside Python's lock.  Then neighbours are joined, level by level: a window of tokens around each join is encoded again and grown until its first and
 last tokens are those that both sides had.  A BPE encoding is the one sequence whose neighbouring tokens all
 belong together, so a window that agrees at both ends makes the joined sequence the encoding of the joined text.
 """
@@ -13,6 +13,7 @@ import json
 import os
 import re
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from tidemark.llm.chunk_dedup import slices
 #: Characters that every Unicode version of the last decades puts into the same classes.
 _SETTLED = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
 LEAF_CHARS, FIRST_WINDOW = 16_384, 16
+#: Threads that encode the leaves of long texts in one Python worker.
+LEAF_THREADS = 2
 _loaded = sys.__dict__.setdefault("_tidemark_tokenizers", {})
 
 
@@ -63,6 +66,7 @@ class ByteBPE:
         self.library.no_padding()
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.fast = self._engine(spec)
+        self.threads: ThreadPoolExecutor | None = None
 
     def _engine(self, spec: dict):
         import tiktoken
@@ -84,16 +88,24 @@ class ByteBPE:
             self.pieces[i] = piece
         return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def _encode_fast(self, text: str) -> list[int]:
+        if any(s in text for s in self.special):
+            return self.fast.encode(text, allowed_special="all")
+        return self.fast.encode_ordinary(text)
+
+    def encode_batch(self, texts: list[str], parallel: bool = False) -> list[list[int]]:
+        """Token ids of every text; ``parallel``: by threads."""
         out: list = [None] * len(texts)
-        slow = []
-        for k, t in enumerate(texts):
-            if self.fast is None or (not t.isascii() and _SETTLED.search(t)):
-                slow.append(k)
-            elif any(s in t for s in self.special):
-                out[k] = self.fast.encode(t, allowed_special="all")
-            else:
-                out[k] = self.fast.encode_ordinary(t)
+        slow = [k for k, t in enumerate(texts) if self.fast is None or (not t.isascii() and _SETTLED.search(t))]
+        left = set(slow)
+        quick = [k for k in range(len(texts)) if k not in left]
+        if parallel and len(quick) > 1:
+            self.threads = self.threads or ThreadPoolExecutor(LEAF_THREADS)
+            found = self.threads.map(self._encode_fast, [texts[k] for k in quick])
+        else:
+            found = map(self._encode_fast, [texts[k] for k in quick])
+        for k, ids in zip(quick, found, strict=True):
+            out[k] = ids
         if slow:
             for k, e in zip(slow, self.library.encode_batch([texts[k] for k in slow], add_special_tokens=False), strict=True):
                 out[k] = e.ids
@@ -167,7 +179,10 @@ def encode_long(codec: ByteBPE, texts: list[str], leaf_chars: int = LEAF_CHARS)
         cuts = [len(t) * k // (1 << depth) for k in range((1 << depth) + 1)]
         spans.append((len(leaves), len(cuts) - 1))
         leaves += [t[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    ids = codec.encode_batch(leaves)
+    parts = {k for at, n in spans if n > 1 for k in range(at, at + n)}
+    split, whole = sorted(parts), [k for k in range(len(leaves)) if k not in parts]
+    ids = dict(zip(split, codec.encode_batch([leaves[k] for k in split], parallel=True), strict=True))
+    ids.update(zip(whole, codec.encode_batch([leaves[k] for k in whole]), strict=True))
     nodes = [[(leaves[k], ids[k]) for k in range(at, at + n)] for at, n in spans]
     while any(len(x) > 1 for x in nodes):
         wide = [k for k, x in enumerate(nodes) if len(x) > 1]
