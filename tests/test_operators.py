@@ -284,3 +284,10 @@ def test_restructured_frames(spark):
     kept = spark.createDataFrame([("f--g--0",), ("f--g--0",)], "step_id string")
     stepped = restructure.with_step_filter(rows.withColumns({"f": F.lit("f"), "g": F.lit("g")}), kept, "f", "g", "t")
     assert sorted((r["episode_id"], r["t"], r["passes_filter"]) for r in stepped.collect()) == [("a", 0, True), ("a", 1, False), ("b", 0, True)]
+
+
+def test_log_that_cannot_be_written(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    rows = spark.range(2)
+    assert sinks.append_log(rows, str(tmp_path / "log")) and not sinks.append_log(rows, str(tmp_path / "file" / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2

@@ -23,6 +23,12 @@ def decoded_floats(packed: pd.Series) -> pd.Series:
     return packed.map(one)
 
 
+@F.pandas_udf(BinaryType())
+def packed_floats(values: pd.Series) -> pd.Series:
+    """What ``decoded_floats`` reads: 32-bit floats, little-endian, compressed; null for nulls."""
+    return values.map(lambda v: None if v is None else zlib.compress(np.asarray(v, dtype="<f4").tobytes()))
+
+
 def resized_with_bars(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """An HxWxC image fitted into a frame by nearest pixels, centred, with black bars."""
     h, w = image.shape[:2]

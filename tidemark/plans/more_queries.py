@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -84,10 +81,10 @@ def p17(spark, sf):
     return read(spark, sf, "supplier").select("s_name", target.alias("target"))
 
 
-@query("op_p24_camera_masks", "select item_id, item_id % 3 <> 0 as present from benchmark")
+@query("op_p24_camera_masks", "select item_id, coalesce(item_id % 3 <> 0 and length(text) > 0, false) as present from benchmark")
 def p24(spark, sf):
-    black, some = F.lit(bytes(12)), F.lit(bytes([0, 0, 7, *range(9)]))
-    image = F.when(F.col("item_id") % 3 == 0, black).otherwise(some)
+    black = F.encode(F.repeat(F.lit("\0"), F.length("text")), "utf-8")
+    image = F.when(F.col("item_id") % 3 == 0, black).otherwise(F.encode("text", "utf-8"))
     return read(spark, sf, "benchmark").select("item_id", media.has_pixels(image).alias("present"))
 
 
@@ -128,19 +125,18 @@ def x24(spark, sf):
     return read(spark, sf, "conversations").where("length(trim(text)) > 0").select("conv_id", "turn", F.aggregate(mask, F.lit(0), lambda s, x: s + x.cast("int")).alias("kept"))
 
 
-@query("op_m30_turned_image", "select item_id, 64::int as n, case when item_id % 2 = 0 then 1 else 32 end::int as first_pixel from benchmark")
+@query("op_m30_turned_image", "select item_id, repeat('00', 16) || hex(case when item_id % 2 = 0 then md5(text) else reverse(md5(text)) end) || repeat('00', 16) as pixels from benchmark")
 def m30(spark, sf):
-    raw = F.lit(bytes(range(1, 33)))
+    raw = F.encode(F.md5("text"), "utf-8")
     out = media.turned_and_resized(raw, F.array(F.lit(4), F.lit(8), F.lit(1)), F.col("item_id") % 2 == 1, F.array(F.lit(8), F.lit(8)))
-    rows = read(spark, sf, "benchmark").select("item_id", out.alias("p"))
-    return rows.select("item_id", F.length("p").alias("n"), F.conv(F.hex(F.substring("p", 17, 1)), 16, 10).cast("int").alias("first_pixel"))
+    return read(spark, sf, "benchmark").select("item_id", F.hex(out).alias("pixels"))
 
 
-@query("op_m32_packed_floats", "select item_id, 3::int as n, 1.5::double as first from benchmark")
+@query("op_m32_packed_floats", "select vec_id, len(embedding)::int as n, round(embedding[1]::double, 6) as first, round(list_sum(embedding::double[]), 4) as total from embeddings")
 def m32(spark, sf):
-    packed = F.lit(zlib.compress(struct.pack("<3f", 1.5, -2.0, 0.25)))
-    rows = read(spark, sf, "benchmark").select("item_id", media.decoded_floats(packed).alias("v"))
-    return rows.select("item_id", F.size("v").alias("n"), F.get("v", F.lit(0)).alias("first"))
+    rows = read(spark, sf, "embeddings").select("vec_id", media.packed_floats("embedding").alias("packed"))
+    rows = rows.select("vec_id", media.decoded_floats("packed").alias("v"))
+    return rows.select("vec_id", F.size("v").alias("n"), F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query("op_vqa_samples", f"""select page_id, 'vqa_' || regexp_extract(url, '^https?://([^/]+)', 1) || '_' || page_id as sample_id, ({_H.format('vqa', 'url')} % 2147483647)::bigint as bucket,

@@ -114,6 +114,36 @@ def k4(spark, sf):
     return spark.read.schema("conv_id bigint, turn bigint, run string, passed boolean").json(path)
 
 
+@query("op_k7_exported_episodes", f"""with {FRAMES}, m as (select episode_id, count(*) as n_frames, max(value) as top from frames group by 1 having count(*) >= 5)
+  select f.episode_id, m.n_frames, round(m.top, 6) as top, count(*) as n, round(sum(value), 4) as total from frames f join m using (episode_id) group by all""")
+def k7(spark, sf):
+    path = f"{shared_dir(spark)}/episodes-{uuid.uuid4().hex}"
+    rows = frames(spark, sf)
+    long = rows.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_frames"), F.max("value").alias("top")).where("n_frames >= 5")
+    sinks.export_episodes(rows, long, "episode_id", path)
+    meta = spark.read.schema("episode_id bigint, n_frames bigint, top double").json(f"{path}/meta")
+    found = readers.episodes(spark, path, "frames").groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return meta.join(found, "episode_id").select("episode_id", "n_frames", F.round("top", 6).alias("top"), "n", "total")
+
+
+@query("op_k10_call_log", "select conv_id, turn, role as tool, length(text) as n_chars from conversations")
+def k10(spark, sf):
+    path = f"{shared_dir(spark)}/calls-{uuid.uuid4().hex}"
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("tool"), F.length("text").cast("bigint").alias("n_chars"))
+    for part in (rows.where("turn % 2 = 0"), rows.where("coalesce(turn % 2 <> 0, true)")):
+        sinks.append_log(part, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("op_s2_versioned_table", "select episode_id, count(*) as n from (select user_id as episode_id from events) group by 1")
+def s2(spark, sf):
+    path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    rows = frames(spark, sf).select("episode_id", "t")
+    rows.where("t = 0").write.parquet(f"{path}/1.0.0")
+    rows.write.parquet(f"{path}/1.1.0/part")
+    return readers.episodes(spark, path, "1.1.0").groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 _W = "window w as (partition by episode_id order by t), z as (partition by episode_id order by t rows between unbounded preceding and unbounded following)"
 _AFTER = ", ".join(f"coalesce(lead(e{j}, {k}) over w, last_value(e{j}) over z) as a{k}_{j}" for k in (1, 2) for j in range(1, 8))
 _TURNS = [X(f"e{j}") for j in (4, 5, 6)]

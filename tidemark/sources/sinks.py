@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,19 @@ def read_stats(spark: SparkSession, *paths: str) -> DataFrame | None:
 
 def audit_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def append_log(rows: DataFrame, path: str) -> bool:
+    """Append JSON lines to a log of calls; a log that can't be written is reported and never fails its caller."""
+    try:
+        rows.write.mode("append").json(path)
+        return True
+    except (PySparkException, Py4JError) as e:
+        logging.getLogger(__name__).warning("log %s not written: %s", path, str(e).splitlines()[0])
+        return False
+
+
+def export_episodes(frames: DataFrame, episodes: DataFrame, key: str, path: str) -> None:
+    """Episodes that stand alone: ``path/meta`` has a JSON line for each, ``path/frames`` their frames, clustered by episode."""
+    episodes.write.mode("overwrite").json(f"{path}/meta")
+    frames.join(episodes.select(key).distinct(), key, "left_semi").repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/frames")
