@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import boxes, hashing, motion_text, rot, scaling, vec
-from tidemark.operators import audit, folds, joins, keyframes, masks, mixture, restructure, standardize, stats, windows, work_queue
+from tidemark.operators import audit, folds, joins, keyframes, masks, mixture, questions, restructure, standardize, stats, windows, work_queue
 from tidemark.sources import readers, sinks
 from tidemark.streaming import events
 
@@ -291,3 +291,12 @@ def test_log_that_cannot_be_written(spark, tmp_path):
     rows = spark.range(2)
     assert sinks.append_log(rows, str(tmp_path / "log")) and not sinks.append_log(rows, str(tmp_path / "file" / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_point_tokens(spark):
+    rows = spark.createDataFrame([(1, [(1.0, 0.0), (0.5, 0.25), (0.0, 1.0)]), (2, []), (3, None)], "id int, points array<struct<x double, y double>>")
+    got = {r["id"]: r["c"] for r in rows.select("id", questions.points_text(F.col("points")).alias("c")).collect()}
+    assert got == {1: "<loc1023><loc0000><loc0256><loc0512><loc0000><loc1023>", 2: "", 3: None}
+    assert rows.select(questions.points_text(F.col("points"), most=1).alias("c")).first()["c"] == "<loc0000><loc1023>"
+    none = rows.select(questions.caption_sample(F.col("id"), F.array().cast("array<string>"), 1)[1].alias("c")).first()["c"]
+    assert none is None

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
-from tidemark.operators import mixture, restructure, windows
+from tidemark.operators import mixture, questions, restructure, windows
 from tidemark.plans.geometry_queries import RPY, R, X, angles, fixed_axes, flipped, named, product, shown, stage
 from tidemark.plans.registry import EP, FRAMES, POSES, frames, poses, query, rounded
 from tidemark.plans.registry import table as read
@@ -144,6 +144,30 @@ def s2(spark, sf):
     return readers.episodes(spark, path, "1.1.0").groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PROMPTS = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in questions.CAPTION_PROMPTS) + "]"
+
+
+@query("op_vqa_captions", f"""with c as (select conv_id, list(coalesce(text, '') order by turn) as captions from conversations group by 1)
+  select conv_id, 'captions_' || conv_id || '_' || len(captions) as sample_id, {_PROMPTS}[({_H.format('9prompt', 'conv_id')} % {len(questions.CAPTION_PROMPTS)} + 1)::int] as prompt,
+  captions[({_H.format('9caption', 'conv_id')} % len(captions) + 1)::int] as caption from c""")
+def vqa_captions(spark, sf):
+    listed = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    rows = read(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(listed, lambda s: s["text"]).alias("captions"))
+    prompt, caption = questions.caption_sample(F.col("conv_id"), F.col("captions"), 9)
+    return rows.select("conv_id", questions.sample_id("captions", F.col("conv_id"), F.size("captions")).alias("sample_id"), prompt.alias("prompt"), caption.alias("caption"))
+
+
+@query("op_vqa_points", f"""with p as (select vec_id, label, [{{'x': round_even(abs(embedding[2 * i - 1]::double) * 100.0::double * 10.0::double, 0) / 10.0::double, 'y': round_even(abs(embedding[2 * i]::double) * 100.0::double * 10.0::double, 0) / 10.0::double, 'i': i}} for i in range(1, 21)] as pts from embeddings),
+  s as (select vec_id, label, list_sort([{{'k': q.x * 10000.0::double + q.y, 'i': q.i, 'x': q.x, 'y': q.y}} for q in pts]) as pts from p)
+  select vec_id, case {_H.format('9point', 'vec_id')} % 2 when 0 then 'Find the ' || label || '.' else 'Show me where the ' || label || ' are.' end as prompt,
+  array_to_string([printf('<loc%04d>', round_even(q.y / 100.0::double * 1023.0::double, 0)::int) || printf('<loc%04d>', round_even(q.x / 100.0::double * 1023.0::double, 0)::int) for q in pts], '') as caption from s""")
+def vqa_points(spark, sf):
+    e = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(F.get(e, 2 * k).alias("x"), F.get(e, 2 * k + 1).alias("y")))
+    prompt = questions.point_prompt(F.col("vec_id"), F.col("label").cast("string"), [("Find the ", "."), ("Show me where the ", " are.")], 9)
+    return read(spark, sf, "embeddings").select("vec_id", prompt.alias("prompt"), questions.points_text(pairs).alias("caption"))
+
+
 _W = "window w as (partition by episode_id order by t), z as (partition by episode_id order by t rows between unbounded preceding and unbounded following)"
 _AFTER = ", ".join(f"coalesce(lead(e{j}, {k}) over w, last_value(e{j}) over z) as a{k}_{j}" for k in (1, 2) for j in range(1, 8))
 _TURNS = [X(f"e{j}") for j in (4, 5, 6)]
