@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, chunk_dedup, decontam, html_extract, sharding, simhash, token_counts, topk, toxicity
+from tidemark.llm import bpe, centroids, chat, chunk_dedup, decontam, html_extract, infill, packing, sharding, simhash, token_counts, topk, toxicity
 from tidemark.llm.storage import new_path, ship_package
 
 
@@ -103,15 +103,75 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2, length=4096, keep_ids=False)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as plain, prefix-suffix-middle or suffix-prefix-middle text."""
+    made = infill.transform(table(spark, sf_dir, "documents"), seed=42, rate=50, spm_rate=80)
+    text = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+with h as (select doc_id, coalesce(text, '') as text, sha256('42:' || doc_id::varchar) as h from documents),
+u as (select *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units,
+  ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from h),
+c as (select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as lo, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as hi,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from u),
+p as (select *, array_to_string(units[1:lo], '') as head, array_to_string(units[lo + 1:hi], '') as body, array_to_string(units[hi + 1:], '') as tail from c)
+select doc_id, n, form, case when form <> 'plain' then length(head) end as prefix_chars, case when form <> 'plain' then length(body) end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || head || '<S>' || tail || '<M>' || body when 'spm' then '<S>' || tail || '<P>' || head || '<M>' || body else text end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+"""
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 finite components after three rounds over 16 centroids."""
+    found = centroids.clusters(centroids.integer_rows(table(spark, sf_dir, "embeddings"), 64, 64), 64, 16, 3, seed=1)
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)).drop("centroid")
+
+
+def _op13_sql(rounds: int = 3) -> str:
+    def near(k: int) -> str:
+        return f"""a{k} as (select vec_id, v, k as cluster, d as distance from (
+  select vec_id, v, k, d, row_number() over (partition by rid order by d, k) as r from (
+    select rid, vec_id, v, k, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::bigint as d from kept, c{k})) where r = 1)"""
+
+    def move(k: int) -> str:
+        return f"""s{k} as (select cluster, i, sum(v[i])::bigint as s, count(*)::bigint as n from a{k}, range(1, 65) t(i) group by cluster, i),
+c{k + 1} as (select k, coalesce(m, c) as c from c{k} left join (
+  select cluster, list((s - ((s % n) + n) % n) // n order by i) as m from s{k} group by cluster) on cluster = k)"""
+
+    steps = ",\n".join(f"{near(k)},\n{move(k)}" for k in range(rounds))
+    return f"""
+with kept as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v, row_number() over (order by vec_id) as rid from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+c0 as (select (row_number() over (order by sha256('1:' || vec_id::varchar))) - 1 as k, v as c from kept qualify k < 16),
+{steps},
+{near(rounds)}
+select vec_id, cluster::int as cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia, sum(distance) over ()::bigint as inertia,
+  sha256(array_to_string(list_transform(c, lambda x: x::varchar), ',')) as centroid_sha256
+from a{rounds} join c{rounds} on k = cluster
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_sharding, op2_chat_formatting, op3_toxicity, op4_exact_top_k, op5_bpe_round_trip, op6_token_counts, op7_decontamination, op8_simhash_near_dedup, op9_substring_dedup, op10_html_extraction)
+    own = (op1_sharding, op2_chat_formatting, op3_toxicity, op4_exact_top_k, op5_bpe_round_trip, op6_token_counts, op7_decontamination, op8_simhash_near_dedup, op9_substring_dedup, op10_html_extraction, op11_packing, op12_fill_in_middle, op13_centroid_clusters)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op2_chat_formatting": OP2_SQL, "op4_exact_top_k": OP4_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op2_chat_formatting": OP2_SQL, "op4_exact_top_k": OP4_SQL, "op12_fill_in_middle": OP12_SQL, "op13_centroid_clusters": OP13_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
