@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import hashing
+from tidemark.sources import json_document
 
 STEP = T.StructType([T.StructField(n, T.StringType()) for n in ("task", "plan", "subtask", "subtask_reason")])
-REASONING = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StructType([
-    T.StructField("metadata", T.StructType([T.StructField("n_steps", T.IntegerType())])),
-    T.StructField("reasoning", T.MapType(T.StringType(), STEP)),
-])))
+EPISODE = T.StructType([T.StructField("metadata", T.StructType([T.StructField("n_steps", T.IntegerType())])), T.StructField("reasoning", T.MapType(T.StringType(), STEP))])
+REASONING = T.MapType(T.StringType(), T.MapType(T.StringType(), EPISODE))
 #: White space as Python strips it.
 _BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
@@ -33,7 +32,16 @@ def reasoning_steps(lines: DataFrame, value: str = "value") -> DataFrame:
     An episode with a step key that isn't a whole number is left out whole, as are lines that aren't JSON.
     """
     files = lines.select(F.from_json(value, REASONING).alias("m")).where("m is not null").select(F.explode("m").alias("file", "episodes"))
-    found = files.select("file", F.explode("episodes").alias("episode", "e"))
+    return _steps(files.select("file", F.explode("episodes").alias("episode", "e")))
+
+
+def reasoning_document(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The rows of ``reasoning_steps`` from documents of one JSON object each, of any size, read by many tasks."""
+    found = json_document.members(spark, path)
+    return _steps(found.select("file", "episode", F.from_json("value", EPISODE).alias("e")))
+
+
+def _steps(found: DataFrame) -> DataFrame:
     good = F.forall(F.map_keys("e.reasoning"), lambda k: k.try_cast("int").isNotNull())
     steps = found.where(good).select("file", "episode", F.col("e.metadata.n_steps").alias("n_steps"), F.explode("e.reasoning").alias("k", "s"))
     return steps.select("file", "episode", "n_steps", F.col("k").cast("int").alias("step"), "s.*")

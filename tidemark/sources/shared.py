@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         base = context.getCheckpointDir()
     return base.rstrip("/")
+
+
+def written(rows: DataFrame, tag: str) -> DataFrame:
+    """``rows`` written as Parquet in the shared folder and read back: computed once, and safe from lost executors."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
