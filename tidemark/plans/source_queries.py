@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.plans.registry import query
+from tidemark.plans.registry import POSES, poses, query
 from tidemark.plans.registry import table as read
-from tidemark.sources import readers
+from tidemark.sources import episode_arrays, readers
 from tidemark.sources.shared import shared_dir
 
 
@@ -27,3 +27,30 @@ def s5_document(spark, sf):
     text = F.to_json(F.create_map(F.concat(F.lit("doc"), F.col("part").cast("string")), F.col("episodes")))
     docs.select("part", text.alias("value")).write.partitionBy("part").text(path)
     return readers.reasoning_document(spark, path).select("file", "episode", "n_steps", "step", "task", "subtask")
+
+
+def _stored(spark, sf) -> str:
+    """The pose fixture as files of chunked arrays; returns their folder."""
+    path = f"{shared_dir(spark)}/tidemark/arrays-{uuid.uuid4().hex}"
+    rows = poses(spark, sf)
+    part = lambda a, b: F.array(*[F.col(f"e{k}") for k in range(a, b)])
+    arrays = rows.select("episode_id", "t", part(1, 15).alias("qpos"), part(1, 8).alias("left_endpose"), part(8, 15).alias("right_endpose"), "vec_id")
+    episode_arrays.write(arrays, path, "episode_id", "t", ["qpos", "left_endpose", "right_endpose", "vec_id"], chunk_frames=16, file_frames=1024)
+    return path
+
+
+@query("op_s9_chunk_range", f"""with {POSES} select vec_id, episode_id::bigint as episode, t as frame, 14::int as width, round(case when episode_id % 2 = 0 then e1 else e8 end, 5) as first
+  from poses where t >= 10 and t < 30""")
+def s9_range(spark, sf):
+    frames = episode_arrays.frames_of(spark, _stored(spark, sf), "qpos array<double>, left_endpose array<double>, right_endpose array<double>, vec_id bigint")
+    state = F.when(F.col("episode") % 2 == 0, F.col("qpos")).otherwise(F.concat("right_endpose", "left_endpose"))
+    return frames.where("frame >= 10 and frame < 30").select("vec_id", "episode", "frame", F.size(state).alias("width"), F.round(state[0], 5).alias("first"))
+
+
+@query("op_s20_frame_access", f"""with {POSES}, n as (select episode_id, max(t) as top from poses group by 1)
+  select a.vec_id, string_agg(b.vec_id::varchar, ',' order by k) as ids from poses a join n using (episode_id), range(4) r(k)
+  join poses b on b.episode_id = a.episode_id and b.t = least(a.t + k, n.top) where a.vec_id % 3 = 0 group by 1""")
+def s20_access(spark, sf):
+    asked = poses(spark, sf).where("vec_id % 3 = 0").select(F.col("episode_id").cast("bigint").alias("episode"), F.col("t").alias("frame"), F.col("vec_id").alias("asked"))
+    found = episode_arrays.at_frames(asked, _stored(spark, sf), "vec_id", horizon=4)
+    return found.select(F.col("asked").alias("vec_id"), F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("ids"))
