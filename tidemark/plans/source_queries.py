@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.registry import POSES, poses, query
 from tidemark.plans.registry import table as read
-from tidemark.sources import episode_arrays, readers
+from tidemark.sources import episode_arrays, readers, record_files
 from tidemark.sources.shared import shared_dir
 
 
@@ -54,3 +54,32 @@ def s20_access(spark, sf):
     asked = poses(spark, sf).where("vec_id % 3 = 0").select(F.col("episode_id").cast("bigint").alias("episode"), F.col("t").alias("frame"), F.col("vec_id").alias("asked"))
     found = episode_arrays.at_frames(asked, _stored(spark, sf), "vec_id", horizon=4)
     return found.select(F.col("asked").alias("vec_id"), F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("ids"))
+
+
+def _recorded(spark, sf) -> str:
+    """Every conversation as an example in record files; returns their folder."""
+    path = f"{shared_dir(spark)}/tidemark/records-{uuid.uuid4().hex}"
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.char_length(F.coalesce("text", F.lit(""))).alias("n"))))
+    rows = read(spark, sf, "conversations").where("conv_id is not null and turn is not null").groupBy("conv_id").agg(turns.alias("s"))
+    steps = rows.select("conv_id", *[F.col("s")[f].cast(f"array<{k}>").alias(f"steps/{f}") for f, k in (("turn", "bigint"), ("role", "string"), ("n", "double"))])
+    record_files.write(record_files.as_examples(steps, steps.columns), path, "data")
+    return path
+
+
+_EXAMPLE = "conv_id bigint, `steps/turn` array<bigint>, `steps/role` array<string>, `steps/n` array<float>"
+
+
+@query("op_s1_record_scan", "select conv_id, count(*) as n, max(turn)::bigint as top, string_agg(coalesce(role, ''), ',' order by turn) as roles, sum(length(coalesce(text, '')))::bigint as chars from conversations where turn is not null and conv_id is not null group by 1")
+def s1_scan(spark, sf):
+    found = record_files.index(record_files.files(spark, _recorded(spark, sf)))
+    rows = record_files.examples(record_files.records(found), _EXAMPLE)
+    chars = F.aggregate("steps/n", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    return rows.select("conv_id", F.size("steps/turn").cast("bigint").alias("n"), F.array_max("steps/turn").alias("top"), F.array_join("steps/role", ",").alias("roles"), chars.alias("chars"))
+
+
+@query("op_s3_host_shards", "select conv_id, 1::bigint as hosts from conversations where conv_id is not null and turn is not null group by 1")
+def s3_hosts(spark, sf):
+    path = _recorded(spark, sf)
+    parts = [record_files.index(record_files.files(spark, path, "train", seed=7, shard=(k, 3))) for k in range(3)]
+    read_by = [record_files.examples(record_files.records(p), "conv_id bigint").select("conv_id", F.lit(k).alias("host")) for k, p in enumerate(parts)]
+    return read_by[0].union(read_by[1]).union(read_by[2]).groupBy("conv_id").agg(F.count("host").alias("hosts"))
