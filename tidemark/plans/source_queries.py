@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.plans.registry import POSES, poses, query
+from tidemark.plans.registry import FRAMES, POSES, poses, query
 from tidemark.plans.registry import table as read
-from tidemark.sources import episode_arrays, readers, record_files
+from tidemark.sources import episode_arrays, readers, record_files, versions
 from tidemark.sources.shared import shared_dir
+from tidemark.streaming import live_queue
 
 
 @query("op_s5_large_document", """select 'doc' || conv_id // 500 as file, conv_id::varchar as episode, count(*) over (partition by conv_id)::int as n_steps, turn::int as step,
@@ -83,3 +84,42 @@ def s3_hosts(spark, sf):
     parts = [record_files.index(record_files.files(spark, path, "train", seed=7, shard=(k, 3))) for k in range(3)]
     read_by = [record_files.examples(record_files.records(p), "conv_id bigint").select("conv_id", F.lit(k).alias("host")) for k, p in enumerate(parts)]
     return read_by[0].union(read_by[1]).union(read_by[2]).groupBy("conv_id").agg(F.count("host").alias("hosts"))
+
+
+_WORDS = {"click": "claim_hint", "view": "claim_annot", "error": "release", "purchase": "annotated", "signup": "hint"}
+_LEASE = 200_000
+
+
+@query("op_r5_live_queue", f"""with recursive {FRAMES}, c as (select episode_id::varchar as record, t, epoch_ms(ts) as ms,
+    case event_type when 'click' then 'claim_hint' when 'view' then 'claim_annot' when 'error' then 'release' when 'purchase' then 'annotated' when 'signup' then 'hint' else 'none' end as w from frames),
+  r as (select distinct record, -1::bigint as t, 'available' as s, null::bigint as since, 0::bigint as n, 0::bigint as won, 0::bigint as expired from c
+    union all select record, t, case when won_now then case w when 'claim_hint' then 'hint_claimed' else 'annot_claimed' end when w = 'annotated' then 'annotated' when w = 'hint' and s in ('available', 'hint_claimed') then 'hinted'
+        when w = 'release' and s = 'hint_claimed' then 'available' when w = 'release' and s = 'annot_claimed' then 'hinted' else s end,
+      case when won_now then ms when w = 'annotated' and s <> 'annotated' or w = 'hint' and s in ('available', 'hint_claimed') or w = 'release' then null else since end,
+      n + 1 + old::int, won + won_now::int, expired + old::int from (
+        select *, w = 'claim_hint' and s = 'available' or w = 'claim_annot' and s = 'hinted' as won_now from (
+          select c.record, c.t, c.ms, c.w, coalesce(c.ms >= r.since + {_LEASE}000, false) as old, n, won, expired, case when coalesce(c.ms >= r.since + {_LEASE}000, false) then null else r.since end as since,
+            case when coalesce(c.ms >= r.since + {_LEASE}000, false) then case r.s when 'hint_claimed' then 'available' else 'hinted' end else r.s end as s
+          from r join c on c.record = r.record and c.t = r.t + 1))),
+  last as (select * from r qualify row_number() over (partition by record order by t desc) = 1),
+  done as (select *, coalesce(since + {_LEASE}000 < (select max(ms) from c), false) as gone from last)
+  select record, case when gone then case s when 'hint_claimed' then 'available' else 'hinted' end else s end as status, n + gone::int as n, won, expired + gone::int as expired from done""")
+def r5_live(spark, sf):
+    base = f"{shared_dir(spark)}/tidemark/queue-{uuid.uuid4().hex}"
+    word = F.create_map(*[F.lit(x) for kv in _WORDS.items() for x in kv])[F.col("event_type")]
+    rows = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("record"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("bigint").alias("seq"), F.coalesce(word, F.lit("none")).alias("command"), F.lit(None).cast("string").alias("worker"))
+    rows.write.parquet(f"{base}/commands")
+    commands = spark.readStream.schema(live_queue.COMMANDS).parquet(f"{base}/commands")
+    live_queue.start(live_queue.live(commands, _LEASE), f"{base}/outcomes", f"{base}/state").awaitTermination()
+    told = spark.read.schema(live_queue.OUTCOMES).parquet(f"{base}/outcomes")
+    won = F.count_if(F.startswith("command", F.lit("claim")) & F.col("accepted")).cast("bigint").alias("won")
+    return told.groupBy("record").agg(F.max_by("status", "n").alias("status"), F.max("n").alias("n"), won, F.count_if(F.col("command") == "expire").cast("bigint").alias("expired"))
+
+
+@query("op_r6_versioned_table", "select c_mktsegment as segment, count(*) as n, count_if(c_acctbal < 0)::bigint as low, 2::int as version from customer group by 1")
+def r6_versions(spark, sf):
+    path = f"{shared_dir(spark)}/tidemark/versions-{uuid.uuid4().hex}"
+    rows = read(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    versions.update(spark, path, lambda old: rows.where("c_acctbal >= 0"))
+    version = versions.update(spark, path, lambda old: old.unionByName(rows.where("not coalesce(c_acctbal >= 0, false)")))
+    return versions.read(spark, path).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") < 0).cast("bigint").alias("low"), F.lit(version).alias("version"))
