@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.registry import FRAMES, POSES, poses, query
 from tidemark.plans.registry import table as read
-from tidemark.sources import episode_arrays, readers, record_files, versions
+from tidemark.sources import episode_arrays, lookups, readers, record_files, versions
 from tidemark.sources.shared import shared_dir
 from tidemark.streaming import live_queue
 
@@ -123,3 +123,34 @@ def r6_versions(spark, sf):
     versions.update(spark, path, lambda old: rows.where("c_acctbal >= 0"))
     version = versions.update(spark, path, lambda old: old.unionByName(rows.where("not coalesce(c_acctbal >= 0, false)")))
     return versions.read(spark, path).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") < 0).cast("bigint").alias("low"), F.lit(version).alias("version"))
+
+
+@query("op_j4_shared_lookup", """with told as (select c_custkey as k, c_mktsegment as segment from customer)
+  select 'orders' as source, segment, count(*) as n from orders left join told on o_custkey = k group by 2 union all
+  select 'events', segment, count(*) from events left join told on user_id = k group by 2""")
+def j4(spark, sf):
+    told = read(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("custkey"), F.col("c_mktsegment").alias("segment"))
+    lookup = lookups.SharedLookup.build(told, f"segments_{uuid.uuid4().hex}", "custkey", 8)
+    orders = read(spark, sf, "orders").select(F.lit("orders").alias("source"), F.col("o_custkey").cast("bigint").alias("k"))
+    events = read(spark, sf, "events").select(F.lit("events").alias("source"), F.col("user_id").cast("bigint").alias("k"))
+    return lookup.join(orders, "k").unionByName(lookup.join(events, "k")).groupBy("source", "segment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("op_k9_mapping_cache", "select (conv_id % 8)::varchar as grp, count(*) as n, sum(length(coalesce(text, '')))::bigint + case when conv_id % 8 = 3 then count(*) else 0 end as chars, case when conv_id % 8 = 3 then 2 else 1 end::int as run from conversations where conv_id is not null group by conv_id % 8")
+def k9_cache(spark, sf):
+    base = f"{shared_dir(spark)}/tidemark/mapping-{uuid.uuid4().hex}"
+    rows = read(spark, sf, "conversations").where("conv_id is not null").select((F.col("conv_id") % 8).cast("string").alias("grp"), F.coalesce("text", F.lit("")).alias("text"))
+    name = F.regexp_extract("path", r"grp=(\w+)/", 1)
+    runs = iter((1, 2))
+
+    def build(paths):
+        number = next(runs)
+        found = spark.read.schema("text string").parquet(*paths).select(F.regexp_extract("_metadata.file_path", r"grp=(\w+)/", 1).alias("group"), F.char_length("text").cast("bigint").alias("chars"))
+        return found.withColumn("built", F.lit(number))
+
+    rows.write.partitionBy("grp").parquet(f"{base}/in")
+    lookups.cached_mapping(readers.file_listing(spark, f"{base}/in", "*.parquet"), name, build, f"{base}/cache").write.format("noop").mode("overwrite").save()
+    # One group's files are replaced; only these are read by the second run.
+    rows.where("grp = '3'").select(F.concat("text", F.lit("x")).alias("text")).write.mode("overwrite").parquet(f"{base}/in/grp=3")
+    now = lookups.cached_mapping(readers.file_listing(spark, f"{base}/in", "*.parquet"), name, build, f"{base}/cache")
+    return now.groupBy(F.col("group").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.max("built").alias("run"))
