@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 
@@ -60,17 +61,17 @@ def test_trend_runs_against_plain_python(spark):
 
 
 def plain_runs(p):
-    out, i = [], 1
-    while i < len(p):
-        if abs(p[i] - p[i - 1]) < 1:
-            i += 1
-            continue
-        sign, start = (1 if p[i] > p[i - 1] else -1), i - 1
-        while i < len(p) and (p[i] - p[i - 1]) * sign >= -2:
-            i += 1
-        if abs(p[i - 1] - p[start]) >= 20:
-            out.append((start, p[i - 1] > p[start]))
-    return out
+    """By the definition: every start with a step of one or more, its longest stretch against which no step goes by over two; those inside an earlier one don't count."""
+    steps = [b - a for a, b in zip(p, p[1:], strict=False)]
+    reach = {}
+    for s, d in enumerate(steps):
+        if abs(d) >= 1:
+            kept = [e for e in range(s + 1, len(p)) if all(x * d >= -2 * abs(d) for x in steps[s:e])]
+            reach[s] = max(kept)
+    counts = {s: False for s in reach}
+    for s in reach:
+        counts[s] = not any(counts[r] and r < s < reach[r] for r in reach)
+    return [(s, p[e] > p[s]) for s, e in reach.items() if counts[s] and abs(p[e] - p[s]) >= 20]
 
 
 def test_lanes_and_segments(spark):
@@ -169,10 +170,41 @@ def test_masks(spark):
 
 
 def test_json_repair(spark):
-    assert json.loads(audit.repair('x {"a": [1, {"b": "c"}, {"d": "e')) == {"a": [1, {"b": "c"}, {}]}
-    assert audit.repair("nothing") is None and audit.repair(None) is None
-    rows = spark.createDataFrame([('{"a": 1, "b": tru',), (None,)], "r string")
-    assert [r["x"] for r in rows.select(audit.repaired_json("r").alias("x")).collect()] == ['{"a": 1}', None]
+    rows = spark.createDataFrame([('x {"a": [1, {"b": "c"}, {"d": "e',), ("nothing",), (None,), ('{"a": 1, "b": tru',), ('{"a": "x{", "b": "y"} and {"c": 1}',), ('{"a": [1}',), ("{",), ('{"a" 1}',)], "r string")
+    got = [r["x"] for r in rows.select(audit.repaired(F.col("r")).alias("x")).collect()]
+    assert got == ['{"a": [1, {"b": "c"}, {}]}', None, None, '{"a": 1}', '{"a": "x{", "b": "y"}', '{"a": []}', "{}", None]
+
+
+def test_replies_cut_at_every_place(spark):
+    def closers(text):
+        out, inside, k = [], False, 0
+        while k < len(text):
+            c = text[k]
+            if inside and c == "\\":
+                k += 1
+            elif c == '"':
+                inside = not inside
+            elif not inside and c in "{[":
+                out.append("}" if c == "{" else "]")
+            elif not inside and c in "}]":
+                out.pop()
+            k += 1
+        return "".join(reversed(out))
+
+    def brute(text):
+        """The longest part that ends with a bracket, a closed text or before a comma and is JSON once its brackets are closed."""
+        for e in range(len(text), 0, -1):
+            if text[e - 1] in '{}[]"' or text[e : e + 1] == ",":
+                with contextlib.suppress(ValueError):
+                    done = text[:e] + closers(text[:e])
+                    return json.dumps(json.loads(done))
+        return None
+
+    whole = json.dumps({"plan": 'say "hi" {now}, \\ ok', "n": [1, -2.5, None, [], {}, [True, {"k": "v,]"}]], "é🙂": {"": "", "last": [{"a": 1, "b": "x"}, {"a": 2}]}}, ensure_ascii=False)
+    cuts = [whole[:e] for e in range(1, len(whole) + 1)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cuts)], "k int, r string")
+    got = {r["k"]: r["x"] for r in rows.select("k", audit.repaired(F.col("r")).alias("x")).collect()}
+    assert {k: json.dumps(json.loads(x)) for k, x in got.items()} == {k: brute(t) for k, t in enumerate(cuts)}
 
 
 def test_whole_words(spark):

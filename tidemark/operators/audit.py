@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Words that an action at a grasp or release must have, and phrases that contradict the gripper's state.
 GRASP = ["close", "grasp", "grip", "clamp", "squeeze", "pinch", "pick"]
@@ -87,41 +84,37 @@ def json_object(reply: Column) -> Column:
     return F.regexp_extract(body, r"(?s)(\{.*\})", 1)
 
 
-def repair(reply: str | None) -> str | None:
-    """A JSON object out of a reply that was cut short: open strings, arrays and objects are closed after the last whole member; null if there is none."""
-    if not reply or "{" not in reply:
-        return None
-    body = reply[reply.index("{") :]
-    open_now, in_string, escaped, ends = [], False, False, []
-    for k, c in enumerate(body):
-        if in_string:
-            escaped, in_string = (c == "\\" and not escaped), not (c == '"' and not escaped)
-        elif c == '"':
-            in_string = True
-        elif c in "{[":
-            open_now.append("}" if c == "{" else "]")
-            ends.append((k + 1, list(open_now)))
-        elif c in "}]":
-            if not open_now or open_now.pop() != c:
-                break
-            ends.append((k + 1, list(open_now)))
-            if not open_now:
-                break
-        elif c == ",":
-            ends.append((k, list(open_now)))
-    for at, still in reversed(ends):
-        candidate = body[:at] + "".join(reversed(still))
-        try:
-            return json.dumps(json.loads(candidate))
-        except ValueError:
-            continue
-    return None
-
-
-@F.pandas_udf(StringType())
-def repaired_json(replies: pd.Series) -> pd.Series:
-    """``repair`` by column; the only audit step that leaves the JVM, as no built-in parses broken JSON."""
-    return replies.map(repair)
+def repaired(reply: Column) -> Column:
+    """A JSON object out of a reply that may be cut short anywhere: all text up to the last whole member, and the brackets that are open there.
+
+    One fold over the marks that matter (quotes, brackets, commas, escapes and what lies between) with a stack of open brackets.  A whole member is one that a comma or a bracket
+    follows, or a text whose quote is closed, unless it is a name; an object or array that has just been opened counts as empty.  What follows the outer bracket is passed over, as is
+    all after a bracket that closes another kind.  Null without an opening brace or if the outcome is no JSON.
+    """
+    at = F.instr(reply, "{")
+    body = F.when(at > 0, F.substr(reply, at))
+    marks = F.regexp_extract_all(body, F.lit(r"(?s)(\\.|[\"{}\[\],]|[^\\\"{}\[\],]+|\\)"), 1)
+    # ``name``: the next text in an object is a member's name.
+    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("text"), F.lit("").alias("open"), F.lit(False).alias("name"), F.lit(0).alias("good"), F.lit("").alias("rest"), F.lit(False).alias("over"))
+
+    def step(s, m):
+        end = s["at"] + F.char_length(m)
+        opens, closes = ~s["text"] & m.isin("{", "["), ~s["text"] & m.isin("}", "]")
+        quote, comma = m == '"', ~s["text"] & (m == ",")
+        fits = F.substr(s["open"], F.lit(1), F.lit(1)) == m
+        inner = F.substr(s["open"], F.lit(2))
+        stack = F.when(opens, F.concat(F.when(m == "{", "}").otherwise("]"), s["open"])).when(closes & fits, inner).otherwise(s["open"])
+        whole = opens | (closes & fits) | (quote & s["text"] & ~s["name"])
+        good = F.when(whole, end).when(comma, s["at"]).otherwise(s["good"])
+        in_object = F.substr(stack, F.lit(1), F.lit(1)) == "}"
+        name = F.when(opens | comma, in_object).when(quote & s["text"], F.lit(False)).otherwise(s["name"])
+        over = (closes & ~fits) | (closes & (stack == ""))
+        now = F.struct(end.alias("at"), (s["text"] != quote).alias("text"), stack.alias("open"), name.alias("name"), good.alias("good"), F.when(whole | comma, stack).otherwise(s["rest"]).alias("rest"), over.alias("over"))
+        return F.when(s["over"], s).otherwise(now)
+
+    found = F.aggregate(marks, begin, step)
+    out = F.concat(F.substr(body, F.lit(1), found["good"]), found["rest"])
+    return F.when(F.try_parse_json(out).isNotNull(), out)
 
 
 def top_axes(values: list[tuple[str, Column]], most: int = 2) -> Column:

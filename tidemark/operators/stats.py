@@ -68,3 +68,24 @@ def first_seen_counts(rows: DataFrame, keys: list[str], kind: str, order: str) -
     counted = rows.groupBy(*keys, kind).agg(F.min(order).alias("at"), F.count(F.lit(1)).alias("n"))
     listed = F.array_sort(F.collect_list(F.struct("at", F.col(kind).alias("k"), "n")))
     return counted.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda s: F.concat(s["k"], F.lit("×"), s["n"].cast("string"))), ",").alias("counted"))
+
+
+def quantile_sketches(rows: DataFrame, keys: list[str], value: str, k: int = 200) -> DataFrame:
+    """``(keys, n, lo, hi, sketch)``: a KLL sketch of each group's finite values, made by partial aggregation and fit to be stored and merged.
+
+    ``k`` sets the size (about 3 k numbers, whatever the group's size) and the error: at 200 a quantile's true rank lies within 1.65 % of the asked one with 99 % confidence.
+    """
+    good = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
+    x = F.col(value).cast("double")
+    return good.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.kll_sketch_agg_double(x, k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """The sketches of all groups that share ``keys``, as if their values had been sketched together."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, shares: list[float]) -> DataFrame:
+    """The sketched quantiles as columns ``q<percent>`` beside the other columns; the ends are exact."""
+    asked = [F.kll_sketch_get_quantile_double("sketch", F.lit(s)).alias(f"q{round(100 * s)}") for s in shares]
+    return sketches.select(*[c for c in sketches.columns if c != "sketch"], *asked)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.motion_text import Move
-from tidemark.operators import cascade, question_pairs
+from tidemark.operators import audit, cascade, phase_audit, question_pairs, stats
 from tidemark.plans.registry import query
 from tidemark.plans.registry import table as read
 from tidemark.plans.text_queries import _CM, _GRIP, _MOVES, _VERBOSE, _cm, _moves
@@ -125,3 +125,75 @@ def x19_kinds(spark, sf):
         F.when(F.col("vec_id") % 2 == 0, "robot base frame").otherwise(""), kinds, [("verbose", 0.5), ("verbose_with_rotation", 0.3), ("compact", 0.2)],
     )
     return rows.select("vec_id", said.alias("q")).select("vec_id", "q.kind", "q.prompt", "q.answer", F.array_join("q.images", ",").alias("images"))
+
+
+@query("op_x27_cut_replies", """with b as (select doc_id, 3 + doc_id % 5 as m from documents where doc_id is not null),
+  t as (select doc_id, '{"plan":"go, {then} stop","frames":[' || string_agg('{"t":' || k || ',"s":"x' || k || '"}', ',' order by k) || ']}' as body from b, range(8) r(k) where k < m group by 1),
+  c as (select doc_id, body[1:40 + (doc_id * 7) % (length(body) - 39)] as cut from t),
+  f as (select doc_id, cut, regexp_extract_all(cut, '\\{"t":[0-9]+,"s":"x[0-9]"') as said, regexp_extract_all(cut, '\\{"t":[0-9]+,') as timed, len(regexp_extract_all(cut[37:], '\\{'))::bigint as opened from c)
+  select doc_id, opened as frames, len(timed)::bigint as timed, len(said)::bigint as told, coalesce(list_sum(list_transform(timed, lambda x: regexp_extract(x, '[0-9]+')::bigint)), 0)::bigint as total from f""".replace("\\\\", "\\"))
+def x27_cut(spark, sf):
+    """A reply for each document, cut somewhere inside its list of frames."""
+    rows = read(spark, sf, "documents").where("doc_id is not null").select("doc_id")
+    number = lambda k: k.cast("string")
+    frame = lambda k: F.concat(F.lit('{"t":'), number(k), F.lit(',"s":"x'), number(k), F.lit('"}'))
+    listed = F.transform(F.sequence(F.lit(0), (F.lit(2) + F.col("doc_id") % 5).cast("int")), frame)
+    body = F.concat(F.lit('{"plan":"go, {then} stop","frames":['), F.array_join(listed, ","), F.lit("]}"))
+    cut = rows.withColumn("body", body).withColumn("cut", F.substr("body", F.lit(1), (F.lit(40) + F.col("doc_id") * 7 % (F.length("body") - 39)).cast("int")))
+    reply = F.concat(F.lit("Here is the plan: "), F.col("cut"))
+    told = cut.select("doc_id", F.from_json(audit.repaired(reply), "plan string, frames array<struct<t bigint, s string>>").alias("j"))
+    known = lambda f: F.filter("j.frames", lambda x: x[f].isNotNull())
+    total = F.aggregate("j.frames", F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x["t"], F.lit(0)))
+    return told.select("doc_id", F.size("j.frames").cast("bigint").alias("frames"), F.size(known("t")).cast("bigint").alias("timed"), F.size(known("s")).cast("bigint").alias("told"), total.alias("total"))
+
+
+_PHASES_SQL = r"""p as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as k, turn, case when turn = 0 then 'begin' when (turn + conv_id) % 7 = 5 then ' end ' when turn % 5 = 4 then '' else 'move' end as type,
+    case when (turn + conv_id) % 4 = 1 then 'it will lift it' when (turn + conv_id) % 11 = 3 then ' ' else 'now still' end as s, case when (turn + conv_id) % 3 = 0 then null when (turn + conv_id) % 3 = 1 then 'moved 5 cm up' else 'is about to go 3 cm' end as sp,
+    case when turn = 0 and conv_id % 2 = 0 then '' when (turn + conv_id) % 5 = 2 then '<think>plan</think> go 5 cm' when (turn + conv_id) % 5 = 3 then null else 'go 3 cm' end as a,
+    case when (turn + conv_id) % 3 = 2 then '<think>fix</think>' end as fix, case when (turn + conv_id) % 4 = 0 then null else (turn * 3 + conv_id) % 2 = 0 end as ok,
+    turn * 20 as frame, case when (turn + conv_id) % 6 = 1 then null else turn * 20 + (turn * 17 + conv_id) % 75 end as chunk from conversations where conv_id is not null and turn is not null)"""
+
+
+@query("op_x29_phase_rules", rf"""with {_PHASES_SQL}, x as (select *, trim(type) not in ('begin', 'end') as acts, coalesce(ok = false, false) as failed, coalesce(a, '') as an, coalesce(sp, '') as spn from p),
+  y as (select *, acts and count_if(acts) over (partition by conv_id order by k) = 1 as first_act, last_value(case when acts then ok end ignore nulls) over (partition by conv_id order by k rows between unbounded preceding and 1 preceding) as before,
+    lag(case when chunk > 0 then chunk end) over (partition by conv_id order by k) as last_end from x),
+  z as (select *, list_filter([case when trim(type) = '' then 'phase_type=empty' end, case when trim(s) = '' then 's=empty' end, case when acts and trim(spn) = '' then 's_pred=empty' end, case when acts and trim(an) = '' then 'a=empty' end,
+    case when s = 'it will lift it' then 'foreshadow-in-s' end, case when not acts and (trim(an) <> '' or trim(spn) <> '' or fix is not null) then 'bracket-acts' end,
+    case when acts and (fix is not null) <> failed then 'correction-against-supervision' end, case when acts and failed and contains(an, '<think>') then 'think-on-failure' end,
+    case when first_act and not contains(case when failed then coalesce(fix, '') else an end, '<think>') then 'first-move-without-plan' end,
+    case when acts and (contains(spn, '5 cm') and contains(an, '5 cm') or contains(spn, '3 cm') and contains(an, '3 cm')) then 'prediction-echoes-action' end,
+    case when acts and contains(spn, 'about to') then 'foreshadow-in-s_pred' end], lambda i: i is not null) as issues from y)
+  select conv_id, count(*) as n, coalesce(string_agg(case when len(issues) > 0 then array_to_string(list_transform(issues, lambda i: k || ':' || i), ' ') end, ' ' order by k), '') as issues, sum(len(issues)) = 0 as passed,
+    coalesce(min(k) filter (where acts and failed), -1)::int as first_diverge, coalesce(count_if(acts and ok and before = false), 0)::bigint as recoveries, coalesce(count_if(last_end > frame), 0)::bigint as overlaps, coalesce(count_if(last_end = frame), 0)::bigint as tiled,
+    bool_and(not acts or chunk is null or chunk > frame and chunk <= frame + 60) as bounds_ok from z group by 1""")
+def x29_phases(spark, sf):
+    """Turns as phases, with texts that break each rule somewhere."""
+    turn, both = F.col("turn"), F.col("turn") + F.col("conv_id")
+    rows = read(spark, sf, "conversations").where("conv_id is not null and turn is not null").select(
+        "conv_id", "turn",
+        F.when(turn == 0, "begin").when(both % 7 == 5, " end ").when(turn % 5 == 4, "").otherwise("move").alias("phase_type"),
+        F.when(both % 4 == 1, "it will lift it").when(both % 11 == 3, " ").otherwise("now still").alias("s"),
+        F.when(both % 3 == 1, "moved 5 cm up").when(both % 3 == 2, "is about to go 3 cm").alias("s_pred"),
+        F.when((turn == 0) & (F.col("conv_id") % 2 == 0), "").when(both % 5 == 2, "<think>plan</think> go 5 cm").when(both % 5 != 3, "go 3 cm").alias("a"),
+        F.when(both % 3 == 2, "<think>fix</think>").alias("a_correct"),
+        F.when(both % 4 != 0, (turn * 3 + F.col("conv_id")) % 2 == 0).alias("imitation_supervised"),
+        (turn * 20).cast("bigint").alias("frame_idx"),
+        F.when(both % 6 != 1, (turn * 20 + (turn * 17 + F.col("conv_id")) % 75).cast("bigint")).alias("chunk_end_frame"),
+    )
+    told = phase_audit.audit(rows, "conv_id", "turn")
+    return told.withColumn("issues", F.array_join("issues", " "))
+
+
+@query("op_a24_merged_sketches", "select d as dim, count(*) as n, min(embedding[d]::double) as lo, max(embedding[d]::double) as hi, true as within from embeddings, range(1, 65) r(d) where embedding[d] is not null and isfinite(embedding[d]::double) group by 1")
+def a24_sketches(spark, sf):
+    """Sketches by label, merged by dimension; ``within``: the true ranks of three quantiles lie within the sketch's bound."""
+    rows = read(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("d", "x")).select("label", (F.col("d") + 1).cast("bigint").alias("dim"), F.col("x").cast("double").alias("x"))
+    merged = stats.merged_sketches(stats.quantile_sketches(rows, ["dim", "label"], "x"), ["dim"])
+    shares = [0.25, 0.5, 0.75]
+    found = stats.sketch_quantiles(merged, shares)
+    ranks = [F.count_if(F.col("x") <= F.col(f"q{round(100 * s)}")).alias(f"r{k}") for k, s in enumerate(shares)] + [F.count_if(F.col("x") < F.col(f"q{round(100 * s)}")).alias(f"l{k}") for k, s in enumerate(shares)]
+    held = rows.join(F.broadcast(found), "dim").groupBy("dim", found["n"], "lo", "hi").agg(*ranks)
+    ok = F.lit(True)
+    for k, s in enumerate(shares):
+        ok = ok & (F.col(f"l{k}") <= (s + 0.033) * F.col("n") + 1) & (F.col(f"r{k}") >= (s - 0.033) * F.col("n") - 1)
+    return held.select("dim", "n", "lo", "hi", ok.alias("within"))
