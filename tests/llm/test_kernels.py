@@ -251,8 +251,8 @@ def test_inline_script_ends_no_block():
     assert html_extract.main_text("<p>a<script>x</script>b</p>") == "ab"
 
 
-def host_of_pages(pages, share=0.5, min_pages=3):
-    """The template of pages of one host, with occurrence vectors held in full."""
+def tokens_of_pages(pages):
+    """A host's tokens with their occurrence vectors in full: how often each is on each page."""
     vectors, sums = {}, {}
     for k, page in enumerate(pages):
         opened, blocks = html_extract.read_page(page)
@@ -264,45 +264,128 @@ def host_of_pages(pages, share=0.5, min_pages=3):
             own[1] += sum(len(t.strip()) for t, _, _ in b.pieces)
             own[2] += sum(len(t.strip()) for t, _, link in b.pieces if link)
         for key, (n, chars, links) in found.items():
-            vectors.setdefault(key, {})[k] = n
+            vectors.setdefault(key, [0] * len(pages))[k] = n
             s = sums.setdefault(key, [0, 0])
             s[0] += chars
             s[1] += links
-    rows = [(*key, len(v), sum(v.values()), tuple(sorted(v.items())), *sums[key]) for key, v in vectors.items()]
-    return html_extract.deduce("h", len(pages), rows, share, min_pages)
+    return [(*key, sum(map(bool, v)), sum(v), tuple(v), *sums[key]) for key, v in vectors.items()]
+
+
+def host_of_pages(pages, share=0.5, min_pages=3):
+    return html_extract.deduce("h", len(pages), tokens_of_pages(pages), share, min_pages)
+
+
+def extracted(pages, found):
+    return [html_extract.main_text(p, found["slot"], found["kept"]) for p in pages]
 
 
-def shop(k, extra="", cls="entry ad-free", line="All prices with tax."):
-    return f"""<html><body><div class="top"><p>Best shop in town</p></div><div class="{cls}"><h1>Thing {k}</h1><div class="body"><p>Number {k} is {"very " * (k + 9)}good.</p>
+def shop(k, extra="", cls="entry ad-box", line="All prices with tax."):
+    return f"""<html><body><div class="top"><p>Best shop in town</p></div><div class="{cls}"><h1>Thing {k}</h1><div class="body"><h2>Ingredients</h2><p>Number {k} is {"very " * (k + 9)}good.</p>
 <p>{line}</p><p>Size {k * 7} fits item {k} best of all.</p></div></div>{extra}<div class="strip"><a href="/a">See thing {k + 1}</a> <a href="/b">and {k + 2}</a></div></body></html>"""
 
 
-def test_classes_choose_slot_and_boilerplate():
+def test_classes_choose_the_slot_and_lose_none_of_it():
     pages = [shop(k) for k in range(6)]
     found = host_of_pages(pages)
-    assert found["slot"] == "/html/body/div.entry.ad-free!" and found["kept"] == ["/html/body/div.entry.ad-free!"]
-    texts = [html_extract.main_text(p, found["slot"], found["kept"], frozenset(found["texts"])) for p in pages]
-    for k, t in enumerate(texts):
-        assert t == f"Thing {k}\nNumber {k} is {'very ' * (k + 9)}good.\nSize {k * 7} fits item {k} best of all."
-    # The line is template only while it is in most pages' classes.
-    pages = [shop(k, line=f"Price {k} with tax.") for k in range(6)]
-    found = host_of_pages(pages)
-    assert "Price 3 with tax." in html_extract.main_text(pages[3], found["slot"], found["kept"], frozenset(found["texts"]))
+    assert found["slot"] == "/html/body/div.entry.ad-box!" and found["kept"] == ["/html/body/div.entry.ad-box!"]
+    for k, t in enumerate(extracted(pages, found)):
+        assert t == f"Thing {k}\nIngredients\nNumber {k} is {'very ' * (k + 9)}good.\nAll prices with tax.\nSize {k * 7} fits item {k} best of all."
+
+
+def plain_classes(size, tokens, share, min_pages, least):
+    """The valid classes by definition: token by token, all that has the same counts on all pages, then from the page inwards."""
+    left = [t for t in tokens if t[2] >= min_pages and t[2] >= share * size]
+    groups = []
+    while left:
+        same = [t for t in left if t[4] == left[0][4]]
+        groups.append(same)
+        left = [t for t in left if t not in same]
+    inside = lambda a, b: a[0] != b[0] and (not b[0] or a[0].startswith(b[0] + "/")) or (a[1] and a[0] == b[0])
+    valid, known = [], set()
+    todo = sorted(groups, key=lambda g: (-g[0][2], min(len(t[0].split("/")) - 1 + bool(t[1]) for t in g), min(t[:2] for t in g)))
+    for g in todo:
+        outer = [t for t in g if not any(inside(t, o) for o in g if not o[1])]
+        homes = set()
+        for t in outer:
+            over = [p for p in known if inside(t, (p, 0))]
+            homes.add(max(over, key=len) if over else None)
+        if ("", 0) in {t[:2] for t in g} or len(g) >= least and len(homes) == 1:
+            valid.append({t[:2] for t in g})
+            known |= {t[0] for t in g if not t[1]}
+    return valid
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_classes_by_definition(seed):
+    rng = random.Random(seed)
+
+    def part(depth):
+        kind = rng.randint(0, 4 if depth < 3 else 1)
+        if kind < 2:
+            return f"<p>{rng.choice(['same', 'other', str(rng.random())])}</p>" * rng.randint(0, 2)
+        return f'<div class="{rng.choice("abc")}">' + "".join(part(depth + 1) for _ in range(rng.randint(1, 3))) + "</div>"
+
+    frame = [part(1) for _ in range(3)]
+    pages = ["<body>" + "".join(f if rng.random() < 0.8 else part(1) for f in frame) + "</body>" for _ in range(8)]
+    tokens = tokens_of_pages(pages)
+    got = html_extract.valid_classes(8, tokens, 0.5, 3, 2)
+    assert [{t[:2] for t in c} for c, _ in got] == plain_classes(8, tokens, 0.5, 3, 2)
+
+
+def lonely(k):
+    """A host whose pages end in one of two lone lines, and a box of links and a fixed line on all of them."""
+    line = "Only in spring and summer" if k < 3 else "Only in autumn and winter"
+    return f'<body><div class="post"><h1>Page {k}</h1><p>{"word " * (k + 5)}{k}</p></div><div class="box"><p>One fixed line for all</p></div>{line}</body>'
+
+
+def test_vectors_decide():
+    pages = [lonely(k) for k in range(6)]
+    tokens = tokens_of_pages(pages)
+    found = html_extract.deduce("h", 6, tokens, 0.5, 3)
+    # Each line is alone in its class, so it is no template text and the slot must hold it.
+    assert found["slot"] == "/body" and "Only in spring and summer" in extracted(pages, found)[0]
+    # Vectors that are all equal put both lines into one class of two, whose texts then are template.
+    equal = html_extract.deduce("h", 6, [(*t[:4], 0, *t[5:]) for t in tokens], 0.5, 3)
+    assert equal["slot"] == "/body/div.post" and extracted(pages, equal)[0] == "Page 0\nword word word word word 0"
+    # Vectors that are all different leave no class of two, so there is no template.
+    differ = html_extract.deduce("h", 6, [(*t[:4], n, *t[5:]) for n, t in enumerate(tokens)], 0.5, 3)
+    assert differ["slot"] is None and len(differ["tokens"]) == 1
+    # The fixed line's class tells the post from the box, which a page alone can't.
+    without = [p.split("Only in")[0] + "</body>" for p in pages]
+    found = host_of_pages(without)
+    assert found["slot"] == "/body/div.post" and extracted(without, found)[1] == "Page 1\nword word word word word word 1"
+    assert html_extract.main_text(without[1]).endswith("One fixed line for all")
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    {
+        "<p title='5\" > 4'>one": "one", '<p title=5">two': "two", "<p title='a>b'>three": "three", "<p a = \"x>\" b='y' c=z d>four": "four", '<p "odd>five': "five", "<p =x>six": "six", "<br/>x<br />y": "x\ny", "<p x=>seven": "seven",
+        '<p x="never closed>eight': "eight", "<form><div><p>wrapped</p></div></form>": "wrapped", "<article><p>much longer text</p><form>a form</form><aside>an aside</aside></article>": "much longer text",
+        '<article><p class="share price">Shares rose</p><div class="comment-on-law">The law</div><p>More</p></article>': "Shares rose\nThe law\nMore",
+        '<div><p>the text of the page</p><div class="comments">so true</div><div id="ad-12">buy</div><ul class="related-posts"><li>x</li></ul></div>': "the text of the page",
+    }.items(),
+)
+def test_attributes_forms_and_words(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_headings_that_half_of_the_pages_share_stay():
+    pages = [f"<body><nav><a href=x>Home</a></nav><article><h1>Dish {k}</h1><h2>Ingredients</h2><p>{k} eggs and {'more ' * k}</p></article><footer>Foot</footer></body>" for k in range(5)]
+    assert [t.split("\n")[1] for t in extracted(pages, host_of_pages(pages))] == ["Ingredients"] * 5
 
 
 def test_copies_on_one_host_keep_their_article():
     pages = [shop(1, line="x" * 50)] * 9 + [shop(k) for k in range(2, 6)]
-    found = host_of_pages(pages)
-    assert "Number 1 is" in html_extract.main_text(pages[0], found["slot"], found["kept"], frozenset(found["texts"]))
-    found = host_of_pages(pages[:9])
-    assert "Number 1 is" in html_extract.main_text(pages[0], found["slot"], found["kept"], frozenset(found["texts"]))
+    assert "Number 1 is" in extracted(pages, host_of_pages(pages))[0]
+    assert "Number 1 is" in extracted(pages, host_of_pages(pages[:9]))[0]
 
 
 def test_articles_named_by_number_are_one_token():
     pages = [f'<body><article id="post-{k}" class="post-{k} hentry"><p>words of page {k} here</p></article><div>Foot {k}</div></body>' for k in range(4)]
     found = host_of_pages(pages)
     assert found["slot"] == "/body/article.post-#.hentry"
-    assert html_extract.main_text(pages[2], found["slot"]) == "words of page 2 here"
+    assert extracted(pages, found)[2] == "words of page 2 here"
 
 
 def test_classes_nest_by_vectors():

@@ -1,10 +1,11 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
 Tokens are a page's tags with their path, and its text blocks with the path that they stand in.  Over the pages of a host, tokens with the
-same occurrence vector form a class; classes that span enough of the pages are valid, nest by their paths, and are the host's
-template.  What the template's tokens leave open are its slots.  The main slot is the smallest element of a class that occurs
-once a page and holds all slots' text; text blocks that are template tokens themselves are boilerplate wherever they stand.
-Names and tags decide only where vectors can't: between slots whose text changes from page to page.
+same occurrence vector form a class.  A class is valid as a whole: if it spans enough pages, has two tokens at least, and its outermost
+tokens lie in one gap, that is right below one element of the valid classes around it.  The class of the page itself is the root.  The tokens of valid classes are the
+host's template; what an element of it holds beside its template children and template texts is its slot.  The main slot is the smallest element of a class
+that occurs once a page and holds all slots; all text inside it is the page's, however many pages share it.
+Names and tags decide only where classes can't: between slots whose text changes from page to page.
 """
 
 from __future__ import annotations
@@ -30,17 +31,45 @@ BLOCK = frozenset(
 )
 ENDS_P = BLOCK - frozenset("br td th tr tbody thead tfoot body html head".split())
 CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
-BOILERPLATE = frozenset("nav footer aside form script style noscript template iframe svg head title button select textarea dialog menu".split())
+BOILERPLATE = frozenset("nav footer script style noscript template iframe svg head title button select textarea dialog menu".split())
+#: Elements that are no part of an article unless they hold most of it.
+SET_APART = frozenset("aside form".split())
+#: Elements of running text, whose names say nothing.
+TEXTUAL = frozenset("a abbr b blockquote caption cite code dd del dt em figcaption figure h1 h2 h3 h4 h5 h6 i img ins li mark p pre q s small span strong sub sup td th time tr u".split())
 ITEMS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "tr": ("tr", ("table", "tbody", "thead", "tfoot")), "option": ("option", ("select",))}
 _ROLE = re.compile(r"^(navigation|banner|contentinfo|complementary|search|dialog|alert|form|menu|menubar)$")
-_WORDY = re.compile(
-    r"(^|[-_ ])(ad|ads|advert|adverts|advertisement|advertising|banner|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|promo|sponsor|sponsored|sidebar|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|comment|comments|disqus|respond|replies|share|sharing|social|related|recommended|login|signup|toolbar|skip)([-_ ]|$)"
-)
+_APART = "ad ads advert adverts advertisement advertising banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe promo sponsor sponsored sidebar nav navbar navigation menu breadcrumb breadcrumbs footer comment comments disqus respond replies share sharing social related recommended login signup toolbar skip".split()
+_BESIDE = "area bar block bottom box button buttons container content form global group header icon icons inner item items js left link links list main outer page post posts primary right row secondary section site slot space top unit user widget wrap wrapper".split()
+#: A class or id, or each of its parts, is one of the words for what stands beside an article; words of place and shape may go with them.
+_WORDY = re.compile(rf"(?:(?:{'|'.join(_BESIDE)}|#)[-_]?)*(?:{'|'.join(_APART)})(?:[-_](?:{'|'.join([*_APART, *_BESIDE])}|#))*")
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: One attribute after another: a name, and behind = a value in either kind of quotes or in none; a stray quote is part of a name.
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|(?=>)))?""")
+_TAG_END = re.compile(r"[\s/]*>")
 _SPACE, _NUMBER, _NAME = re.compile(r"\s+"), re.compile(r"\d+"), re.compile(r"[.@!]")
 
 
+def _attributes(page: str, at: int) -> tuple[int | None, dict[str, str]]:
+    """Where a tag ends whose name ends at ``at``, and its attributes; None if it never ends.
+
+    A quote that never closes holds no value: the value then ends at white space or the tag's end, as one without quotes.
+    """
+    if page[at : at + 1] == ">":
+        return at + 1, {}
+    found: dict[str, str] = {}
+    while not (end := _TAG_END.match(page, at)):
+        m = _ATTRIBUTE.match(page, at)
+        if not m:  # an = without a name, or an open quote
+            odd = re.compile(r"[\s/]*[=\"']?[^\s>]*").match(page, at)
+            if odd.end() == at or odd.end() >= len(page):
+                return None, found
+            at = odd.end()
+            continue
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        at = m.end()
+    return end.end(), found
+
+
 def events(page: str):
     """(kind, name or text, attributes) of a page, in order; kinds are text, open and close.  Comments are left out.
 
@@ -50,37 +79,32 @@ def events(page: str):
     while at < n:
         m = _TAG.search(page, at)
         if not m:
-            yield "text", page[at:], ""
+            yield "text", page[at:], None
             return
         if m.start() > at:
-            yield "text", page[at : m.start()], ""
+            yield "text", page[at : m.start()], None
         if page.startswith("<!--", m.start()):
             end = page.find("-->", m.end())
             at = n if end < 0 else end + 3
             continue
-        end = page.find(">", m.end())
-        while end >= 0:
-            inside = page[m.end() : end]
-            if inside.count('"') % 2 == 0 or m[2] is None:
-                break
-            later = page.find(">", end + 1)
-            if later < 0:
-                break
-            end = later
-        if end < 0:
-            return
-        at = end + 1
         if m[2] is None:
+            end = page.find(">", m.end())
+            if end < 0:
+                return
+            at = end + 1
             continue
+        at, found = _attributes(page, m.end())
+        if at is None:
+            return
         name = m[2].lower()
         if m[1]:
-            yield "close", name, ""
+            yield "close", name, None
             continue
-        yield "open", name, page[m.end() : end]
+        yield "open", name, found
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            yield "raw", page[at : close.start()] if close else page[at:], ""
-            yield "close", name, ""
+            yield "raw", page[at : close.start()] if close else page[at:], None
+            yield "close", name, None
             at = close.end() if close else n
 
 
@@ -105,20 +129,20 @@ class Walk:
     def path(self) -> str:
         return self.stack[-1][1] if self.stack else ""
 
-    def open(self, name: str, raw: str) -> str:
+    def open(self, name: str, attributes: dict[str, str] | None) -> str:
         """The path of the element that opens here."""
         if name in ENDS_P:
             self._pop_to(("p",), ("div", "article", "section", "td", "li", "blockquote", "main", "body"))
         if name in ITEMS:
             names, stops = ITEMS[name]
             self._pop_to(names.split(), stops)
-        attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)} if "=" in raw else {}
-        kind = (attributes.get("class") or "").lower()
-        names = f"{kind} {(attributes.get('id') or '').lower()}" if attributes else ""
-        role = (attributes.get("role") or "").lower()
-        hidden = " hidden" in f" {raw.lower()}" and re.search(r"(^|\s)hidden(\s|$|=)", raw) is not None or attributes.get("aria-hidden") == "true" or "display:none" in (attributes.get("style") or "").replace(" ", "")
+        attributes = attributes or {}
+        kind = attributes.get("class", "").lower()
+        role = attributes.get("role", "").lower()
+        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
         aside = name in BOILERPLATE or hidden or bool(role and _ROLE.match(role))
-        marked = name not in ("html", "body", "main", "article") and bool(names) and _WORDY.search(names) is not None
+        said = _NUMBER.sub("#", f"{kind} {attributes.get('id', '').lower()}").split() if attributes and name not in TEXTUAL and name not in ("html", "body", "main", "article") else []
+        marked = name in SET_APART or any(_WORDY.fullmatch(w) for w in said)
         step = name + "".join(f".{c}" for c in _NUMBER.sub("#", kind).replace("/", "|").split()) + ("@main" if role == "main" else "") + "!" * marked
         path = f"{self.path}/{step}"
         if name not in VOID:
@@ -159,7 +183,7 @@ def read_page(page: str) -> tuple[Counter, list[Block]]:
                 blocks.append(Block(where, pieces))
             pieces = []
 
-    for kind, value, raw in events(page):
+    for kind, value, attributes in events(page):
         if kind == "text":
             top = walk.stack[-1] if walk.stack else ("", "", False, ())
             if not top[2] and value:
@@ -172,7 +196,7 @@ def read_page(page: str) -> tuple[Counter, list[Block]]:
             if kind == "close":
                 walk.close(value)
             else:
-                opened[walk.open(value, raw)] += 1
+                opened[walk.open(value, attributes)] += 1
     flush()
     return opened, blocks
 
@@ -214,12 +238,10 @@ def main_slot(once: list[str], varied: dict[str, int], linked: dict[str, int]) -
     return max(rich, key=lambda p: (p.count("/"), p), default=None), kept
 
 
-def below_counts(blocks: list[Block], template=frozenset()) -> tuple[Counter, Counter]:
-    """Characters below each path, in all and inside links, of the blocks that aren't in ``template``."""
+def below_counts(blocks: list[Block]) -> tuple[Counter, Counter]:
+    """Characters below each path, in all and inside links."""
     varied, linked = Counter(), Counter()
     for block in blocks:
-        if template and block_key(block) in template:
-            continue
         for text, marks, link in block.pieces:
             n = len(text.strip())
             if n:
@@ -236,20 +258,16 @@ def block_key(block: Block) -> int:
     return xxhash.xxh64_intdigest(f"{block.path}\t{block.text()}".encode("utf-8", "replace")) >> 1
 
 
-def main_text(page: str, slot: str | None = None, kept=(), template=frozenset()) -> str:
-    """The blocks of the slot that the template doesn't hold, joined by line feeds; "" if there are none.
+def main_text(page: str, slot: str | None = None, kept=()) -> str:
+    """The blocks of the slot, joined by line feeds; "" if there are none.
 
     Where the page lacks the slot, or has nothing in it, it is its own template: the rules of ``main_slot`` hold for the page alone.  ``header``
-    elements are left out if the slot is the whole body.  On a page where template texts are over half of the slot they stay: so
-    many copies of one page don't lose their article.
+    elements are left out if the slot is the whole body.
     """
     opened, blocks = read_page(page)
     for _ in range(2):
         if slot is not None and slot in opened:
             inside = [b for b in blocks if b.path == slot or b.path.startswith(slot + "/") or not slot]
-            if template:
-                other = [b for b in inside if block_key(b) not in template]
-                inside = other if 2 * sum(len(b.text(kept)) for b in other) >= sum(len(b.text(kept)) for b in inside) else inside
             if name_of(slot) in ("", "html", "body"):
                 inside = [b for b in inside if not (names := [name_of(p) for p in above(b.path)]).count("header") or "article" in names or "main" in names]
             texts = [t for b in inside if (t := b.text(kept))]
@@ -264,21 +282,38 @@ def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1), F.lit(""))).alias("host")
 
 
-def deduce(host: str, size: int, tokens: list[tuple], share: float, min_pages: int) -> dict:
-    """A host's template of (path, text key or 0, pages, opened, vector, chars, linked), its tokens on at least ``share`` of the pages.
+def valid_classes(size: int, tokens: list[tuple], share: float, min_pages: int, least: int) -> list[tuple[list[tuple], str | None]]:
+    """The valid classes of a host's tokens, the root first, each with the element in whose gap it lies.
 
-    Tokens with one occurrence vector are a class; a class is nested in that of the nearest template tag above its tokens.
+    Tokens with one occurrence vector are a class.  It is valid if it spans ``min_pages`` and a ``share`` of the pages, has ``least`` tokens, and the nearest template element above
+    is the same for all of its outermost tokens.  Classes are tried from those of most pages and least depth on, as an element is on every page on which one inside it is.
     """
-    classes: dict[tuple, list] = {}
+    classes: dict[tuple, list[tuple]] = {}
     for t in tokens:
         if t[2] >= min_pages and t[2] >= size * share:
             classes.setdefault((t[2], t[3], t[4]), []).append(t)
-    valid = [t for c in classes.values() for t in c]
-    tag_class = {t[0]: k for k, c in classes.items() for t in c if not t[1]}
-    number = {k: n for n, k in enumerate(sorted(classes, key=lambda k: min((t[0], t[1]) for t in classes[k])))}
-    varied = {t[0]: t[5] for t in valid if not t[1]}
-    linked = {t[0]: t[6] for t in valid if not t[1]}
-    texts = [t for t in valid if t[1]]
+    depth = lambda t: t[0].count("/") + bool(t[1])
+    held, out = set(), []
+    for c in sorted(classes.values(), key=lambda c: (-c[0][2], min(map(depth, c)), min((t[0], t[1]) for t in c))):
+        own = {t[0] for t in c if not t[1]}
+        root = "" in own
+        gaps = set()
+        for path, text, *_ in c:
+            over = above(path) if text else above(path)[:-1]
+            if not any(p in own for p in over):
+                gaps.add(next((p for p in reversed(over) if p in held), None))
+        if root or (len(c) >= least and len(gaps) == 1):
+            out.append((c, None if root else gaps.pop()))
+            held |= own
+    return out
+
+
+def deduce(host: str, size: int, tokens: list[tuple], share: float, min_pages: int, least: int = 2) -> dict:
+    """A host's template of (path, text key or 0, pages, opened, vector, chars, linked): its valid classes, its main slot and the marked elements that hold an article."""
+    valid = valid_classes(size, tokens, share, min_pages, least)
+    varied = {t[0]: t[5] for c, _ in valid for t in c if not t[1]}
+    linked = {t[0]: t[6] for c, _ in valid for t in c if not t[1]}
+    texts = [t for c, _ in valid for t in c if t[1]]
     # A host whose pages all say the same has no slots; its texts are then no template.
     if sum(t[5] for t in texts) >= varied.get("", 0):
         texts = []
@@ -287,13 +322,10 @@ def deduce(host: str, size: int, tokens: list[tuple], share: float, min_pages: i
             if p in varied:
                 varied[p] -= chars
                 linked[p] -= links
-    once = [t[0] for (pages, opened, _), c in classes.items() if pages == opened for t in c if not t[1]]
+    once = [t[0] for c, _ in valid for t in c if not t[1] and c[0][2] == c[0][3]]
     slot, kept = main_slot(once, varied, linked)
-    held = []
-    for k, c in classes.items():
-        for path, text, *_ in c:
-            over = next((tag_class[p] for p in reversed(above(path)[: None if text else -1]) if p in tag_class and tag_class[p] != k), None)
-            held.append({"path": path, "text": text, "class": number[k], "inside": None if over is None else number[over]})
+    number = {t[0]: n for n, (c, _) in enumerate(valid) for t in c if not t[1]}
+    held = [{"path": t[0], "text": t[1], "class": n, "inside": None if gap is None else number[gap]} for n, (c, gap) in enumerate(valid) for t in c]
     held.sort(key=lambda t: (t["path"], t["text"]))
     return {"host": host, "pages": size, "slot": slot, "kept": sorted(kept), "texts": sorted({t[1] for t in texts}), "tokens": held}
 
@@ -356,7 +388,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     share a host.  Repeated rows give repeated rows.  At most ``most_frequent`` hosts
     have so many pages that their templates are broadcast; the other hosts' pages meet theirs in a join.
     """
-    slots = templates(pages, html, url).select("host", "pages", F.struct("slot", "kept", "texts").alias("template"))
+    slots = templates(pages, html, url).select("host", "pages", F.struct("slot", "kept").alias("template"))
     often = max(100, (slots.agg(F.sum("pages")).first()[0] or 0) // most_frequent)
     frequent = slots.where(F.col("pages") > often).select("host", F.col("template").alias("known"), F.lit(True).alias("frequent"))
     rare = slots.where(F.col("pages") <= often).select(F.col("host").alias("key"), "template")
@@ -369,12 +401,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts, sets = [], {}
-                for page, host, t in zip(*(part.column(k).to_pylist() for k in range(2, 5)), strict=True):
-                    if t and host not in sets:
-                        sets[host] = frozenset(t["texts"] or ())
-                    texts.append(main_text(page or "", t["slot"], frozenset(t["kept"] or ()), sets[host]) if t else main_text(page or ""))
+                texts = []
+                for page, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    texts.append(main_text(page or "", t["slot"], frozenset(t["kept"] or ())) if t else main_text(page or ""))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema[page_id].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "host", "template").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return rows.select("page_id", "url", "html", "template").mapInArrow(run, f"page_id {kind}, url string, text string")
