@@ -457,6 +457,29 @@ def test_disguises_at_ends_and_over_gaps():
     assert not toxicity.Reader(model, chosen).features("good morning to all of you 2024")
 
 
+def test_short_parted_and_foreign_disguises(monkeypatch):
+    text = " ".join(["the idiot and a clown or loser, you are an ass with stupid poop the of and st. up id scum good cool"] * 50)
+    c = np.concatenate([np.zeros(2, np.uint8), toxicity.letters(text), np.zeros(1, np.uint8)]).astype(int)
+    model = toxicity.CharModel(np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3))
+    chosen = {"=idiot": 0, "=stupid": 1, "=ass": 2, "=poop": 3, "=cool": 4}
+    shown = {"you a s s": 2, "p o o p": 3, "p 0 0 p": 3, "st upid": 1, "so stu\n pid!": 1, "іdiot": 0, "ｉｄｉｏｔ": 0, "ＩＤ1ＯＴ": 0, "i\u200bdi\xadot": 0, "ѕtupіd": 1, "𝓼𝓽𝓾𝓹𝓲𝓭": 1, "īdïōt": 0, "i\u0335diot": 0}
+    for said, feature in shown.items():
+        assert feature in toxicity.Reader(model, chosen).features(said), said
+    for said in ("- - - -", "a a a", "the as of", "привет мир", "good or bad", "id iot's own"):
+        assert not toxicity.Reader(model, chosen).features(said), said
+    # Any letter that a look-alike may stand for keeps its way to the lattice.
+    monkeypatch.setitem(toxicity.LOOKALIKES, "(", "ck")
+    monkeypatch.setattr(toxicity, "_GROUP", toxicity._alike())
+    monkeypatch.setattr(toxicity, "_SHAPES", (toxicity._Shapes(True), toxicity._Shapes(False)))
+    ducks = char_model("duck ducks ducky " * 60)
+    assert 0 in toxicity.Reader(ducks, {"=duck": 0}).features("duc("), "second reading"
+
+
+def char_model(text):
+    c = np.concatenate([np.zeros(2, np.uint8), toxicity.letters(text), np.zeros(1, np.uint8)]).astype(int)
+    return toxicity.CharModel(np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3))
+
+
 @pytest.mark.parametrize("most", [1 << 22, 40])
 def test_qgram_filter_against_every_stretch(most, monkeypatch):
     monkeypatch.setattr(decontam, "_MOST_HITS", most)

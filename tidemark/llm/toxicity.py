@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,13 @@ from tidemark.llm.storage import discard, materialize
 
 #: Look-alikes and the letters they stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+#: Letters of other scripts that look like Latin ones, and signs that show nothing.
+CONFUSABLE = str.maketrans(
+    "авекмнорстухіјѕԁԛԝһӏьгαβγεηικνορτυχωϲ" + "АВЕКМНОРСТУХІЈЅҺԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
+    "abekmhopctyxijsdqwhlbrabyenikvoptuxwc" + "ABEKMHOPCTYXIJSHQWABEZHIKMNOPTYX",
+    "\u00ad\u200b\u200c\u200d\u2060\ufeff",
+)
+_FOREIGN = re.compile("[^\x00-\xac\xae-\xff€“”„‘’…–—]")
 _EDGES = " \t\n\r\v\f!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…¿¡–—"
 #: Letters and something else together, and a character twice in a row: all that a lattice could read in more than one way.
 _MIXED = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|(\S)\1\1", re.S)
@@ -33,10 +42,40 @@ _N = 27  # a word's edge, and a to z
 _DROP = -1
 
 
+def unmasked(text: str) -> str:
+    """Lower case, with compatibility forms and look-alikes of other scripts as plain letters and without invisible signs."""
+    try:
+        text.encode("latin-1")
+        odd = "\xad" in text
+    except UnicodeEncodeError:
+        odd = _FOREIGN.search(text)
+    return ("".join(map(_unmasked, text.translate(CONFUSABLE))) if odd else text).lower()
+
+
+@lru_cache(1 << 16)
+def _unmasked(c: str) -> str:
+    """A character as NFKC has it, without marks over a Latin letter, and then as its look-alike; all but letters stay."""
+    if ord(c) < 256 or not unicodedata.category(c)[0] in "LN":
+        return c
+    plain = unicodedata.normalize("NFKC", c).translate(CONFUSABLE)
+    base = unicodedata.normalize("NFD", plain)[:1]
+    return base if len(plain) == 1 and base.isascii() else plain
+
+
+def _alike() -> dict[str, str]:
+    """Letters that some look-alike may both stand for, by one of them."""
+    group = {chr(97 + k): chr(97 + k) for k in range(26)}
+    for some in LOOKALIKES.values():
+        first, *rest = sorted({group[x] for x in some})
+        group = {x: first if g in rest else g for x, g in group.items()}
+    return group
+
+
+_GROUP = _alike()
+
+
 def _fold() -> bytes:
     """Latin-1 characters, lower case, as 0 for anything but a letter and 1 to 26 for letters without their accents."""
-    import unicodedata
-
     base = [unicodedata.normalize("NFKD", bytes([c]).decode("latin-1").lower())[:1] for c in range(256)]
     base = ["s" if c == 0xDF else b for c, b in enumerate(base)]
     return bytes(ord(b) - 96 if "a" <= b <= "z" else 0 for b in base)
@@ -112,7 +151,7 @@ def _options(ch: str, nth: int, run: int) -> list[tuple[int, float]]:
 
 
 class _Shapes(dict):
-    """For ``str.translate``: a letter without its accent, or the first letter of a look-alike, l as i; all else goes."""
+    """For ``str.translate``: a letter without its accent, or a look-alike, each as the group of letters that it may be taken for; all else goes."""
 
     def __init__(self, marks: bool):
         self.marks = marks
@@ -124,7 +163,7 @@ class _Shapes(dict):
         else:
             k = _CLASS[ch.encode("latin-1", "replace")[0]] if ch.isalpha() else 0
             c = chr(96 + k) if k else ""
-        self[code] = "i" if c == "l" else c
+        self[code] = _GROUP.get(c, c)
         return self[code]
 
 
@@ -172,7 +211,7 @@ def readings(token: str, model: CharModel, shapes: Shapes | None = None) -> list
     word = token.strip(_EDGES)
     out = [word] if word else []
     core = token.lstrip(_PLAIN + "(").rstrip(_PLAIN + "!")
-    if _MIXED.search(core) if shapes is None else (_TWICE.search(core) or _MIXED.search(core)) and shapes.fit(core, word):
+    if _MIXED.search(core) if shapes is None else (_TWICE.search(core) or _MIXED.search(core) or not core.isascii()) and shapes.fit(core, word):
         restored = model.restore(core)
         if restored and restored != word:
             out.append(restored)
@@ -185,9 +224,9 @@ def names(word: str) -> list[str]:
 
 
 def spaced_out(text: str):
-    """Lattices for stretches of single characters: the characters, with NARROW between them and WIDE where the gap is a wider one."""
+    """Lattices for stretches of single characters that aren't all the same: the characters, with NARROW between them and WIDE where the gap is a wider one."""
     for m in _SPACED.finditer(text):
-        if len(set(m[0].split())) < 3:
+        if len(set(m[0].split())) < 2:
             continue
         gaps = re.findall(r"\s+", m[0])
         least = min(map(len, gaps))
@@ -200,6 +239,20 @@ class Reader:
     def __init__(self, model: CharModel, chosen: dict[str, int] | None = None):
         self.model, self.chosen, self.known = model, chosen, {}
         self.shapes = None if chosen is None else Shapes(chosen)
+        self.halves: dict[str, set[str]] = {}  # of chosen words, by their first part
+        for f in chosen or ():
+            for k in range(1, len(f) - 1) if f[0] == "=" else ():
+                self.halves.setdefault(f[1 : 1 + k], set()).add(f[1 + k :])
+
+    def _parted(self, text: str, tokens) -> list[str]:
+        """Chosen words that stand in two parts with white space between, where the language model joins the parts."""
+        out, bare = [], {t.strip(_EDGES) for t in tokens}
+        for first in bare & self.halves.keys():
+            for rest in self.halves[first] & bare:
+                pairs = len(re.findall(rf"(?<!\w){re.escape(first)}\s+{re.escape(rest)}(?!\w)", text))
+                if pairs and self.model.restore(first + NARROW + rest) == first + rest:
+                    out += [first + rest] * pairs
+        return out
 
     def _of(self, token: str):
         found = [f for w in readings(token, self.model, self.shapes) for f in names(w)]
@@ -208,8 +261,10 @@ class Reader:
         return tuple(dict.fromkeys(found))
 
     def features(self, text: str) -> Counter:
-        low = text.lower()
+        low = unmasked(text)
         counts = Counter(low.split())
+        if self.halves:
+            counts.update(self._parted(low, counts.keys()))
         if _MAYBE_SPACED.search(low):
             for lattice in spaced_out(low):
                 counts.update(w for w in self.model.restore(lattice).split() if len(w) > 1)
