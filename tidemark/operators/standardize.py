@@ -42,7 +42,7 @@ FALLBACKS = (
 class Spec:
     """``pose``: parts of the six pose numbers; ``grip`` and ``command``: a field, an index (from the end if negative) and steps.
 
-    Parts: (kind, source field, offset, count), of kind take, quaternion, axis_angle, zxy, matrix (4x4 by columns) or zeros.
+    Parts: (kind, source field, offset, count), of kind take (a count of 0: all that follow, below 0: but so many), quaternion, axis_angle, zxy, matrix (4x4 by columns) or zeros.
     Steps: clip, invert, ("scale", k), ("shift", k), ("fill", threshold), absolute.
     ``language_parts``: parts that stand for the step, before the command.
     ``action``: pose (absolute pose and command), raw (the source's), or parts and command as given by ``action_parts``.
@@ -136,7 +136,7 @@ SPECS: dict[str, Spec] = {
     "franka": Spec(grip=("state", 6, "clip", "invert"), command=_OPEN),
     "yam_jointpos": Spec(grip=("state", -1), command=("action", -1, "clip"), action="raw"),
     "yam": Spec(grip=("state", -1), command=("action", -1, "clip")),
-    "planning": replace(_RAW, pose=(("take", "state", 0, 6), ("wxyz_r6", "state", 6, 4)), grip=("state", 10), action="parts", action_parts=(("take", "action", 0, 6), ("axis_angle_r6", "action", 6, 3)), command=("action", 9)),
+    "planning": replace(_RAW, pose=(("take", "state", 0, 6), ("wxyz_r6", "state", 6, 4), ("take", "state", 10, 0)), grip=(), action="parts", action_parts=(("take", "action", 0, 6), ("axis_angle_r6", "action", 6, 3), ("take", "action", 9, 0)), command=()),
 }
 #: Specs of two arms, each with its six pose numbers and a gripper; the command is divided by 100 or inverted.
 BIMANUAL = {"sample_r1_lite": (("scale", 0.01),), "agibot_large": ("invert",)}
