@@ -470,3 +470,25 @@ def check_config(config: DatasetConfig, supported: tuple[str, ...] = ("EEF_POS",
     if not config.has_language:
         raise ValueError(f"{config.name}: a language instruction is needed")
     return ["contains suboptimal data"] if config.extra.get("suboptimal") else []
+
+
+#: Encodings of actions that can be read.
+ENCODINGS = ("EEF_POS", "EEF_R6", "ABS_EEF_POS", "JOINT_POS", "JOINT_POS_BIMANUAL")
+
+
+def config_problem(action_encoding: Column, language: Column, primary: Column) -> Column:
+    """Why a dataset's configuration can't be loaded, null if it can: its action encoding, its language annotations or its main camera."""
+    spoken = F.lower(F.coalesce(language, F.lit("")))
+    wrong = F.when(~F.coalesce(action_encoding.isin(*ENCODINGS), F.lit(False)), "action encoding not supported")
+    return wrong.when((spoken == "") | (spoken == "none"), "language annotations required").when(primary.isNull(), "primary image required")
+
+
+def config_warning(suboptimal: Column) -> Column:
+    """A warning for data that is known to be poor, written as ``yes``."""
+    return F.when(F.lower(suboptimal) == "yes", "suboptimal data")
+
+
+def first_state_text(state: Column, ep: Episode, digits: int = 6) -> Column:
+    """The sum of an episode's first state as text: names an episode by what it holds, so that copies under other ids get the same fallback."""
+    total = F.aggregate(state, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))
+    return F.format_string(f"%.{digits}f", F.first(total).over(ep.ordered))

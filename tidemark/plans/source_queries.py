@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import standardize
 from tidemark.plans.registry import FRAMES, POSES, poses, query
 from tidemark.plans.registry import table as read
 from tidemark.sources import episode_arrays, lookups, readers, record_files, versions
@@ -154,3 +155,52 @@ def k9_cache(spark, sf):
     rows.where("grp = '3'").select(F.concat("text", F.lit("x")).alias("text")).write.mode("overwrite").parquet(f"{base}/in/grp=3")
     now = lookups.cached_mapping(readers.file_listing(spark, f"{base}/in", "*.parquet"), name, build, f"{base}/cache")
     return now.groupBy(F.col("group").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.max("built").alias("run"))
+
+
+def _put_images(rows, root: str) -> None:
+    """An empty first image for each folder that is to have one."""
+
+    def run(batches):
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                system, inner = episode_arrays.place(f"{root}/{folder}")
+                system.create_dir(inner, recursive=True)
+                system.open_output_stream(f"{inner}/wrist_0000.jpg").write(b"-")
+            yield batch
+
+    rows.mapInArrow(run, rows.schema).write.format("noop").mode("overwrite").save()
+
+
+@query("op_s14_pilot_manifest", """with e as (select conv_id, list(length(coalesce(text, '')) / 100.0::double order by turn) as g from conversations where conv_id is not null group by 1)
+  select conv_id || ':' || (k - 1) as frame, round(g[k], 6) as gripper, 'c' || conv_id % 20 || '/primary_' || lpad((k - 1)::varchar, 4, '0') || '.jpg' as primary_image,
+  case when conv_id % 20 < 7 then 'c' || conv_id % 20 || '/wrist_' || lpad((k - 1)::varchar, 4, '0') || '.jpg' end as wrist_image from e, range(1, 1 + len(g)) r(k)""")
+def s14_pilot(spark, sf):
+    base = f"{shared_dir(spark)}/tidemark/pilot-{uuid.uuid4().hex}"
+    widths = F.transform(F.array_sort(F.collect_list(F.struct("turn", (F.char_length(F.coalesce("text", F.lit(""))) / 100.0).alias("w")))), lambda s: s["w"])
+    rows = read(spark, sf, "conversations").where("conv_id is not null").groupBy("conv_id").agg(widths.alias("gripper_width"))
+    folder = F.concat(F.lit("c"), (F.col("conv_id") % 20).cast("string"))
+    lines = rows.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("episode_id"), F.lit(" stack it ").alias("task_instruction"), "gripper_width", folder.alias("image_dir"))).alias("value"))
+    broken = rows.where("conv_id % 9 = 0").select(F.concat(F.lit('{"episode_id": "'), F.col("conv_id").cast("string")).alias("value"))
+    lines.union(broken).write.text(f"{base}/manifest")
+    _put_images(rows.where("conv_id % 20 < 7").select(folder.alias("folder")).distinct(), f"{base}/images")
+    found = readers.pilot_frames(readers.pilot_episodes(spark, f"{base}/manifest", f"{base}/images"))
+    short = lambda c: F.replace(F.col(c), F.lit(f"{base}/images/"), F.lit(""))
+    return found.select(F.concat_ws(":", "episode_id", F.col("frame").cast("string")).alias("frame"), F.round("gripper", 6).alias("gripper"), short("primary").alias("primary_image"), short("wrist").alias("wrist_image"))
+
+
+@query("op_s7_metadata_files", "select c_custkey as episode, c_mktsegment as task, c_nationkey as part from customer")
+def s7_metadata(spark, sf):
+    base = f"{shared_dir(spark)}/tidemark/meta-{uuid.uuid4().hex}"
+    rows = read(spark, sf, "customer").select(F.col("c_custkey").alias("episode"), F.col("c_mktsegment").alias("task"), F.col("c_nationkey").alias("part"))
+    rows.withColumn("chunk", F.col("part") % 4).write.partitionBy("chunk").parquet(f"{base}/meta/episodes")
+    return readers.episodes(spark, base, "meta").select("episode", "task", "part")
+
+
+@query("op_p20_config_checks", """with c as (select s_suppkey, ['EEF_POS', 'EEF_R6', 'POLAR', 'JOINT_POS', null][s_suppkey % 5 + 1] as enc, ['english', 'None', ''][s_suppkey % 3 + 1] as lang, case when s_suppkey % 7 > 0 then 'image' end as cam, ['yes', 'no'][s_suppkey % 2 + 1] as sub from supplier)
+  select s_suppkey, case when enc is null or enc = 'POLAR' then 'action encoding not supported' when lang <> 'english' then 'language annotations required' when cam is null then 'primary image required' end as problem,
+  case when sub = 'yes' then 'suboptimal data' end as warning from c""")
+def p20_configs(spark, sf):
+    key = F.col("s_suppkey")
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (key % len(values)).cast("int"))
+    problem = standardize.config_problem(pick(["EEF_POS", "EEF_R6", "POLAR", "JOINT_POS", None]), pick(["english", "None", ""]), F.when(key % 7 > 0, "image"))
+    return read(spark, sf, "supplier").select("s_suppkey", problem.alias("problem"), standardize.config_warning(pick(["yes", "no"])).alias("warning"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import hashing
 from tidemark.functions.motion_text import Move
-from tidemark.operators import audit, cascade, phase_audit, question_pairs, stats
-from tidemark.plans.registry import query
+from tidemark.operators import audit, box_questions, cascade, phase_audit, question_pairs, standardize, stats
+from tidemark.plans.registry import EP, POSES, poses, query
 from tidemark.plans.registry import table as read
-from tidemark.plans.text_queries import _CM, _GRIP, _MOVES, _VERBOSE, _cm, _moves
+from tidemark.plans.text_queries import _BOX, _CM, _CORNERS, _DIR, _GRIP, _LOC, _MOVES, _VERBOSE, _XY, _boxes, _cm, _moves
 
 _CASCADE_SQL = """with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as k, conv_id || ':' || turn as key,
     ['pick_place_primitive', 'arrange_blocks_line_v2', 'stack_blocks_n_stack_n_v1_open', 'arrange_blocks_u_shape', 'other'][conv_id % 5 + 1] as dataset,
@@ -197,3 +198,33 @@ def a24_sketches(spark, sf):
     for k, s in enumerate(shares):
         ok = ok & (F.col(f"l{k}") <= (s + 0.033) * F.col("n") + 1) & (F.col(f"r{k}") >= (s - 0.033) * F.col("n") - 1)
     return held.select("dim", "n", "lo", "hi", ok.alias("within"))
+
+
+_GENERAL = "[" + ", ".join("'" + a.replace("'", "''") + "' || cat || '" + b.replace("'", "''") + "'" for a, b in box_questions.BOX_PROMPTS) + "]"
+_TURNS = "[" + ", ".join("'" + a.replace("'", "''") + "' || cat || '" + b.replace("'", "''") + "'" for a, b in box_questions.DIRECTION_PROMPTS) + "]"
+
+
+@query("op_vqa_boxes", f"""with {_BOX}, {_XY}, c as (select *, 'thing ' || vec_id % 4 as cat, ('0x' || md5('5box' || vec_id)[1:8])::bigint % 59 as k, ('0x' || md5('5turn' || vec_id)[1:8])::bigint % 25 as j, ('0x' || md5('7924direction' || vec_id)[1:8])::bigint / 4294967296.0::double < 0.3 as turned from xy)
+  select vec_id, case when k < 32 then ['Pick up the ', 'Grasp the ', 'Move near to the ', 'Navigate to the '][k // 8 + 1] || cat || [', predict where it is in the image.', ', show where it is in the image.', ', locate it in the image.', ', find it in the image.',
+    ', predict where it is in the robot base frame.', ', relative to the robot base.', ', with respect to the robot base.', ', looking from the external camera.'][k % 8 + 1] else ({_GENERAL})[k - 31] end as prompt,
+  case when turned then 'move ' || {_DIR} else {_LOC} end as caption, ({_TURNS})[j + 1] as asked, 'move ' || {_DIR} as direction from c""")
+def vqa_boxes(spark, sf):
+    """Boxes with a category: where it is, or which way."""
+    corners, category = list(map(F.col, _CORNERS)), F.concat(F.lit("thing "), (F.col("vec_id") % 4).cast("string"))
+    prompt, caption = box_questions.box_sample(F.col("vec_id"), category, corners, 5, 0.3)
+    asked, direction = box_questions.direction_sample(F.col("vec_id"), category, corners, 5)
+    return _boxes(spark, sf).select("vec_id", prompt.alias("prompt"), caption.alias("caption"), asked.alias("asked"), direction.alias("direction"))
+
+
+@query("op_w28_first_state", rf"""with {POSES}, f as (select episode_id, printf('%.3f', e1 + e2 + e3) as s from poses where t = 0),
+  d as (select episode_id, ('0x' || md5('state' || s)[1:8])::bigint % 18 as k from f)
+  select vec_id, case when episode_id % 2 = 0 then 'label ' || episode_id else ['Do something useful.', 'Complete the task.', 'Perform the task.', 'Carry out the objective.', 'Execute the current task.', 'Accomplish the goal.',
+    'Proceed with the task.', 'Handle the task at hand.', 'Continue the operation.', 'Fulfill the task.', 'Take meaningful steps.', 'Demonstrate useful behavior.', 'Act in a useful manner.', 'Engage in productive actions.',
+    'Make useful moves.', 'Undertake useful actions.', 'Behave purposefully.', 'Start the activity.'][k + 1] end as instruction from poses join d using (episode_id)""")
+def w28_first_state(spark, sf):
+    """A blank instruction is filled by the digest of the episode's first state."""
+    rows = poses(spark, sf)
+    key = standardize.first_state_text(F.array("e1", "e2", "e3"), EP, 3)
+    said = F.when(F.col("episode_id") % 2 == 0, F.concat(F.lit("label "), F.col("episode_id").cast("string"))).otherwise("  ")
+    fallback = hashing.choose("state", F.col("key"), F.array(*[F.lit(x) for x in standardize.FALLBACKS]))
+    return rows.withColumn("key", key).withColumn("said", said).select("vec_id", F.when(F.length(F.trim("said")) > 0, F.col("said")).otherwise(fallback).alias("instruction"))

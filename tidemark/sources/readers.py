@@ -117,3 +117,30 @@ def synthetic_episode(spark: SparkSession, n: int = 200) -> DataFrame:
     x = F.least(F.greatest(t - 70, F.lit(0)), F.lit(40)) * 0.01
     y = F.least(F.greatest(t - 110, F.lit(0)), F.lit(40)) * 0.01
     return spark.range(n).select(F.lit("synthetic").alias("episode_id"), F.col("id").alias("t")).select("episode_id", "t", F.when(closed, 1.0).otherwise(0.0).alias("g"), x.alias("x"), y.alias("y"), F.lit(0.0).alias("z"))
+
+
+PILOT = "episode_id string, task_instruction string, fps double, gripper_width array<double>, ee_pos array<array<double>>, image_dir string"
+
+
+def pilot_episodes(spark: SparkSession, manifest: str, images_root: str) -> DataFrame:
+    """Episodes of a JSON-lines manifest and a folder of images: ``(episode_id, task_instruction, fps, n_frames, gripper_width, ee_pos, folder, has_wrist)``.
+
+    Each line is one episode; malformed lines are left out, and so are those without a gripper.  Instructions are stripped, 15 frames a second are taken where none are given.  Images are named ``primary_0000.jpg`` and, where the
+    folder has a first one, ``wrist_0000.jpg``; only the names of first wrist images are listed, none is opened.
+    """
+    rows = json_lines(spark, manifest, T._parse_datatype_string(PILOT)).where("gripper_width is not null")
+    listed = file_listing(spark, images_root, "wrist_0000.jpg").select(F.regexp_replace("path", r"/[^/]*$", "").alias("place"))
+    wrists = listed.select(F.regexp_extract("place", r"([^/]+)$", 1).alias("last"), "place").distinct()
+    told = rows.withColumn("last", F.regexp_extract(F.rtrim("image_dir", F.lit("/")), r"([^/]+)$", 1))
+    found = told.join(wrists, (told["last"] == wrists["last"]) & F.endswith(wrists["place"], F.concat(F.lit("/"), F.rtrim("image_dir", F.lit("/")))), "left")
+    return found.select(
+        "episode_id", F.btrim(F.coalesce("task_instruction", F.lit("")), F.lit(_BLANK)).alias("task_instruction"), F.coalesce("fps", F.lit(15.0)).alias("fps"), F.size("gripper_width").alias("n_frames"),
+        "gripper_width", "ee_pos", F.concat(F.lit(images_root + "/"), F.col("image_dir")).alias("folder"), wrists["place"].isNotNull().alias("has_wrist"),
+    )
+
+
+def pilot_frames(episodes: DataFrame) -> DataFrame:
+    """``(episode_id, frame, gripper, primary, wrist)``: a row for each frame with its images' paths, the wrist's null where there are none."""
+    each = episodes.select("episode_id", "folder", "has_wrist", F.posexplode("gripper_width").alias("frame", "gripper"))
+    name = lambda camera: F.concat(F.col("folder"), F.format_string(f"/{camera}_%04d.jpg", F.col("frame")))
+    return each.select("episode_id", F.col("frame").cast("bigint").alias("frame"), "gripper", name("primary").alias("primary"), F.when(F.col("has_wrist"), name("wrist")).alias("wrist"))
