@@ -240,18 +240,22 @@ class Reader:
         self.model, self.chosen, self.known = model, chosen, {}
         self.shapes = None if chosen is None else Shapes(chosen)
         self.halves: dict[str, set[str]] = {}  # of chosen words, by their first part
+        self.joined: dict[tuple[str, str], bool] = {}  # at most one entry for each place in a chosen word
         for f in chosen or ():
             for k in range(1, len(f) - 1) if f[0] == "=" else ():
                 self.halves.setdefault(f[1 : 1 + k], set()).add(f[1 + k :])
 
-    def _parted(self, text: str, tokens) -> list[str]:
-        """Chosen words that stand in two parts with white space between, where the language model joins the parts."""
-        out, bare = [], {t.strip(_EDGES) for t in tokens}
-        for first in bare & self.halves.keys():
-            for rest in self.halves[first] & bare:
-                pairs = len(re.findall(rf"(?<!\w){re.escape(first)}\s+{re.escape(rest)}(?!\w)", text))
-                if pairs and self.model.restore(first + NARROW + rest) == first + rest:
-                    out += [first + rest] * pairs
+    def _parted(self, words: list[str]) -> list[str]:
+        """Chosen words that stand in two neighbouring parts, where the language model joins the parts."""
+        out = []
+        for k, rests in enumerate(map(self.halves.get, words[:-1])):
+            if rests is not None and (rest := words[k + 1].strip(_EDGES)) in rests:
+                first = words[k]
+                joined = self.joined.get((first, rest))
+                if joined is None:
+                    joined = self.joined[first, rest] = self.model.restore(first + NARROW + rest) == first + rest
+                if joined:
+                    out.append(first + rest)
         return out
 
     def _of(self, token: str):
@@ -262,9 +266,10 @@ class Reader:
 
     def features(self, text: str) -> Counter:
         low = unmasked(text)
-        counts = Counter(low.split())
+        words = low.split()
+        counts = Counter(words)
         if self.halves:
-            counts.update(self._parted(low, counts.keys()))
+            counts.update(self._parted(words))
         if _MAYBE_SPACED.search(low):
             for lattice in spaced_out(low):
                 counts.update(w for w in self.model.restore(lattice).split() if len(w) > 1)
