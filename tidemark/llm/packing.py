@@ -1,7 +1,7 @@
 """Packing documents into sequences by an order-preserving dynamic program.
 
 The documents of a task are one stream of tokens, in the order in which they are read.  A plan cuts the stream into
-windows of at most ``length`` tokens.  A window costs its padding and one token more, a cut inside a document costs a penalty: a small one after a
+windows of at most ``length`` tokens.  A window costs its padding and some tokens more, a cut inside a document costs a penalty: a small one after a
 sentence, a large one elsewhere.  Padding falls as a window grows, so the best start of a window that ends at a given
 cut is the smallest cost so far over the starts within reach: a sliding minimum, kept by a monotone queue.
 Windows of exactly a power of two need no padding; their starts are looked up by position.
@@ -191,7 +191,8 @@ def load(path: str) -> ChunkEncoder:
 def candidates(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end, in order, and their kind: 0 a document's end, 1 a sentence's, 2 another place.
 
-    The last are taken every ``step`` tokens where no better place is nearer, so that a window always has an end.
+    The last are taken every ``step`` tokens where no better place is nearer, so that a window always has an end; and every ``step`` tokens
+    before the stream's end and everywhere near its begin, so that a short rest can be parted into powers of two.
     """
     kind = np.full(n + 1, 3, dtype=np.int8)
     kind[n] = 2
@@ -202,14 +203,17 @@ def candidates(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, step: in
     before = np.concatenate([[0], ends[:-1]])
     for k in np.flatnonzero(ends - before > step).tolist():
         kind[before[k] + step : ends[k] : step] = 2
+    last = np.arange(n - step, max(0, n - 128 * step), -step)
+    kind[last[kind[last] == 3]] = 2
+    kind[1 : min(step, n)][kind[1 : min(step, n)] == 3] = 2
     places = np.flatnonzero(kind < 3)
     return places, kind[places]
 
 
-def plan(places: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
+def plan(places: np.ndarray, penalty: np.ndarray, length: int, price: int = 1) -> np.ndarray:
     """The cheapest windows over the stream from 0 to the last of ``places``: the positions where they end.
 
-    ``penalty``: what a cut at each place costs; the last place costs nothing.  Steps between places are at most ``length``.
+    ``penalty``: what a cut at each place costs; the last place costs nothing.  ``price``: what a window costs.  Steps between places are at most ``length``.
     """
     p = np.concatenate([[0], places])
     m = len(p)
@@ -239,7 +243,7 @@ def plan(places: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
         for other in exact[first[here] : first[here + 1]]:
             if cost[other] < best:
                 best, start = cost[other], other
-        best += 1 + cut[here]
+        best += price + cut[here]
         cost[here], back[here] = best, start
         best += at
         while queue and queue[-1][0] >= best:
@@ -267,8 +271,8 @@ def byte_slices(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
 class Packer:
     """The stream of one task: takes encoded documents, gives rows of pieces whose windows are settled."""
 
-    def __init__(self, length: int, sentence_penalty: int, inner_penalty: int, block_tokens: int):
-        self.length, self.block_tokens = length, block_tokens
+    def __init__(self, length: int, sentence_penalty: int, inner_penalty: int, block_tokens: int, window_penalty: int = 16):
+        self.length, self.block_tokens, self.window_penalty = length, block_tokens, window_penalty
         self.price = np.array([0, sentence_penalty, inner_penalty], dtype=np.int64)
         self.step = max(1, length // 64)
         self.ids, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=bool)
@@ -289,7 +293,7 @@ class Packer:
         if not n or not last and n < self.block_tokens:
             return None
         places, kind = candidates(n, self.begin + self.size, np.flatnonzero(self.ends) + 1, self.step)
-        cuts = np.concatenate([[0], plan(places, self.price[kind], self.length)])
+        cuts = np.concatenate([[0], plan(places, self.price[kind], self.length, self.window_penalty)])
         if not last:
             cuts = cuts[: np.searchsorted(cuts, n - 4 * self.length, "right")]
         if len(cuts) < 2:
@@ -321,6 +325,7 @@ def pack(
     length: int = 4096,
     sentence_penalty: int = 16,
     inner_penalty: int = 64,
+    window_penalty: int = 16,
     doc_id: str = "doc_id",
     text: str = "text",
     block_tokens: int = 1 << 20,
@@ -340,7 +345,7 @@ def pack(
 
     def run(batches):
         codec = load(tokenizer_path(tokenizer))
-        packer = Packer(length, sentence_penalty, inner_penalty, block_tokens)
+        packer = Packer(length, sentence_penalty, inner_penalty, block_tokens, window_penalty)
         base = TaskContext.get().partitionId() << 36
         key_type = None
 
